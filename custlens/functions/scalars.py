@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from custlens.operators.joins import bounded_broadcast
 
 # --- F01-F04: dates ----------------------------------------------------------
 
@@ -264,7 +263,8 @@ def target_encode(df: DataFrame, col: str = "Country", target: str = "Churn",
     out = out or f"{col}_encoded"
     means = (fit_df if fit_df is not None else df).groupBy(col).agg(
         F.avg(F.col(target).cast("double")).alias(out))
-    return df.join(bounded_broadcast(means, 1_000_000), col, "left").drop(col)
+    # one row per category: AQE broadcasts it from runtime size
+    return df.join(means, col, "left").drop(col)
 
 
 # --- F15-F21: reporting ------------------------------------------------------

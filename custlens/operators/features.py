@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from custlens.functions import scalars as S
-from custlens.operators.joins import DEFAULT_BROADCAST_ROWS, bounded_broadcast, candidate_pairs
+from custlens.operators.joins import DEFAULT_BROADCAST_ROWS, candidate_pairs
 from custlens.operators.quantiles import exact_quantiles
 from custlens.operators.schema import drop_constant_columns, null_sentinels
 
@@ -62,7 +62,9 @@ def knn_impute_apply(model: KnnImputer, df: DataFrame,
     filled = top.groupBy("_qk").agg(*[F.avg(F.when(F.col("_f") == i, F.col("_v"))).alias(f"_imp_{i}")
                                       for i in range(len(cols))])
     filled = filled.withColumnRenamed("_qk", key)
-    out = df.join(bounded_broadcast(filled, max_broadcast_rows), key, "left")
+    # receivers are a subset of df: AQE turns this into a broadcast join when
+    # the runtime size is small and keeps a shuffle join otherwise
+    out = df.join(filled, key, "left")
     repl = {}
     for i, c in enumerate(cols):
         mean = model.means[c]

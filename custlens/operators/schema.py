@@ -25,12 +25,8 @@ def categorical_columns(df: DataFrame) -> list[str]:
 
 
 def categorical_profile(df: DataFrame) -> DataFrame:
-    """String columns with their distinct (non-null) counts, in one pass."""
-    cats = categorical_columns(df)
-    wide = df.agg(*[F.count_distinct(_q(c)).alias(f"c{i}") for i, c in enumerate(cats)])
-    stack = ", ".join(f"'{c}', c{i}" for i, c in enumerate(cats))
-    return wide.selectExpr(f"stack({len(cats)}, {stack}) AS (column_name, n_unique)") \
-        .withColumn("n_unique", F.col("n_unique").cast("bigint"))
+    """String columns with their distinct (non-null) counts."""
+    return distinct_counts_long(df, categorical_columns(df))
 
 
 def safe_drop(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -101,14 +97,31 @@ def drop_redundant(df: DataFrame, cols: list[str] = REDUNDANT_COLUMNS) -> DataFr
 
 
 def constant_columns(df: DataFrame) -> list[str]:
-    """Columns with one distinct value counting null as a value (one pass)."""
+    """Columns with one distinct value counting null as a value, in one pass
+    without distinct aggregation: all null, or no null and min == max."""
     cols = df.columns
-    row = df.agg(*[F.count_distinct(_q(c)).alias(f"d{i}") for i, c in enumerate(cols)],
-                 *[F.max(_q(c).isNull().cast("int")).alias(f"n{i}") for i, c in enumerate(cols)],
+    row = df.agg(*[F.count(_q(c)).alias(f"n{i}") for i, c in enumerate(cols)],
+                 *[(F.min(_q(c)) == F.max(_q(c))).alias(f"e{i}") for i, c in enumerate(cols)],
                  F.count(F.lit(1)).alias("_rows")).first()
-    if row["_rows"] <= 1:
+    n = row["_rows"]
+    if n <= 1:
         return []
-    return [c for i, c in enumerate(cols) if (row[f"d{i}"] + (row[f"n{i}"] or 0)) == 1]
+    return [c for i, c in enumerate(cols)
+            if row[f"n{i}"] == 0 or (row[f"n{i}"] == n and row[f"e{i}"])]
+
+
+def distinct_counts_long(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Exact distinct (non-null) count per column through one unpivot + one
+    distinct, instead of one Expand copy of the data per distinct aggregate."""
+    if not cols:
+        return df.sparkSession.createDataFrame([], "column_name string, n_unique bigint")
+    pairs = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), _q(c).cast("string").alias("v")) for c in cols])).alias("p"))
+    d = pairs.select("p.column_name", "p.v").where(F.col("v").isNotNull()).distinct()
+    counted = d.groupBy("column_name").agg(F.count(F.lit(1)).cast("bigint").alias("n_unique"))
+    names = df.sparkSession.createDataFrame([(c,) for c in cols], "column_name string")
+    return names.join(counted, "column_name", "left").select(
+        "column_name", F.coalesce("n_unique", F.lit(0)).cast("bigint").alias("n_unique"))
 
 
 def drop_constant_columns(df: DataFrame) -> tuple[DataFrame, list[str]]:

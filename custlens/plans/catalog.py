@@ -12,6 +12,7 @@ from custlens.operators import clustering as C
 from custlens.operators import features as M
 from custlens.plans import sqlgen  # noqa: F401  (registers oracle CTEs)
 from custlens.plans.fixture import customer_fixture, sql_with
+from custlens.session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -36,12 +37,25 @@ def r6(c, d: int = 6):
 # shared building blocks (per session + sf, so repeated queries reuse them)
 # ---------------------------------------------------------------------------
 
+_MATERIALISED: dict[tuple, DataFrame] = {}
+
+
+def _materialise(spark: SparkSession, name: str, sf: str, build) -> DataFrame:
+    """Build once per session and scale, and cut the lineage with a reliable
+    checkpoint: later passes (fits, quantile rounds, reports) re-read it."""
+    key = (id(spark), spark.sparkContext.applicationId, name, sf)
+    if key not in _MATERIALISED:
+        _MATERIALISED[key] = cut_lineage(build())
+    return _MATERIALISED[key]
+
+
 def customers(spark: SparkSession, sf: str) -> DataFrame:
-    return customer_fixture(spark, sf)
+    return _materialise(spark, "customers", sf, lambda: customer_fixture(spark, sf))
 
 
 def processed(spark: SparkSession, sf: str) -> DataFrame:
-    return M.preprocess(customers(spark, sf), target="Churn").df
+    return _materialise(spark, "processed", sf,
+                        lambda: M.preprocess(customers(spark, sf), target="Churn").df)
 
 
 def cluster_segments(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
