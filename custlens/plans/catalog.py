@@ -33,6 +33,12 @@ def r6(c, d: int = 6):
     return F.bround(c.cast("double"), d)
 
 
+def rd(df: DataFrame, d: int = 6) -> DataFrame:
+    """Round every double column half-even (the oracle does the same)."""
+    return df.select(*[F.bround(F.col(f"`{f.name}`"), d).alias(f.name) if f.dataType.typeName() == "double"
+                       else F.col(f"`{f.name}`") for f in df.schema.fields])
+
+
 # ---------------------------------------------------------------------------
 # shared building blocks (per session + sf, so repeated queries reuse them)
 # ---------------------------------------------------------------------------
@@ -113,3 +119,11 @@ CROSS JOIN (SELECT count(*) AS total FROM cseg) t
 def q_segment_report(spark: SparkSession, sf: str) -> DataFrame:
     _, _, seg = cluster_segments(spark, sf)
     return C.segment_report(seg, segment_labels(spark, seg))
+
+
+def _load_all() -> None:
+    """Import the query modules so their ``register`` calls run."""
+    from custlens.plans import q_tables  # noqa: F401
+
+
+_load_all()

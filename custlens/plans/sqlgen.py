@@ -15,6 +15,29 @@ ONE_HOT_VOCAB_TESTDATA = {
 }
 
 
+PROC_COLUMNS = [
+    "CustomerID", "Recency", "Frequency", "MonetaryTotal", "MonetaryAvg", "MonetaryStd", "MonetaryMin",
+    "MonetaryMax", "CancelledTransactions", "TotalTransactions", "TotalQuantity", "UniqueProducts",
+    "ReturnRatio", "CustomerTenureDays", "FirstPurchaseDaysAgo", "AvgDaysBetweenPurchases", "Age",
+    "SupportTicketsCount", "SatisfactionScore", "AgeCategory", "SpendingCategory", "LoyaltyLevel",
+    "ChurnRiskCategory", "BasketSizeCategory", "PreferredTimeOfDay", "Churn", "RegYear", "RegMonth",
+    "RegDay", "RegWeekday", "IP_IsPrivate", "IP_FirstOctet", "AvgBasketValue",
+    "CustomerType_AUTOMOBILE", "CustomerType_BUILDING", "CustomerType_FURNITURE", "CustomerType_HOUSEHOLD",
+    "CustomerType_MACHINERY", "FavoriteSeason_Automne", "FavoriteSeason_Hiver", "FavoriteSeason_Printemps",
+    "FavoriteSeason_Été", "Gender_F", "Gender_M", "Region_AFRICA", "Region_AMERICA", "Region_ASIA",
+    "Region_EUROPE", "Region_MIDDLE EAST", "Country_encoded"]
+
+
+def sel_rounded(cols: list[str], doubles: set[str], rename: dict | None = None, d: int = 6) -> str:
+    """Select list with doubles rounded half-even (value-hash friendly)."""
+    rename = rename or {}
+    out = []
+    for c in cols:
+        name = qi(rename.get(c, c))
+        out.append(f"round_even({qi(c)}, {d}) AS {name}" if c in doubles else f"{qi(c)} AS {name}")
+    return ", ".join(out)
+
+
 def lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
