@@ -72,7 +72,7 @@ def date_format_profile(df: DataFrame, col: str = "RegistrationDate") -> DataFra
     return (df.select(date_format_class(col).alias("date_format"))
               .where(F.col("date_format").isNotNull())
               .groupBy("date_format").agg(F.count(F.lit(1)).alias("n_rows"))
-              .withColumn("pct", F.bround(F.col("n_rows") * 100.0 / F.lit(total), 6)))
+              .withColumn("pct", round_even(F.col("n_rows") * 100.0 / F.lit(total), 6)))
 
 
 # --- F05-F06: IP addresses ---------------------------------------------------
@@ -180,9 +180,12 @@ def clip(df: DataFrame, bounds: dict[str, tuple[float | None, float | None]]) ->
 
 
 def round_even(c: Column | str, d: int = 2) -> Column:
-    """half-even rounding of reported values."""
+    """half-even rounding as numpy does it: rint(x * 10^d) / 10^d on the
+    binary value (Spark's ``bround`` instead rounds the exact decimal
+    expansion, which differs on ties such as 237778.855)."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.bround(c, d)
+    f = float(10 ** d)
+    return F.rint(c.cast("double") * F.lit(f)) / F.lit(f)
 
 
 # --- F10-F11: encodings -----------------------------------------------------
@@ -347,7 +350,7 @@ def verdict_segment(label: Column, churn: Column) -> Column:
 
 def fmt_fixed(x: Column, d: int) -> Column:
     """Round half-even first, then print: identical text in every engine."""
-    return F.format_string(f"%.{d}f", F.bround(x, d))
+    return F.format_string(f"%.{d}f", round_even(x, d))
 
 
 def minmax_profile(df: DataFrame, key: str, cols: list[str]) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from custlens.functions.scalars import round_even as _re
+
 from custlens.functions import scalars as S
 from custlens.operators.joins import DEFAULT_BROADCAST_ROWS, _chunks
 
@@ -225,9 +227,9 @@ def segment_report(assigned: DataFrame, labels: DataFrame, cluster: str = "clust
         F.avg("CustomerTenureDays").alias("ten"), F.avg("SatisfactionScore").alias("sat"),
         F.avg(F.col("Churn").cast("double")).alias("churn"))
     r = labels.join(g, cluster, "left")   # labels: k rows
-    z = lambda c: F.coalesce(F.bround(F.col(c), 2), F.lit(0.0))
+    z = lambda c: F.coalesce(_re(F.col(c), 2), F.lit(0.0))
     n = F.coalesce(F.col("n_clients"), F.lit(0)).cast("bigint")
-    share = F.bround(n * 100.0 / F.lit(float(total)), 1) if total else F.lit(0.0)
+    share = _re(n * 100.0 / F.lit(float(total)), 1) if total else F.lit(0.0)
     churn_pct = z("churn") * 100.0
     return r.select(
         F.col(cluster).cast("bigint").alias("cluster_id"),
@@ -235,7 +237,7 @@ def segment_report(assigned: DataFrame, labels: DataFrame, cluster: str = "clust
         S.display_name("label").alias("segment_name"),
         n.alias("n_clients"),
         share.alias("share_pct"),
-        F.bround(churn_pct, 1).alias("churn_pct"),
+        _re(churn_pct, 1).alias("churn_pct"),
         z("freq").alias("frequency"), z("mon").alias("monetary"),
         z("ten").alias("tenure_days"), z("sat").alias("satisfaction"),
         S.action_for("label").alias("action"),

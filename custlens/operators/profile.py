@@ -12,6 +12,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from custlens.functions.scalars import round_even as _re
 from pyspark.sql import types as T
 
 from custlens.operators.quantiles import exact_quantiles
@@ -29,7 +31,7 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
     total = df.where(_q(col).isNotNull()).count()
     g = df.where(_q(col).isNotNull()).groupBy(_q(col).alias("value")).agg(
         F.count(F.lit(1)).alias("n_rows"))
-    return g.withColumn("pct", F.bround(F.col("n_rows") * 100.0 / F.lit(float(max(total, 1))), 6))
+    return g.withColumn("pct", _re(F.col("n_rows") * 100.0 / F.lit(float(max(total, 1))), 6))
 
 
 def special_counts(df: DataFrame, col: str, vals: list) -> DataFrame:
@@ -39,7 +41,7 @@ def special_counts(df: DataFrame, col: str, vals: list) -> DataFrame:
     stack = ", ".join(f"CAST({v} AS BIGINT), c{i}" for i, v in enumerate(vals))
     long = wide.selectExpr("_n", f"stack({len(vals)}, {stack}) AS (value, n_rows)")
     return long.select("value", F.col("n_rows").cast("bigint").alias("n_rows"),
-                       F.bround(F.col("n_rows") * 100.0 / F.col("_n"), 6).alias("pct"))
+                       _re(F.col("n_rows") * 100.0 / F.col("_n"), 6).alias("pct"))
 
 
 def profile_by(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
@@ -51,7 +53,7 @@ def sizes_by(df: DataFrame, key: str) -> DataFrame:
     """Size and share per group."""
     total = _total(df)
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows")).withColumn(
-        "pct", F.bround(F.col("n_rows") * 100.0 / F.lit(float(max(total, 1))), 6))
+        "pct", _re(F.col("n_rows") * 100.0 / F.lit(float(max(total, 1))), 6))
 
 
 def crosstab(df: DataFrame, a: str, b: str, values: list | None = None) -> DataFrame:
@@ -71,7 +73,7 @@ def crosstab_pct(df: DataFrame, a: str, b: str, values: list | None = None) -> D
     t = crosstab(df, a, b, values)
     vcols = [c for c in t.columns if c != a]
     tot = reduce(lambda x, y: x + y, [F.col(f"`{c}`") for c in vcols])
-    return t.select(a, *[F.bround(F.col(f"`{c}`") * 100.0 / tot, 6).alias(c) for c in vcols])
+    return t.select(a, *[_re(F.col(f"`{c}`") * 100.0 / tot, 6).alias(c) for c in vcols])
 
 
 def describe_exact(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -113,10 +115,10 @@ def iqr_outliers(df: DataFrame, cols: list[str]) -> DataFrame:
     out = df.sparkSession.createDataFrame(
         rows, "feature string, q1 double, q3 double, iqr double, lower_bound double, "
               "upper_bound double, n_outliers bigint")
-    return out.select("feature", *[F.bround(c, 3).alias(c) for c in
+    return out.select("feature", *[_re(c, 3).alias(c) for c in
                                    ["q1", "q3", "iqr", "lower_bound", "upper_bound"]],
                       "n_outliers",
-                      F.bround(F.col("n_outliers") * 100.0 / F.lit(float(n)), 2).alias("outlier_pct"))
+                      _re(F.col("n_outliers") * 100.0 / F.lit(float(n)), 2).alias("outlier_pct"))
 
 
 def null_counts(df: DataFrame) -> DataFrame:
@@ -132,7 +134,7 @@ def missing_report(df: DataFrame) -> DataFrame:
     """Columns with nulls: count and % (2 dp)."""
     long = null_counts(df).where(F.col("n_missing") > 0)
     return long.select("column_name", F.col("n_missing").cast("bigint").alias("n_missing"),
-                       F.bround(F.col("n_missing") * 100.0 / F.col("_n"), 2).alias("pct_missing"))
+                       _re(F.col("n_missing") * 100.0 / F.col("_n"), 2).alias("pct_missing"))
 
 
 def null_total(df: DataFrame) -> DataFrame:
@@ -248,7 +250,7 @@ def near_constant(df: DataFrame, ratio: float = 0.01) -> DataFrame:
         F.max("c").alias("top_count"))
     return per.where((F.col("n_unique") <= 1) | (F.col("n_unique") < F.lit(ratio * n))).select(
         "column_name", F.col("n_unique").cast("bigint").alias("n_unique"), "top_value",
-        F.bround(F.col("top_count") * 100.0 / F.lit(float(n)), 6).alias("top_pct"))
+        _re(F.col("top_count") * 100.0 / F.lit(float(n)), 6).alias("top_pct"))
 
 
 def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:

@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from custlens.functions.scalars import round_even as _re
 from pyspark.sql import types as T
 
 
@@ -205,7 +207,7 @@ def schema_profile(df: DataFrame) -> DataFrame:
         F.col("ordinal").cast("bigint").alias("ordinal"), "column_name", "data_type",
         F.col("non_null").cast("bigint").alias("non_null"),
         (F.col("_n") - F.col("non_null")).cast("bigint").alias("null_count"),
-        F.bround((F.col("_n") - F.col("non_null")) * 100.0 / F.col("_n"), 2).cast("double").alias("null_pct"))
+        _re((F.col("_n") - F.col("non_null")) * 100.0 / F.col("_n"), 2).cast("double").alias("null_pct"))
 
 
 def name_pattern_frame(spark: SparkSession, cols: list[str]) -> DataFrame:

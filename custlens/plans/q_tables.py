@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from custlens.functions.scalars import round_even as _re
+
 from custlens.functions import scalars as S
 from custlens.operators import schema as P
 from custlens.operators import features as M
@@ -199,7 +201,7 @@ def q_p11(spark: SparkSession, sf: str) -> DataFrame:
   round_even(sum(CASE WHEN MonetaryTotal > 0 THEN MonetaryTotal END), 4) AS kept_total FROM proc"""))
 def q_p12(spark: SparkSession, sf: str) -> DataFrame:
     kept, counts = P.filter_positive(processed(spark, sf))
-    total = kept.agg(F.bround(F.sum("MonetaryTotal"), 4)).first()[0]
+    total = kept.agg(_re(F.sum("MonetaryTotal"), 4)).first()[0]
     return counts.withColumn("kept_total", F.lit(total))
 
 
