@@ -157,6 +157,7 @@ def _load_all() -> None:
     """Import the query modules so their ``register`` calls run."""
     from custlens.plans import q_tables  # noqa: F401
     from custlens.plans import q_scalar  # noqa: F401
+    from custlens.plans import q_profile  # noqa: F401
 
 
 _load_all()
