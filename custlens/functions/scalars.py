@@ -8,6 +8,7 @@ import ipaddress
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 # --- F01-F04: dates ----------------------------------------------------------
@@ -99,7 +100,7 @@ def _ipv4_private(c: Column) -> Column:
     )
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def _ipv6_private(s: pd.Series) -> pd.Series:
     def one(v):
         if v is None:

@@ -63,8 +63,8 @@ def silhouette_exact(df: DataFrame, cols: list[str], key: str, cluster: str = "c
     parts = []
     for qc in _chunks(q, "_qk", max_broadcast_rows):
         pairs = d.join(qc, F.col("_qk") != F.col("_dk"))
-        dist = F.sqrt(reduce(lambda a, b: a + b, [(F.col(f"_q_{i}") - F.col(f"_d_{i}")) ** 2
-                                                  for i in range(len(cols))]))
+        dist = F.sqrt(reduce(lambda a, b: a + b, [(F.col(f"_q_{i}") - F.col(f"_d_{i}")) *
+                                                  (F.col(f"_q_{i}") - F.col(f"_d_{i}")) for i in range(len(cols))]))
         parts.append(pairs.groupBy("_qk", "_qc", "_dc").agg(F.sum(dist).alias("s"),
                                                            F.count(F.lit(1)).alias("n")))
     sums = reduce(DataFrame.unionByName, parts)

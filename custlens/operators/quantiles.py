@@ -38,61 +38,83 @@ class _Target:
         return cond
 
 
+def _ranges(targets: list[_Target]) -> dict[tuple, list[_Target]]:
+    groups: dict[tuple, list[_Target]] = {}
+    for t in targets:
+        groups.setdefault((t.col, t.lo, t.hi), []).append(t)
+    return groups
+
+
 def order_statistics(df: DataFrame, wanted: dict[str, set[int]],
                      counts: dict[str, int], accuracy: int = ACCURACY,
                      collect_limit: int = COLLECT_LIMIT, max_rounds: int = 12) -> dict:
-    """Exact k-th smallest non-null value (0-based) for each column/rank."""
+    """Exact k-th smallest non-null value (0-based) for each column/rank.
+
+    Targets that share a column and a current range share one sketch and one
+    fetch.  A range is fetched once it holds at most ``collect_limit`` values;
+    until then it is narrowed with a sketch whose accuracy is sized so the
+    next bracket fits under the limit."""
     targets = [_Target(c, r, counts[c]) for c, ranks in wanted.items() for r in sorted(ranks)]
     targets = [t for t in targets if t.cnt > 0]
     src = df.select(*[F.col(c).cast("double").alias(c) for c in wanted])
-    acc = accuracy
     for _ in range(max_rounds):
         open_ = [t for t in targets if t.value is None]
         if not open_:
             break
-        narrow = [t for t in open_ if t.cnt > 64]
-        if narrow:
-            # 1) sketch a bracket around the wanted rank inside the current range
-            exprs = []
-            for i, t in enumerate(narrow):
-                q = (t.rank - t.below + 0.5) / t.cnt
-                m = 3.0 / acc
-                ps = [max(0.0, q - m), min(1.0, q + m)]
-                exprs.append(F.percentile_approx(F.when(t.in_range(), F.col(t.col)), ps, acc)
-                             .alias(f"b{i}"))
-            row = src.agg(*exprs).first()
-            proposals = [(row[f"b{i}"][0], row[f"b{i}"][1]) for i in range(len(narrow))]
-            # 2) verify with exact counts
-            cexprs = []
-            for i, (t, (lo, hi)) in enumerate(zip(narrow, proposals)):
-                c = F.col(t.col)
-                cexprs.append(F.count_if(t.in_range() & (c < F.lit(lo))).alias(f"l{i}"))
-                cexprs.append(F.count_if(t.in_range() & (c >= F.lit(lo)) & (c <= F.lit(hi))).alias(f"m{i}"))
-                cexprs.append(F.count_if(t.in_range() & (c == F.lit(lo))).alias(f"e{i}"))
-                cexprs.append(F.count_if(t.in_range() & (c == F.lit(hi))).alias(f"f{i}"))
-            crow = src.agg(*cexprs).first()
-            for i, (t, (lo, hi)) in enumerate(zip(narrow, proposals)):
-                nb, nm, ne, nf = crow[f"l{i}"], crow[f"m{i}"], crow[f"e{i}"], crow[f"f{i}"]
-                start = t.below + nb
-                if not (start <= t.rank < start + nm):
-                    continue  # sketch missed; retry with a finer sketch
-                if t.rank < start + ne:          # inside the run of values == lo
-                    t.value = lo
-                elif t.rank >= start + nm - nf:  # inside the run of values == hi
-                    t.value = hi
-                else:
-                    t.lo, t.hi, t.below, t.cnt = lo, hi, start, nm
-            acc = min(acc * 4, 1_000_000)
-        # 3) fetch small brackets and index into them
-        small = [t for t in targets if t.value is None and t.cnt <= max(collect_limit, 64)
-                 and (t.cnt <= 64 or t.lo is not None or t.hi is not None)]
+        # 1) fetch every range that is small enough, one sorted list per range
+        small = _ranges([t for t in open_ if t.cnt <= collect_limit])
         if small:
-            exprs = [F.array_sort(F.collect_list(F.when(t.in_range(), F.col(t.col)))).alias(f"v{i}")
-                     for i, t in enumerate(small)]
+            keys = list(small)
+            exprs = [F.array_sort(F.collect_list(F.when(small[k][0].in_range(), F.col(k[0])))).alias(f"v{i}")
+                     for i, k in enumerate(keys)]
             row = src.agg(*exprs).first()
-            for i, t in enumerate(small):
+            for i, k in enumerate(keys):
                 vals = row[f"v{i}"]
-                t.value = vals[t.rank - t.below]
+                for t in small[k]:
+                    t.value = vals[t.rank - t.below]
+        big = _ranges([t for t in open_ if t.value is None and t.cnt > collect_limit])
+        if not big:
+            continue
+        # 2) sketch brackets around the wanted ranks inside each large range
+        keys = list(big)
+        exprs, plan = [], []
+        for i, k in enumerate(keys):
+            ts = big[k]
+            cnt = ts[0].cnt
+            acc = int(min(1_000_000, max(accuracy, 8 * cnt / collect_limit)))
+            m = 3.0 / acc
+            ps = []
+            for t in ts:
+                q = (t.rank - t.below + 0.5) / cnt
+                ps += [max(0.0, q - m), min(1.0, q + m)]
+            exprs.append(F.percentile_approx(F.when(ts[0].in_range(), F.col(k[0])), ps, acc).alias(f"b{i}"))
+            plan.append(ts)
+        row = src.agg(*exprs).first()
+        proposals = []
+        for i, ts in enumerate(plan):
+            arr = row[f"b{i}"]
+            for j, t in enumerate(ts):
+                proposals.append((t, arr[2 * j], arr[2 * j + 1]))
+        # 3) verify each bracket with exact counts
+        cexprs = []
+        for i, (t, lo, hi) in enumerate(proposals):
+            c = F.col(t.col)
+            cexprs += [F.count_if(t.in_range() & (c < F.lit(lo))).alias(f"l{i}"),
+                       F.count_if(t.in_range() & (c >= F.lit(lo)) & (c <= F.lit(hi))).alias(f"m{i}"),
+                       F.count_if(t.in_range() & (c == F.lit(lo))).alias(f"e{i}"),
+                       F.count_if(t.in_range() & (c == F.lit(hi))).alias(f"f{i}")]
+        crow = src.agg(*cexprs).first()
+        for i, (t, lo, hi) in enumerate(proposals):
+            nb, nm, ne, nf = crow[f"l{i}"], crow[f"m{i}"], crow[f"e{i}"], crow[f"f{i}"]
+            start = t.below + nb
+            if not (start <= t.rank < start + nm):
+                continue  # sketch missed; the next round sketches again
+            if t.rank < start + ne:          # inside the run of values == lo
+                t.value = lo
+            elif t.rank >= start + nm - nf:  # inside the run of values == hi
+                t.value = hi
+            else:
+                t.lo, t.hi, t.below, t.cnt = lo, hi, start, nm
     out = {}
     for t in targets:
         out[(t.col, t.rank)] = t.value

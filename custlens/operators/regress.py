@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from custlens.operators import features as M
 from custlens.operators.sampling import assign_folds
 from custlens.operators.schema import numeric_columns
+from custlens.session import cut_lineage
 
 
 @dataclass
@@ -35,7 +36,7 @@ def train_spend(train: DataFrame, key: str = "CustomerID", target: str = "Moneta
     x = train.select(key, F.col(target).cast("double").alias(target),
                      *[F.col(f"`{c}`").cast("double").alias(c) for c in feats])
     imp = M.knn_impute_fit(x, feats, key)
-    xi = M.knn_impute_apply(imp, x)
+    xi = cut_lineage(M.knn_impute_apply(imp, x))
     scaler = M.robust_fit(xi, feats) if scaling == "robust" else M.standard_fit(xi, feats)
     vec = VectorAssembler(inputCols=feats, outputCol="features").transform(scaler.apply(xi))
     lr = LinearRegression(featuresCol="features", labelCol=target, solver="normal", regParam=0.0,

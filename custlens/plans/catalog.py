@@ -66,12 +66,32 @@ def processed(spark: SparkSession, sf: str) -> DataFrame:
                         lambda: M.preprocess(customers(spark, sf), target="Churn").df)
 
 
+_OBJECTS: dict[tuple, object] = {}
+
+
+def cached_object(spark: SparkSession, name: str, sf: str, build):
+    """Fitted objects (params, models) built once per session and scale."""
+    key = (id(spark), spark.sparkContext.applicationId, name, sf)
+    if key not in _OBJECTS:
+        _OBJECTS[key] = build()
+    return _OBJECTS[key]
+
+
+def cluster_fit(spark: SparkSession, sf: str):
+    """M11 on processed rows with MonetaryTotal > 0: (ClusterPrep, scaled rows)."""
+    def build():
+        base = processed(spark, sf).where(F.col("MonetaryTotal") > 0)
+        prep, scaled = M.cluster_prep_fit(base)
+        return prep, cut_lineage(scaled)
+    return cached_object(spark, "cluster_fit", sf, build)
+
+
 def cluster_segments(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Processed rows with MonetaryTotal > 0, their scaled clustering features
     (M11 fit) and the fixed-centroid assignment joined to the profile columns."""
     proc = processed(spark, sf)
     base = proc.where(F.col("MonetaryTotal") > 0)
-    _, scaled = M.cluster_prep_fit(base)
+    _, scaled = cluster_fit(spark, sf)
     assigned = C.assign(scaled, C.FIXED_CENTROIDS, C.FIXED_CENTROID_COLS)
     seg = (base.select("CustomerID", "Frequency", "MonetaryTotal", "CustomerTenureDays",
                        "SatisfactionScore", "Churn", "Recency")
@@ -158,6 +178,7 @@ def _load_all() -> None:
     from custlens.plans import q_tables  # noqa: F401
     from custlens.plans import q_scalar  # noqa: F401
     from custlens.plans import q_profile  # noqa: F401
+    from custlens.plans import q_models  # noqa: F401
 
 
 _load_all()
