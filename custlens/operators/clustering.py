@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from custlens.functions.scalars import round_even as _re
 
 from custlens.functions import scalars as S
-from custlens.operators.joins import DEFAULT_BROADCAST_ROWS, _chunks
 
 # Segment names given to clusters by descending mean spend.
 BASE_LABELS = ["VIP", "Fidele", "Occasionnel", "A Risque"]
@@ -47,36 +46,27 @@ def centroids_of(df: DataFrame, cols: list[str], cluster: str = "cluster") -> Da
     return df.groupBy(cluster).agg(*[F.avg(c).alias(c) for c in cols])
 
 
-def silhouette_exact(df: DataFrame, cols: list[str], key: str, cluster: str = "cluster",
-                     max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def silhouette_exact(df: DataFrame, cols: list[str], key: str, cluster: str = "cluster") -> DataFrame:
     """C05, Euclidean: mean of (b - a) / max(a, b); singleton clusters score 0.
 
-    Rows are streamed against bounded broadcast chunks and reduced at once to
-    per-(row, cluster) distance sums, so only k numbers per row are shuffled.
-    The work is quadratic by definition of the metric; ``silhouette_sq`` is
-    the linear-cost squared-Euclidean form used by Spark's evaluator.
+    The work is quadratic by definition of the metric.  Rows stay distributed;
+    each task holds a bounded chunk of rows and emits, per row and cluster,
+    the sum and count of distances to its batch (vectorised), so only k
+    numbers per row and batch are shuffled.  ``silhouette_sq`` is the
+    linear-cost squared-Euclidean form used by Spark's evaluator.
     """
-    q = df.select(F.col(key).alias("_qk"), F.col(cluster).alias("_qc"),
-                  *[F.col(c).cast("double").alias(f"_q_{i}") for i, c in enumerate(cols)])
-    d = df.select(F.col(key).alias("_dk"), F.col(cluster).alias("_dc"),
-                  *[F.col(c).cast("double").alias(f"_d_{i}") for i, c in enumerate(cols)])
-    parts = []
-    for qc in _chunks(q, "_qk", max_broadcast_rows):
-        pairs = d.join(qc, F.col("_qk") != F.col("_dk"))
-        dist = F.sqrt(reduce(lambda a, b: a + b, [(F.col(f"_q_{i}") - F.col(f"_d_{i}")) *
-                                                  (F.col(f"_q_{i}") - F.col(f"_d_{i}")) for i in range(len(cols))]))
-        parts.append(pairs.groupBy("_qk", "_qc", "_dc").agg(F.sum(dist).alias("s"),
-                                                           F.count(F.lit(1)).alias("n")))
-    sums = reduce(DataFrame.unionByName, parts)
-    per = sums.groupBy("_qk", "_qc").agg(
-        F.max(F.when(F.col("_dc") == F.col("_qc"), F.col("s") / F.col("n"))).alias("a"),
-        F.min(F.when(F.col("_dc") != F.col("_qc"), F.col("s") / F.col("n"))).alias("b"))
+    from custlens.operators.knn_wide import grouped_distance_sums
+    parts = grouped_distance_sums(df, key, cluster, cols)
+    sums = reduce(DataFrame.unionByName, parts).groupBy("_qk", "_qg", "_dg").agg(
+        F.sum("s").alias("s"), F.sum("n").alias("n"))
+    mean = F.when(F.col("n") > 0, F.col("s") / F.col("n"))
+    per = sums.groupBy("_qk", "_qg").agg(
+        F.max(F.when(F.col("_dg") == F.col("_qg"), mean)).alias("a"),
+        F.min(F.when(F.col("_dg") != F.col("_qg"), mean)).alias("b"))
     s = F.when(F.col("a").isNull(), F.lit(0.0)).otherwise(
         (F.col("b") - F.col("a")) / F.greatest(F.col("a"), F.col("b")))
-    # rows whose cluster has no other member never produce an 'a' -> score 0
-    return (df.select(F.col(key).alias("_qk"))
-              .join(per, "_qk", "left")
-              .agg(F.avg(F.coalesce(s, F.lit(0.0))).alias("silhouette")))
+    # rows whose cluster has no other member have no 'a' -> score 0
+    return per.agg(F.avg(F.coalesce(s, F.lit(0.0))).alias("silhouette"))
 
 
 def silhouette_sq(df: DataFrame, cols: list[str], cluster: str = "cluster") -> DataFrame:

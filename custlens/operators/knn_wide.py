@@ -103,3 +103,49 @@ def wide_candidates(queries: DataFrame, donors: DataFrame, qkey: str, dkey: str,
 
         out.append(d.mapInPandas(fn, schema))
     return out
+
+
+def grouped_distance_sums(df: DataFrame, key: str, group: str, cols: list[str]) -> list[DataFrame]:
+    """Per (row, group of the other rows): sum and count of Euclidean
+    distances to the other rows of that group (self excluded).  Rows stay
+    distributed as the donor side; each task emits one row per receiver and
+    group present in its batch, which Spark then sums."""
+    spark = df.sparkSession
+    n = len(cols)
+    fcols = [f"c{i}" for i in range(n)]
+    base = df.select(F.col(key).cast("long").alias("_k"), F.col(group).cast("long").alias("_g"),
+                     *[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    nq = base.count()
+    parts = max(1, math.ceil(nq / WIDE_CHUNK_ROWS))
+    out = []
+    for p in range(parts):
+        chunk = base if parts == 1 else base.where(F.pmod(F.xxhash64("_k"), F.lit(parts)) == p)
+        pdf = chunk.toPandas()            # at most WIDE_CHUNK_ROWS rows
+        bq = spark.sparkContext.broadcast((pdf["_k"].to_numpy(np.int64), pdf["_g"].to_numpy(np.int64),
+                                           pdf[fcols].to_numpy(np.float64)))
+
+        def fn(it, bq=bq):
+            qk, qg, Q = bq.value
+            for b in it:
+                dk = b["_k"].to_numpy(np.int64)
+                dg = b["_g"].to_numpy(np.int64)
+                D = b[fcols].to_numpy(np.float64)
+                groups = np.unique(dg)
+                rows = []
+                for r0 in range(0, len(qk), RECEIVER_BLOCK):
+                    Qs, ks, gs = Q[r0:r0 + RECEIVER_BLOCK], qk[r0:r0 + RECEIVER_BLOCK], qg[r0:r0 + RECEIVER_BLOCK]
+                    ss = np.zeros((Qs.shape[0], D.shape[0]))
+                    for f in range(n):
+                        diff = Qs[:, f, None] - D[None, :, f]
+                        ss = ss + diff * diff
+                    dist = np.sqrt(ss)
+                    other = ks[:, None] != dk[None, :]
+                    for g in groups:
+                        m = other & (dg == g)[None, :]
+                        rows.append(pd.DataFrame({"_qk": ks, "_qg": gs, "_dg": np.full(len(ks), g, np.int64),
+                                                  "s": np.where(m, dist, 0.0).sum(1), "n": m.sum(1)}))
+                if rows:
+                    yield pd.concat(rows, ignore_index=True)
+
+        out.append(base.mapInPandas(fn, "_qk long, _qg long, _dg long, s double, n long"))
+    return out

@@ -14,7 +14,7 @@ from custlens.operators import clustering as C
 from custlens.operators import features as M
 from custlens.plans import sqlgen  # noqa: F401  (registers oracle CTEs)
 from custlens.plans.fixture import customer_fixture, sql_with
-from custlens.session import cut_lineage
+from custlens.session import cut_lineage, materialise_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -53,7 +53,7 @@ def _materialise(spark: SparkSession, name: str, sf: str, build) -> DataFrame:
     checkpoint: later passes (fits, quantile rounds, reports) re-read it."""
     key = (id(spark), spark.sparkContext.applicationId, name, sf)
     if key not in _MATERIALISED:
-        _MATERIALISED[key] = cut_lineage(build())
+        _MATERIALISED[key] = materialise_table(build(), name)
     return _MATERIALISED[key]
 
 
@@ -82,7 +82,7 @@ def cluster_fit(spark: SparkSession, sf: str):
     def build():
         base = processed(spark, sf).where(F.col("MonetaryTotal") > 0)
         prep, scaled = M.cluster_prep_fit(base)
-        return prep, cut_lineage(scaled)
+        return prep, materialise_table(scaled, "cluster_scaled")
     return cached_object(spark, "cluster_fit", sf, build)
 
 

@@ -23,7 +23,7 @@ from custlens.plans.fixture import register_cte, sql_with
 from custlens.plans.q_scalar import auc_sql
 from custlens.plans.sqlgen import CF, LOGC, PROC_COLUMNS, knn_impute_ctes, qi, sel_rounded
 from custlens.plans.q_tables import PROC_D
-from custlens.session import cut_lineage, scratch_path
+from custlens.session import cut_lineage, materialise_table, scratch_path
 from custlens.sources import io
 
 
@@ -64,7 +64,7 @@ def pca_input(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
         imp = M.knn_impute_fit(x, feats, "CustomerID")
         xi = cut_lineage(M.knn_impute_apply(imp, x))
         xs = M.standard_fit(xi, feats).apply(xi)
-        return cut_lineage(xs), feats
+        return materialise_table(xs, "pca_input"), feats
     return cached_object(spark, "pca_input", sf, build)
 
 
@@ -102,7 +102,7 @@ def split_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Processed rows with the stratified 80/20 split label."""
     def build():
         sp = R.stratified_split(customers(spark, sf).select("CustomerID", "Churn"), "Churn", 0.2, 42)
-        return cut_lineage(processed(spark, sf).join(sp.select("CustomerID", "split"), "CustomerID"))
+        return materialise_table(processed(spark, sf).join(sp.select("CustomerID", "split"), "CustomerID"), "split_rows")
     return cached_object(spark, "split_rows", sf, build)
 
 
@@ -503,7 +503,7 @@ def q_c12(spark: SparkSession, sf: str) -> DataFrame:
 def spend_split(spark: SparkSession, sf: str) -> DataFrame:
     def build():
         sp = R.random_split(customers(spark, sf).select("CustomerID"), 0.2, 42)
-        return cut_lineage(processed(spark, sf).join(sp, "CustomerID"))
+        return materialise_table(processed(spark, sf).join(sp, "CustomerID"), "spend_split")
     return cached_object(spark, "spend_split", sf, build)
 
 
