@@ -167,18 +167,22 @@ def churn_by_cluster(df: DataFrame, cluster: str = "cluster", target: str = "Chu
 
 
 def kmeans_fit(df: DataFrame, cols: list[str], k: int = 4, n_init: int = 10, seed: int = 42,
-               max_iter: int = 300):
-    """K-means++ restarts; the lowest training cost wins."""
+               max_iter: int = 300, parallelism: int = 4):
+    """Seeded k-means restarts; the lowest training cost wins (ties: the
+    earliest seed).  Restarts are independent Spark jobs submitted from a
+    small thread pool, as CrossValidator does with its ``parallelism``."""
+    from concurrent.futures import ThreadPoolExecutor
     vec = VectorAssembler(inputCols=cols, outputCol="_features").transform(df).select("_features")
     vec = vec.cache()
-    best = None
-    for i in range(n_init):
-        m = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="_features",
-                   initMode="k-means||").fit(vec)
-        if best is None or m.summary.trainingCost < best.summary.trainingCost:
-            best = m
+
+    def fit(i: int):
+        return KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="_features",
+                      initMode="k-means||").fit(vec)
+
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        models = list(pool.map(fit, range(n_init)))
     vec.unpersist()
-    return best
+    return min(enumerate(models), key=lambda im: (im[1].summary.trainingCost, im[0]))[1]
 
 
 def kmeans_predict(model, df: DataFrame, cols: list[str], out: str = "cluster") -> DataFrame:
