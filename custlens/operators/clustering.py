@@ -50,14 +50,13 @@ def silhouette_exact(df: DataFrame, cols: list[str], key: str, cluster: str = "c
     """C05, Euclidean: mean of (b - a) / max(a, b); singleton clusters score 0.
 
     The work is quadratic by definition of the metric.  Rows stay distributed;
-    each task holds a bounded chunk of rows and emits, per row and cluster,
-    the sum and count of distances to its batch (vectorised), so only k
-    numbers per row and batch are shuffled.  ``silhouette_sq`` is the
+    block pairs of bounded size are co-grouped and each emits, per row and
+    cluster, the sum and count of distances to its donor block (vectorised),
+    so only k numbers per row and donor block are shuffled.  ``silhouette_sq`` is the
     linear-cost squared-Euclidean form used by Spark's evaluator.
     """
     from custlens.operators.knn_wide import grouped_distance_sums
-    parts = grouped_distance_sums(df, key, cluster, cols)
-    sums = reduce(DataFrame.unionByName, parts).groupBy("_qk", "_qg", "_dg").agg(
+    sums = grouped_distance_sums(df, key, cluster, cols).groupBy("_qk", "_qg", "_dg").agg(
         F.sum("s").alias("s"), F.sum("n").alias("n"))
     mean = F.when(F.col("n") > 0, F.col("s") / F.col("n"))
     per = sums.groupBy("_qk", "_qg").agg(

@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from custlens.functions import scalars as S
-from custlens.operators.joins import DEFAULT_BROADCAST_ROWS, EXPLICIT_MAX_DIMS, candidate_pairs
 from custlens.operators.knn_wide import wide_candidates
 from custlens.operators.quantiles import exact_quantiles
 from custlens.operators.schema import drop_constant_columns, null_sentinels
@@ -38,35 +37,20 @@ def knn_impute_fit(df: DataFrame, cols: list[str], key: str, k: int = 5) -> KnnI
     return KnnImputer(cols, key, k, donors, {c: row[c] for c in cols})
 
 
-def knn_impute_apply(model: KnnImputer, df: DataFrame,
-                     max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def knn_impute_apply(model: KnnImputer, df: DataFrame) -> DataFrame:
     """Each missing cell becomes the mean of that feature over the k nearest
     donors having it (NaN-aware Euclidean over the coordinates both rows
-    have; ties by donor key); with no comparable donor, the fit mean."""
+    have; ties by donor key); with no comparable donor, the fit mean.
+
+    Candidates per (receiver, missing feature) come from the block co-group
+    kernel; donors with nothing in common are never candidates (they hold a
+    slot but carry no weight in the reference)."""
     cols, key, k = model.cols, model.key, model.k
     any_null = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in cols])
     receivers = df.where(any_null).select(key, *[F.col(c).cast("double").alias(c) for c in cols])
     w = Window.partitionBy("_qk", "_f").orderBy(F.col("_dist").asc_nulls_last(), "_dk")
-    parts = []
-    n = len(cols)
-    if n > EXPLICIT_MAX_DIMS:
-        # wide vectors: vectorised partial top-k inside tasks, then the same window
-        for cand_df in wide_candidates(receivers, model.donors, key, key, cols, k, per_feature=True):
-            parts.append(cand_df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k))
-    for pairs in ([] if n > EXPLICIT_MAX_DIMS else
-                  candidate_pairs(receivers, model.donors, key, key, cols, max_broadcast_rows)):
-        q, d = F.col("_qv"), F.col("_dv")
-        # one candidate per feature the receiver lacks and the donor has
-        cand = F.array(*[F.when(q[i].isNull() & d[i].isNotNull(),
-                                F.struct(F.lit(i).alias("f"), d[i].alias("v"))) for i in range(n)])
-        # null distances (nothing in common) sort last and are dropped after the
-        # top-k cut: they hold a slot but carry no weight, as in the reference
-        top = (pairs.select("_qk", "_dk", "_dist", F.explode(F.filter(cand, lambda x: x.isNotNull())).alias("c"))
-               .select("_qk", "_dk", "_dist", F.col("c.f").alias("_f"), F.col("c.v").alias("_v"))
-               .withColumn("_rn", F.row_number().over(w))
-               .where((F.col("_rn") <= k) & F.col("_dist").isNotNull()))
-        parts.append(top)
-    top = reduce(DataFrame.unionByName, parts)
+    top = (wide_candidates(receivers, model.donors, key, key, cols, k, per_feature=True)
+           .withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k))
     filled = top.groupBy("_qk").agg(*[F.avg(F.when(F.col("_f") == i, F.col("_v"))).alias(f"_imp_{i}")
                                       for i in range(len(cols))])
     filled = filled.withColumnRenamed("_qk", key)

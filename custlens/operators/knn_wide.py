@@ -1,17 +1,22 @@
-"""Partial k-nearest candidates for wide feature vectors, vectorised inside
-tasks.
-
-Above a dozen coordinates the per-pair SQL expression no longer fits a
-JIT-compiled method and Spark evaluates it row by row.  Here the donor side
-stays distributed: ``mapInPandas`` runs on the donor partitions, each task
-holds one bounded chunk of receivers (shipped as a broadcast, as a broadcast
-join would) and computes the distances to its donor batch with numpy.  It
-emits, per receiver (and per missing feature for imputation), only the
-candidates tied with or closer than its k-th best, so the final ranking
-window sees a bounded number of rows per receiver per batch.
+"""Exact k-nearest candidates and pairwise distance sums, computed in blocks.
+
+Both sides stay distributed.  Receivers are hashed into ``nqb`` blocks and
+donors into ``ndb`` blocks; each receiver row is copied once per donor block
+and each donor row once per receiver block, and the two are co-grouped on the
+block pair ``(_qb, _db)``.  One group therefore holds at most about
+``receiver_block_rows`` receivers and ``donor_block_rows`` donors, whatever
+the table size: nothing passes through the driver, no pair rows are ever
+materialised, and no group grows with the data.  Inside a group the
+distances are computed with numpy, a sub-block of receivers at a time, and
+only the candidates tied with or closer than each receiver's k-th best (per
+missing feature for imputation) leave the task; the final ranking window sees
+at most about k rows per receiver and donor block.
+
+The work is quadratic by definition of these operators (receivers x donors);
+the shuffle is linear in ``nq * ndb + nd * nqb`` rows.
 
 Distances are summed coordinate by coordinate in column order, the same
-arithmetic as the SQL form, so ties and values agree exactly.
+arithmetic as the SQL oracle, so ties and values agree exactly.
 """
 
 from __future__ import annotations
@@ -23,8 +28,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WIDE_CHUNK_ROWS = 100_000     # receivers broadcast at a time
-RECEIVER_BLOCK = 256          # receivers per numpy block inside a task
+RECEIVER_BLOCK_ROWS = 4_096    # receivers per co-group (upper bound, hash-balanced)
+DONOR_BLOCK_ROWS = 16_384      # donors per co-group
+SUB_BLOCK = 256                # receivers per numpy distance block inside a group
 
 
 def _dist_block(Q: np.ndarray, Qm: np.ndarray, D: np.ndarray, Dm: np.ndarray, n: int) -> np.ndarray:
@@ -49,103 +55,139 @@ def _keep_mask(dist: np.ndarray, k: int) -> np.ndarray:
     return (big <= kth[:, None]) & ~np.isnan(dist)
 
 
+def _block_counts(nq: int, nd: int, min_groups: int,
+                  receiver_block_rows: int, donor_block_rows: int) -> tuple[int, int]:
+    """Receiver and donor block counts: blocks no larger than the bounds, and
+    at least ``min_groups`` block pairs so every core has work (extra blocks
+    go to the receiver side, which only adds donor copies)."""
+    ndb = max(1, math.ceil(nd / donor_block_rows))
+    nqb = max(1, math.ceil(nq / receiver_block_rows))
+    if nqb * ndb < min_groups:
+        nqb = max(nqb, min(max(nq, 1), math.ceil(min_groups / ndb)))
+    return nqb, ndb
+
+
+def _replicate(df: DataFrame, key: str, own: str, own_n: int, other: str, other_n: int) -> DataFrame:
+    """Hash each row to a block of its own side and copy it to every block of
+    the other side."""
+    return (df.withColumn(own, F.pmod(F.xxhash64(F.col(key)), F.lit(own_n)).cast("int"))
+              .withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(other_n - 1)))))
+
+
+def block_pairs(q: DataFrame, d: DataFrame, qkey: str, dkey: str,
+                receiver_block_rows: int | None = None, donor_block_rows: int | None = None):
+    """(grouped receivers, grouped donors) keyed by the block pair, ready for
+    ``cogroup``."""
+    spark = q.sparkSession
+    nq, nd = q.count(), d.count()
+    min_groups = 2 * spark.sparkContext.defaultParallelism
+    nqb, ndb = _block_counts(nq, nd, min_groups, receiver_block_rows or RECEIVER_BLOCK_ROWS,
+                             donor_block_rows or DONOR_BLOCK_ROWS)
+    qr = _replicate(q, qkey, "_qb", nqb, "_db", ndb)
+    dr = _replicate(d, dkey, "_db", ndb, "_qb", nqb)
+    return qr.groupBy("_qb", "_db"), dr.groupBy("_qb", "_db")
+
+
+_DTYPES = {"long": "int64", "int": "int32", "double": "float64"}
+
+
+def _empty(schema: str) -> pd.DataFrame:
+    return pd.DataFrame({name: pd.Series(dtype=_DTYPES[t])
+                         for name, t in (f.split() for f in schema.split(", "))})
+
+
+def _features(pdf: pd.DataFrame, fcols: list[str]) -> np.ndarray:
+    return pdf[fcols].to_numpy(np.float64, na_value=np.nan)
+
+
 def wide_candidates(queries: DataFrame, donors: DataFrame, qkey: str, dkey: str, cols: list[str],
-                    k: int, per_feature: bool, exclude_self: bool = False) -> list[DataFrame]:
+                    k: int, per_feature: bool, exclude_self: bool = False,
+                    receiver_block_rows: int | None = None,
+                    donor_block_rows: int | None = None) -> DataFrame:
     """Candidate rows: (_qk, _dk, _dist) or, per feature, (_qk, _f, _dk, _dist, _v)."""
-    spark = queries.sparkSession
     n = len(cols)
-    q = queries.select(F.col(qkey).cast("long").alias("_qk"), *[F.col(f"`{c}`").cast("double").alias(f"c{i}")
-                                                                for i, c in enumerate(cols)])
-    d = donors.select(F.col(dkey).cast("long").alias("_dk"), *[F.col(f"`{c}`").cast("double").alias(f"c{i}")
-                                                               for i, c in enumerate(cols)])
-    nq = q.count()
-    parts = max(1, math.ceil(nq / WIDE_CHUNK_ROWS))
+    fcols = [f"c{i}" for i in range(n)]
+    q = queries.select(F.col(qkey).cast("long").alias("_qk"),
+                       *[F.col(f"`{c}`").cast("double").alias(f) for c, f in zip(cols, fcols)])
+    d = donors.select(F.col(dkey).cast("long").alias("_dk"),
+                      *[F.col(f"`{c}`").cast("double").alias(f) for c, f in zip(cols, fcols)])
     schema = ("_qk long, _f int, _dk long, _dist double, _v double" if per_feature
               else "_qk long, _dk long, _dist double")
-    fcols = [f"c{i}" for i in range(n)]
-    out = []
-    for p in range(parts):
-        chunk = q if parts == 1 else q.where(F.pmod(F.xxhash64("_qk"), F.lit(parts)) == p)
-        pdf = chunk.toPandas()            # at most WIDE_CHUNK_ROWS rows
-        qk = pdf["_qk"].to_numpy(np.int64)
-        Q = pdf[fcols].to_numpy(np.float64, na_value=np.nan)
-        bq = spark.sparkContext.broadcast((qk, Q))
-
-        def fn(it, bq=bq):
-            qk, Q = bq.value
-            Qm = ~np.isnan(Q)
-            for b in it:
-                dk = b["_dk"].to_numpy(np.int64)
-                D = b[fcols].to_numpy(np.float64, na_value=np.nan)
-                Dm = ~np.isnan(D)
-                rows = []
-                for r0 in range(0, len(qk), RECEIVER_BLOCK):
-                    Qs, Qms, qks = Q[r0:r0 + RECEIVER_BLOCK], Qm[r0:r0 + RECEIVER_BLOCK], qk[r0:r0 + RECEIVER_BLOCK]
-                    dist = _dist_block(Qs, Qms, D, Dm, n)
-                    if exclude_self:
-                        dist[qks[:, None] == dk[None, :]] = np.nan
-                    if not per_feature:
-                        ri, di = np.nonzero(_keep_mask(dist, k))
-                        rows.append(pd.DataFrame({"_qk": qks[ri], "_dk": dk[di], "_dist": dist[ri, di]}))
-                        continue
-                    for f in range(n):
-                        miss = np.nonzero(~Qms[:, f])[0]
-                        has = np.nonzero(Dm[:, f])[0]
-                        if len(miss) == 0 or len(has) == 0:
-                            continue
-                        sub = dist[np.ix_(miss, has)]
-                        ri, di = np.nonzero(_keep_mask(sub, k))
-                        rows.append(pd.DataFrame({"_qk": qks[miss[ri]], "_f": np.full(len(ri), f, np.int32),
-                                                  "_dk": dk[has[di]], "_dist": sub[ri, di],
-                                                  "_v": D[has[di], f]}))
-                if rows:
-                    yield pd.concat(rows, ignore_index=True)
-
-        out.append(d.mapInPandas(fn, schema))
-    return out
-
-
-def grouped_distance_sums(df: DataFrame, key: str, group: str, cols: list[str]) -> list[DataFrame]:
-    """Per (row, group of the other rows): sum and count of Euclidean
-    distances to the other rows of that group (self excluded).  Rows stay
-    distributed as the donor side; each task emits one row per receiver and
-    group present in its batch, which Spark then sums."""
-    spark = df.sparkSession
+    empty = _empty(schema)
+
+    def fn(qpdf: pd.DataFrame, dpdf: pd.DataFrame) -> pd.DataFrame:
+        if qpdf.empty or dpdf.empty:
+            return empty
+        qk = qpdf["_qk"].to_numpy(np.int64)
+        Q = _features(qpdf, fcols)
+        Qm = ~np.isnan(Q)
+        dk = dpdf["_dk"].to_numpy(np.int64)
+        D = _features(dpdf, fcols)
+        Dm = ~np.isnan(D)
+        rows = []
+        for r0 in range(0, len(qk), SUB_BLOCK):
+            Qs, Qms, qks = Q[r0:r0 + SUB_BLOCK], Qm[r0:r0 + SUB_BLOCK], qk[r0:r0 + SUB_BLOCK]
+            dist = _dist_block(Qs, Qms, D, Dm, n)
+            if exclude_self:
+                dist[qks[:, None] == dk[None, :]] = np.nan
+            if not per_feature:
+                ri, di = np.nonzero(_keep_mask(dist, k))
+                rows.append(pd.DataFrame({"_qk": qks[ri], "_dk": dk[di], "_dist": dist[ri, di]}))
+                continue
+            for f in range(n):
+                miss = np.nonzero(~Qms[:, f])[0]
+                has = np.nonzero(Dm[:, f])[0]
+                if len(miss) == 0 or len(has) == 0:
+                    continue
+                sub = dist[np.ix_(miss, has)]
+                ri, di = np.nonzero(_keep_mask(sub, k))
+                rows.append(pd.DataFrame({"_qk": qks[miss[ri]], "_f": np.full(len(ri), f, np.int32),
+                                          "_dk": dk[has[di]], "_dist": sub[ri, di],
+                                          "_v": D[has[di], f]}))
+        return pd.concat(rows, ignore_index=True) if rows else empty
+
+    gq, gd = block_pairs(q, d, "_qk", "_dk", receiver_block_rows, donor_block_rows)
+    return gq.cogroup(gd).applyInPandas(fn, schema)
+
+
+def grouped_distance_sums(df: DataFrame, key: str, group: str, cols: list[str],
+                          receiver_block_rows: int | None = None,
+                          donor_block_rows: int | None = None) -> DataFrame:
+    """Per (row, group of the other rows) and donor block: sum and count of
+    Euclidean distances to the other rows of that group (self excluded).
+    Callers sum over the donor blocks."""
     n = len(cols)
     fcols = [f"c{i}" for i in range(n)]
     base = df.select(F.col(key).cast("long").alias("_k"), F.col(group).cast("long").alias("_g"),
-                     *[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
-    nq = base.count()
-    parts = max(1, math.ceil(nq / WIDE_CHUNK_ROWS))
-    out = []
-    for p in range(parts):
-        chunk = base if parts == 1 else base.where(F.pmod(F.xxhash64("_k"), F.lit(parts)) == p)
-        pdf = chunk.toPandas()            # at most WIDE_CHUNK_ROWS rows
-        bq = spark.sparkContext.broadcast((pdf["_k"].to_numpy(np.int64), pdf["_g"].to_numpy(np.int64),
-                                           pdf[fcols].to_numpy(np.float64)))
-
-        def fn(it, bq=bq):
-            qk, qg, Q = bq.value
-            for b in it:
-                dk = b["_k"].to_numpy(np.int64)
-                dg = b["_g"].to_numpy(np.int64)
-                D = b[fcols].to_numpy(np.float64)
-                groups = np.unique(dg)
-                rows = []
-                for r0 in range(0, len(qk), RECEIVER_BLOCK):
-                    Qs, ks, gs = Q[r0:r0 + RECEIVER_BLOCK], qk[r0:r0 + RECEIVER_BLOCK], qg[r0:r0 + RECEIVER_BLOCK]
-                    ss = np.zeros((Qs.shape[0], D.shape[0]))
-                    for f in range(n):
-                        diff = Qs[:, f, None] - D[None, :, f]
-                        ss = ss + diff * diff
-                    dist = np.sqrt(ss)
-                    other = ks[:, None] != dk[None, :]
-                    for g in groups:
-                        m = other & (dg == g)[None, :]
-                        rows.append(pd.DataFrame({"_qk": ks, "_qg": gs, "_dg": np.full(len(ks), g, np.int64),
-                                                  "s": np.where(m, dist, 0.0).sum(1), "n": m.sum(1)}))
-                if rows:
-                    yield pd.concat(rows, ignore_index=True)
-
-        out.append(base.mapInPandas(fn, "_qk long, _qg long, _dg long, s double, n long"))
-    return out
+                     *[F.col(f"`{c}`").cast("double").alias(f) for c, f in zip(cols, fcols)])
+    schema = "_qk long, _qg long, _dg long, s double, n long"
+    empty = _empty(schema)
+
+    def fn(qpdf: pd.DataFrame, dpdf: pd.DataFrame) -> pd.DataFrame:
+        if qpdf.empty or dpdf.empty:
+            return empty
+        qk, qg, Q = qpdf["_k"].to_numpy(np.int64), qpdf["_g"].to_numpy(np.int64), _features(qpdf, fcols)
+        dk, dg, D = dpdf["_dk"].to_numpy(np.int64), dpdf["_dg"].to_numpy(np.int64), _features(dpdf, dcols)
+        groups = np.unique(dg)
+        rows = []
+        for r0 in range(0, len(qk), SUB_BLOCK):
+            Qs, ks, gs = Q[r0:r0 + SUB_BLOCK], qk[r0:r0 + SUB_BLOCK], qg[r0:r0 + SUB_BLOCK]
+            ss = np.zeros((Qs.shape[0], D.shape[0]))
+            for f in range(n):
+                diff = Qs[:, f, None] - D[None, :, f]
+                ss = ss + diff * diff
+            dist = np.sqrt(ss)
+            other = ks[:, None] != dk[None, :]
+            for g in groups:
+                m = other & (dg == g)[None, :]
+                rows.append(pd.DataFrame({"_qk": ks, "_qg": gs, "_dg": np.full(len(ks), g, np.int64),
+                                          "s": np.where(m, dist, 0.0).sum(1), "n": m.sum(1)}))
+        return pd.concat(rows, ignore_index=True) if rows else empty
+
+    # the donor side gets its own column names: co-grouping a frame with
+    # itself would be an ambiguous self-join
+    dcols = [f"d{i}" for i in range(n)]
+    donors = base.select(F.col("_k").alias("_dk"), F.col("_g").alias("_dg"),
+                         *[F.col(f).alias(g) for f, g in zip(fcols, dcols)])
+    gq, gd = block_pairs(base, donors, "_k", "_dk", receiver_block_rows, donor_block_rows)
+    return gq.cogroup(gd).applyInPandas(fn, schema)

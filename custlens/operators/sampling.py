@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from custlens.operators.joins import DEFAULT_BROADCAST_ROWS, knn_join
+from custlens.operators.joins import knn_join
 
 HASH_MOD = 10007
 HASH_MUL = 7919
@@ -101,7 +101,7 @@ def with_class_weights(df: DataFrame, y: str, out: str = "weight") -> DataFrame:
 
 
 def smote(df: DataFrame, y: str, cols: list[str], key: str = "CustomerID", k: int = 5,
-          seed: int = 42, max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+          seed: int = 42) -> DataFrame:
     """Oversample the minority class to parity.  Synthetic row i uses
     minority row (i mod n_min) in hash order, its j-th nearest minority
     neighbour (j and the gap u derived from hashes of i), x + u * (nn - x).
@@ -116,7 +116,7 @@ def smote(df: DataFrame, y: str, cols: list[str], key: str = "CustomerID", k: in
     mino = df.where(F.col(y) == F.lit(minor)).select(key, *cols)
     pos = stratum_positions(mino, key, seed).select(key, "_pos")
     kk = min(k, n_min - 1)
-    nn = knn_join(mino, mino, key, key, cols, kk, exclude_self=True, max_broadcast_rows=max_broadcast_rows)
+    nn = knn_join(mino, mino, key, key, cols, kk, exclude_self=True)
     nn = nn.select(F.col(key).alias("_src"), F.col(f"nn_{key}").alias("_nb"), F.col("rank").alias("_j"))
     reps = F.ceil((F.lit(need) - F.col("_pos")) / F.lit(n_min)).cast("int")
     gen = (pos.where(F.col("_pos") < need)

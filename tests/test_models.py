@@ -59,6 +59,52 @@ def test_knn_impute_bruteforce_and_wide_path(spark):
         assert np.allclose(got4[key], vals, rtol=0, atol=1e-12), key
 
 
+def test_knn_many_blocks_match_bruteforce(spark, monkeypatch):
+    """Tiny block bounds: rows spread over many (receiver, donor) block pairs
+    must give the same neighbours, imputations and silhouette as one block."""
+    from custlens.operators import knn_wide
+    monkeypatch.setattr(knn_wide, "RECEIVER_BLOCK_ROWS", 7)
+    monkeypatch.setattr(knn_wide, "DONOR_BLOCK_ROWS", 11)
+    random.seed(5)
+    n = 5
+    rows = [tuple([key] + [None if random.random() < 0.25 else float(random.randint(0, 4)) for _ in range(n)])
+            for key in range(70)]
+    cols = [f"x{i}" for i in range(n)]
+    df = spark.createDataFrame(rows, "k long, " + ", ".join(f"{c} double" for c in cols))
+    exp = _brute_impute(rows, 3)
+    got = {r["k"]: [r[c] for c in cols] for r in M.knn_impute_apply(M.knn_impute_fit(df, cols, "k", k=3), df).collect()}
+    for key, vals in exp.items():
+        assert np.allclose(got[key], vals, rtol=0, atol=1e-12), key
+    full = [r for r in rows if None not in r]
+    X = {r[0]: np.array(r[1:]) for r in full}
+    dfull = df.dropna()
+    nn = J.knn_join(dfull, dfull, "k", "k", cols, 3, exclude_self=True).collect()
+    got_nn = {}
+    for r in nn:
+        got_nn.setdefault(r.k, []).append((r["rank"], r.nn_k, r.distance))
+    for q, x in X.items():
+        want = sorted((float(np.sqrt(((x - y) ** 2).sum())), d) for d, y in X.items() if d != q)[:3]
+        have = sorted(got_nn[q])
+        assert [h[1] for h in have] == [w[1] for w in want], q
+        assert np.allclose([h[2] for h in have], [w[0] for w in want], rtol=0, atol=1e-12)
+    a = C.assign(dfull, [[0.0] * n, [4.0] * n], cols)
+    lab = {r.k: r.cluster for r in a.collect()}
+    keys = sorted(X)
+    P = np.array([X[q] for q in keys])
+    L = np.array([lab[q] for q in keys])
+    s = []
+    for i in range(len(P)):
+        d = np.sqrt(((P - P[i]) ** 2).sum(1))
+        own = L == L[i]
+        if own.sum() <= 1:
+            s.append(0.0)
+            continue
+        ai = d[own & (np.arange(len(P)) != i)].mean()
+        bi = min(d[L == c].mean() for c in set(L) if c != L[i])
+        s.append((bi - ai) / max(ai, bi))
+    assert abs(C.silhouette_exact(a, cols, "k").first()[0] - np.mean(s)) < 1e-9
+
+
 def test_knn_join_ties_by_key(spark):
     df = spark.createDataFrame([(i, 0.0) for i in range(6)], "k long, x double")
     nn = J.knn_join(df, df, "k", "k", ["x"], 2, exclude_self=True).where("k = 0").orderBy("rank").collect()
