@@ -31,18 +31,44 @@ from pyspark.sql import functions as F
 RECEIVER_BLOCK_ROWS = 4_096    # receivers per co-group (upper bound, hash-balanced)
 DONOR_BLOCK_ROWS = 16_384      # donors per co-group
 SUB_BLOCK = 256                # receivers per numpy distance block inside a group
+DONOR_TILE = 4_096             # donor columns per in-cache distance tile
 
 
 def _dist_block(Q: np.ndarray, Qm: np.ndarray, D: np.ndarray, Dm: np.ndarray, n: int) -> np.ndarray:
-    ss = np.zeros((Q.shape[0], D.shape[0]))
-    common = np.zeros((Q.shape[0], D.shape[0]), dtype=np.int64)
-    for f in range(n):
-        both = Qm[:, f, None] & Dm[None, :, f]
-        diff = Q[:, f, None] - D[None, :, f]
-        ss = ss + np.where(both, diff * diff, 0.0)
-        common += both
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return np.where(common > 0, np.sqrt(ss * float(n) / common), np.nan)
+    """NaN-aware distances sqrt(ss * n / common) for a receiver sub-block
+    against the donors, computed in donor tiles with in-place buffers.
+
+    ``ss`` adds the squared differences of the coordinates present on both
+    sides in column order (absent ones add 0.0), exactly as the SQL form, so
+    results are bit-identical; the common-coordinate counts are an exact
+    integer matrix product of the presence masks."""
+    m, nd = Q.shape[0], D.shape[0]
+    out = np.empty((m, nd))
+    q_all = Qm.all(axis=0)
+    Qf = Qm.astype(np.float64)
+    for j0 in range(0, nd, DONOR_TILE):
+        Dt, Dmt = D[j0:j0 + DONOR_TILE], Dm[j0:j0 + DONOR_TILE]
+        ss = out[:, j0:j0 + Dt.shape[0]]
+        ss.fill(0.0)
+        buf = np.empty(ss.shape)
+        d_all = Dmt.all(axis=0)
+        for f in range(n):
+            np.subtract(Q[:, f, None], Dt[None, :, f], out=buf)
+            np.multiply(buf, buf, out=buf)
+            if not (q_all[f] and d_all[f]):
+                np.copyto(buf, 0.0, where=~(Qm[:, f, None] & Dmt[None, :, f]))
+            ss += buf
+        ss *= float(n)
+        if q_all.all() and d_all.all():
+            ss /= float(n)
+            np.sqrt(ss, out=ss)
+            continue
+        common = Qf @ Dmt.T.astype(np.float64)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            ss /= common
+        np.sqrt(ss, out=ss)
+        ss[common == 0] = np.nan
+    return out
 
 
 def _keep_mask(dist: np.ndarray, k: int) -> np.ndarray:
@@ -83,8 +109,12 @@ def block_pairs(q: DataFrame, d: DataFrame, qkey: str, dkey: str,
     min_groups = 2 * spark.sparkContext.defaultParallelism
     nqb, ndb = _block_counts(nq, nd, min_groups, receiver_block_rows or RECEIVER_BLOCK_ROWS,
                              donor_block_rows or DONOR_BLOCK_ROWS)
-    qr = _replicate(q, qkey, "_qb", nqb, "_db", ndb)
-    dr = _replicate(d, dkey, "_db", ndb, "_qb", nqb)
+    # the groups are compute-heavy but small in bytes: an explicit partition
+    # count keeps AQE from coalescing them onto a few tasks (capped, so a huge
+    # table does not ask for one partition per block pair)
+    parts = min(nqb * ndb, max(min_groups, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    qr = _replicate(q, qkey, "_qb", nqb, "_db", ndb).repartition(parts, "_qb", "_db")
+    dr = _replicate(d, dkey, "_db", ndb, "_qb", nqb).repartition(parts, "_qb", "_db")
     return qr.groupBy("_qb", "_db"), dr.groupBy("_qb", "_db")
 
 
@@ -168,20 +198,27 @@ def grouped_distance_sums(df: DataFrame, key: str, group: str, cols: list[str],
             return empty
         qk, qg, Q = qpdf["_k"].to_numpy(np.int64), qpdf["_g"].to_numpy(np.int64), _features(qpdf, fcols)
         dk, dg, D = dpdf["_dk"].to_numpy(np.int64), dpdf["_dg"].to_numpy(np.int64), _features(dpdf, dcols)
-        groups = np.unique(dg)
+        # donors sorted by group: each group's distances are one column slice;
+        # a receiver's own row (distance exactly 0) only changes the count
+        order = np.argsort(dg, kind="stable")
+        dk, dg, D = dk[order], dg[order], D[order]
+        groups, starts = np.unique(dg, return_index=True)
+        bounds = [*starts.tolist(), len(dg)]
         rows = []
         for r0 in range(0, len(qk), SUB_BLOCK):
             Qs, ks, gs = Q[r0:r0 + SUB_BLOCK], qk[r0:r0 + SUB_BLOCK], qg[r0:r0 + SUB_BLOCK]
             ss = np.zeros((Qs.shape[0], D.shape[0]))
+            buf = np.empty(ss.shape)
             for f in range(n):
-                diff = Qs[:, f, None] - D[None, :, f]
-                ss = ss + diff * diff
-            dist = np.sqrt(ss)
-            other = ks[:, None] != dk[None, :]
-            for g in groups:
-                m = other & (dg == g)[None, :]
+                np.subtract(Qs[:, f, None], D[None, :, f], out=buf)
+                np.multiply(buf, buf, out=buf)
+                ss += buf
+            dist = np.sqrt(ss, out=ss)
+            for i, g in enumerate(groups):
+                lo, hi = bounds[i], bounds[i + 1]
+                own = np.isin(ks, dk[lo:hi])
                 rows.append(pd.DataFrame({"_qk": ks, "_qg": gs, "_dg": np.full(len(ks), g, np.int64),
-                                          "s": np.where(m, dist, 0.0).sum(1), "n": m.sum(1)}))
+                                          "s": dist[:, lo:hi].sum(1), "n": (hi - lo) - own.astype(np.int64)}))
         return pd.concat(rows, ignore_index=True) if rows else empty
 
     # the donor side gets its own column names: co-grouping a frame with
