@@ -2,9 +2,11 @@
 
 The scoring chain contains rank filters (the KNN donors), which Structured
 Streaming does not allow on a streaming DataFrame, so each micro-batch runs
-the batch chain through ``foreachBatch`` and appends to a sink table.  The
-fitted state is static, so the stream needs no state store; the checkpoint
-location makes the sink exactly-once across restarts.
+the batch chain through ``foreachBatch``.  The fitted state is static, so the
+stream needs no state store.  Each micro-batch overwrites its own
+``batch_id=<n>`` partition of the sink, so a batch replayed after a failure
+(the checkpoint re-runs an unfinished batch with the same id) replaces its
+partial output instead of appending duplicates: the sink is exactly-once.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ def score_stream(spark: SparkSession, source_dir: str, schema: T.StructType,
            .option("maxFilesPerTrigger", max_files_per_trigger).load(source_dir))
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        score(batch).write.mode("append").parquet(sink_dir)
+        score(batch).write.mode("overwrite").parquet(f"{sink_dir}/batch_id={batch_id}")
 
     return (src.writeStream.foreachBatch(run)
                .option("checkpointLocation", checkpoint)
