@@ -93,14 +93,17 @@ def _block_counts(nq: int, nd: int, min_groups: int,
     return nqb, ndb
 
 
-def _replicate(df: DataFrame, key: str, own: str, own_n: int, other: str, other_n: int) -> DataFrame:
+def _replicate(df: DataFrame, own: str, own_n: int, other: str, other_n: int) -> DataFrame:
     """Hash each row to a block of its own side and copy it to every block of
-    the other side."""
-    return (df.withColumn(own, F.pmod(F.xxhash64(F.col(key)), F.lit(own_n)).cast("int"))
+    the other side.  The hash covers the key and every feature, so even a key
+    repeated on many rows spreads over the blocks (the assignment is a pure
+    function of the row: a recomputed task sends rows to the same blocks)."""
+    h = F.xxhash64(*[F.col(c) for c in df.columns])
+    return (df.withColumn(own, F.pmod(h, F.lit(own_n)).cast("int"))
               .withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(other_n - 1)))))
 
 
-def block_pairs(q: DataFrame, d: DataFrame, qkey: str, dkey: str,
+def block_pairs(q: DataFrame, d: DataFrame,
                 receiver_block_rows: int | None = None, donor_block_rows: int | None = None):
     """(grouped receivers, grouped donors) keyed by the block pair, ready for
     ``cogroup``."""
@@ -113,8 +116,8 @@ def block_pairs(q: DataFrame, d: DataFrame, qkey: str, dkey: str,
     # count keeps AQE from coalescing them onto a few tasks (capped, so a huge
     # table does not ask for one partition per block pair)
     parts = min(nqb * ndb, max(min_groups, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    qr = _replicate(q, qkey, "_qb", nqb, "_db", ndb).repartition(parts, "_qb", "_db")
-    dr = _replicate(d, dkey, "_db", ndb, "_qb", nqb).repartition(parts, "_qb", "_db")
+    qr = _replicate(q, "_qb", nqb, "_db", ndb).repartition(parts, "_qb", "_db")
+    dr = _replicate(d, "_db", ndb, "_qb", nqb).repartition(parts, "_qb", "_db")
     return qr.groupBy("_qb", "_db"), dr.groupBy("_qb", "_db")
 
 
@@ -176,7 +179,7 @@ def wide_candidates(queries: DataFrame, donors: DataFrame, qkey: str, dkey: str,
                                           "_v": D[has[di], f]}))
         return pd.concat(rows, ignore_index=True) if rows else empty
 
-    gq, gd = block_pairs(q, d, "_qk", "_dk", receiver_block_rows, donor_block_rows)
+    gq, gd = block_pairs(q, d, receiver_block_rows, donor_block_rows)
     return gq.cogroup(gd).applyInPandas(fn, schema)
 
 
@@ -226,5 +229,5 @@ def grouped_distance_sums(df: DataFrame, key: str, group: str, cols: list[str],
     dcols = [f"d{i}" for i in range(n)]
     donors = base.select(F.col("_k").alias("_dk"), F.col("_g").alias("_dg"),
                          *[F.col(f).alias(g) for f, g in zip(fcols, dcols)])
-    gq, gd = block_pairs(base, donors, "_k", "_dk", receiver_block_rows, donor_block_rows)
+    gq, gd = block_pairs(base, donors, receiver_block_rows, donor_block_rows)
     return gq.cogroup(gd).applyInPandas(fn, schema)
