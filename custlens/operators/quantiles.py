@@ -20,13 +20,14 @@ COLLECT_LIMIT = 50_000
 
 
 class _Target:
-    __slots__ = ("col", "rank", "lo", "hi", "below", "cnt", "value")
+    __slots__ = ("col", "rank", "lo", "hi", "below", "cnt", "value", "misses")
 
     def __init__(self, col: str, rank: int, cnt: int):
         self.col, self.rank, self.cnt = col, rank, cnt
         self.lo = self.hi = None
         self.below = 0
         self.value = None
+        self.misses = 0
 
     def in_range(self):
         c = F.col(self.col)
@@ -82,9 +83,10 @@ def order_statistics(df: DataFrame, wanted: dict[str, set[int]],
             ts = big[k]
             cnt = ts[0].cnt
             acc = int(min(1_000_000, max(accuracy, 8 * cnt / collect_limit)))
-            m = 3.0 / acc
             ps = []
             for t in ts:
+                # the sketch is deterministic: after a miss the margin doubles
+                m = 3.0 * (2 ** t.misses) / acc
                 q = (t.rank - t.below + 0.5) / cnt
                 ps += [max(0.0, q - m), min(1.0, q + m)]
             exprs.append(F.percentile_approx(F.when(ts[0].in_range(), F.col(k[0])), ps, acc).alias(f"b{i}"))
@@ -108,17 +110,18 @@ def order_statistics(df: DataFrame, wanted: dict[str, set[int]],
             nb, nm, ne, nf = crow[f"l{i}"], crow[f"m{i}"], crow[f"e{i}"], crow[f"f{i}"]
             start = t.below + nb
             if not (start <= t.rank < start + nm):
-                continue  # sketch missed; the next round sketches again
+                t.misses += 1  # sketch missed; the next round uses a wider bracket
+                continue
             if t.rank < start + ne:          # inside the run of values == lo
                 t.value = lo
             elif t.rank >= start + nm - nf:  # inside the run of values == hi
                 t.value = hi
             else:
                 t.lo, t.hi, t.below, t.cnt = lo, hi, start, nm
-    out = {}
-    for t in targets:
-        out[(t.col, t.rank)] = t.value
-    return out
+    unresolved = [(t.col, t.rank) for t in targets if t.value is None]
+    if unresolved:
+        raise RuntimeError(f"order statistics not resolved in {max_rounds} rounds: {unresolved[:5]}")
+    return {(t.col, t.rank): t.value for t in targets}
 
 
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],

@@ -20,6 +20,10 @@ def test_exact_quantiles_vs_numpy(spark):
         got = Q.exact_quantiles(df, ["x"], ps, collect_limit=lim)
         for p in ps:
             assert got[("x", p)] == float(np.quantile(arr, p))
+    # a tiny fetch limit: several narrowing rounds before the final fetch
+    got = Q.exact_quantiles(df, ["x"], ps, collect_limit=3, accuracy=2)
+    for p in ps:
+        assert got[("x", p)] == float(np.quantile(arr, p))
 
 
 def test_quantiles_all_null_and_single(spark):
