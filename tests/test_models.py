@@ -202,3 +202,12 @@ def test_pca_ratios_and_artefact_roundtrip(spark, tmp_path):
     io.save_artefacts(spark, d, {"scaler": sc.to_frame(spark)})
     back = M.ColumnAffine.from_frame(io.load_artefacts(spark, d, ["scaler"])[0]["scaler"])
     assert back.center == sc.center and back.scale == sc.scale
+
+
+def test_block_counts_bounds():
+    from custlens.operators.knn_wide import _block_counts
+    for nq, nd in [(0, 0), (1, 1), (15_000, 15_000), (10**9, 10**8), (5, 10**6)]:
+        nqb, ndb = _block_counts(nq, nd, 16, 4096, 16384)
+        assert nqb >= 1 and ndb >= 1
+        assert nd / ndb <= 16384 and nq / nqb <= 4096      # no block above its bound
+        assert nqb * ndb >= 16 or nqb >= max(nq, 1)        # enough groups, unless too few rows
