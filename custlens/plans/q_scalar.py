@@ -287,10 +287,13 @@ def q_j04(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("j05_attach", sql_with(["cust", "proc"], """SELECT p.CustomerID, p.Recency, round_even(p.AvgBasketValue, 6) AS AvgBasketValue, c.Churn
-FROM proc p JOIN (SELECT CustomerID, Churn FROM cust WHERE CustomerID % 2 = 0) c ON c.CustomerID = p.CustomerID"""))
+FROM (SELECT CustomerID, Recency, AvgBasketValue FROM proc WHERE MonetaryTotal > 0) p
+JOIN (SELECT CustomerID, Churn FROM cust) c ON c.CustomerID = p.CustomerID"""))
 def q_j05(spark: SparkSession, sf: str) -> DataFrame:
-    labels = customers(spark, sf).where("CustomerID % 2 = 0").select("CustomerID", "Churn")
-    feats = processed(spark, sf).select("CustomerID", "Recency", "AvgBasketValue")
+    """Labels brought back to the filtered clustering rows (MonetaryTotal > 0,
+    P12) from the source table through the explicit key."""
+    labels = customers(spark, sf).select("CustomerID", "Churn")
+    feats = processed(spark, sf).where(F.col("MonetaryTotal") > 0).select("CustomerID", "Recency", "AvgBasketValue")
     return rd(J.attach(feats, labels, "CustomerID"))
 
 
