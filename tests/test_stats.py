@@ -40,6 +40,15 @@ def test_roc_auc_and_ap_bruteforce(spark):
     neg = [p for y, p in rows if y == 0]
     auc = sum((1.0 if a > b else 0.5 if a == b else 0.0) for a in pos for b in neg) / (len(pos) * len(neg))
     assert abs(W.roc_auc(df, "y", "p").first()[0] - auc) < 1e-12
+    # grouped: one AUC per group in one job, each equal to its own pair count
+    gdf = spark.createDataFrame([(i % 3, y, p) for i, (y, p) in enumerate(rows)], "g int, y int, p double")
+    got = {r.g: r.roc_auc for r in W.roc_auc(gdf, "y", "p", by=["g"]).collect()}
+    for g in range(3):
+        sub = [(y, p) for i, (y, p) in enumerate(rows) if i % 3 == g]
+        gp = [p for y, p in sub if y == 1]
+        gn = [p for y, p in sub if y == 0]
+        want = sum((1.0 if a > b else 0.5 if a == b else 0.0) for a in gp for b in gn) / (len(gp) * len(gn))
+        assert abs(got[g] - want) < 1e-12
     # average precision: sum over distinct thresholds of (R_n - R_{n-1}) P_n
     ths = sorted({p for _, p in rows}, reverse=True)
     ap, prev_r = 0.0, 0.0
