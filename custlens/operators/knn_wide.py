@@ -84,12 +84,14 @@ def _keep_mask(dist: np.ndarray, k: int) -> np.ndarray:
 def _block_counts(nq: int, nd: int, min_groups: int,
                   receiver_block_rows: int, donor_block_rows: int) -> tuple[int, int]:
     """Receiver and donor block counts: blocks no larger than the bounds, and
-    at least ``min_groups`` block pairs so every core has work (extra blocks
-    go to the receiver side, which only adds donor copies)."""
+    up to ``min_groups`` block pairs so every core has work.  Extra blocks go
+    to the receiver side (each adds one copy of the donors), but never below
+    one numpy sub-block of receivers per block, so a small input on a very
+    large cluster is not copied once per receiver."""
     ndb = max(1, math.ceil(nd / donor_block_rows))
     nqb = max(1, math.ceil(nq / receiver_block_rows))
     if nqb * ndb < min_groups:
-        nqb = max(nqb, min(max(nq, 1), math.ceil(min_groups / ndb)))
+        nqb = max(nqb, min(math.ceil(max(nq, 1) / SUB_BLOCK), math.ceil(min_groups / ndb)))
     return nqb, ndb
 
 

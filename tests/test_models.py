@@ -205,9 +205,13 @@ def test_pca_ratios_and_artefact_roundtrip(spark, tmp_path):
 
 
 def test_block_counts_bounds():
-    from custlens.operators.knn_wide import _block_counts
-    for nq, nd in [(0, 0), (1, 1), (15_000, 15_000), (10**9, 10**8), (5, 10**6)]:
-        nqb, ndb = _block_counts(nq, nd, 16, 4096, 16384)
-        assert nqb >= 1 and ndb >= 1
-        assert nd / ndb <= 16384 and nq / nqb <= 4096      # no block above its bound
-        assert nqb * ndb >= 16 or nqb >= max(nq, 1)        # enough groups, unless too few rows
+    from custlens.operators.knn_wide import SUB_BLOCK, _block_counts
+    for groups in (16, 16_000):                               # local, and a very large cluster
+        for nq, nd in [(0, 0), (1, 1), (15_000, 15_000), (10**9, 10**8), (5, 10**6)]:
+            nqb, ndb = _block_counts(nq, nd, groups, 4096, 16384)
+            assert nqb >= 1 and ndb >= 1
+            assert nd / ndb <= 16384 and nq / nqb <= 4096      # no block above its bound
+            # enough groups, unless the receivers would fall below one sub-block per block
+            assert nqb * ndb >= groups or nqb >= math.ceil(max(nq, 1) / SUB_BLOCK)
+            # small inputs are not copied once per receiver
+            assert nqb <= max(math.ceil(max(nq, 1) / SUB_BLOCK), math.ceil(nq / 4096), 1)
