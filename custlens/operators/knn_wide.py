@@ -8,9 +8,9 @@ block pair ``(_qb, _db)``.  One group therefore holds at most about
 the table size: nothing passes through the driver, no pair rows are ever
 materialised, and no group grows with the data.  Inside a group the
 distances are computed with numpy, a sub-block of receivers at a time, and
-only the candidates tied with or closer than each receiver's k-th best (per
+only each receiver's k best candidates in (distance, donor key) order (per
 missing feature for imputation) leave the task; the final ranking window sees
-at most about k rows per receiver and donor block.
+at most k rows per receiver and donor block, however many distances tie.
 
 The work is quadratic by definition of these operators (receivers x donors);
 the shuffle is linear in ``nq * ndb + nd * nqb`` rows.
@@ -72,13 +72,22 @@ def _dist_block(Q: np.ndarray, Qm: np.ndarray, D: np.ndarray, Dm: np.ndarray, n:
 
 
 def _keep_mask(dist: np.ndarray, k: int) -> np.ndarray:
-    """Cells within each row's k smallest distances, ties at the cut kept."""
-    big = np.where(np.isnan(dist), np.inf, dist)
-    if big.shape[1] > k:
-        kth = np.partition(big, k - 1, axis=1)[:, k - 1]
-    else:
-        kth = np.full(big.shape[0], np.inf)
-    return (big <= kth[:, None]) & ~np.isnan(dist)
+    """Each row's k smallest cells in (distance, column) order; NaN never kept.
+
+    Columns must be in ascending donor-key order, so ties at the cut go to
+    the smaller key, the final ranking's order.  The global top-k under that
+    order is inside the union of the per-block top-k, so keeping exactly k
+    per block is exact, and a run of equal distances (many identical donors)
+    cannot inflate the candidates."""
+    nan = np.isnan(dist)
+    if dist.shape[1] <= k:
+        return ~nan
+    big = np.where(nan, np.inf, dist)
+    kth = np.partition(big, k - 1, axis=1)[:, k - 1]
+    less = big < kth[:, None]
+    tie = big == kth[:, None]
+    need = k - less.sum(axis=1)
+    return (less | (tie & (np.cumsum(tie, axis=1) <= need[:, None]))) & ~nan
 
 
 def _block_counts(nq: int, nd: int, min_groups: int,
@@ -156,8 +165,10 @@ def wide_candidates(queries: DataFrame, donors: DataFrame, qkey: str, dkey: str,
         qk = qpdf["_qk"].to_numpy(np.int64)
         Q = _features(qpdf, fcols)
         Qm = ~np.isnan(Q)
-        dk = dpdf["_dk"].to_numpy(np.int64)
-        D = _features(dpdf, fcols)
+        # donors in key order: ties at the k-th distance go to the smaller key
+        order = np.argsort(dpdf["_dk"].to_numpy(np.int64), kind="stable")
+        dk = dpdf["_dk"].to_numpy(np.int64)[order]
+        D = _features(dpdf, fcols)[order]
         Dm = ~np.isnan(D)
         rows = []
         for r0 in range(0, len(qk), SUB_BLOCK):

@@ -215,3 +215,18 @@ def test_block_counts_bounds():
             assert nqb * ndb >= groups or nqb >= math.ceil(max(nq, 1) / SUB_BLOCK)
             # small inputs are not copied once per receiver
             assert nqb <= max(math.ceil(max(nq, 1) / SUB_BLOCK), math.ceil(nq / 4096), 1)
+
+
+def test_knn_candidates_bounded_under_ties(spark, monkeypatch):
+    """All donors at the same distance: each block emits exactly k candidates
+    per receiver (smallest keys), and the join returns the k smallest keys."""
+    from custlens.operators import knn_wide
+    monkeypatch.setattr(knn_wide, "DONOR_BLOCK_ROWS", 50)
+    donors = spark.createDataFrame([(i, 1.0, 1.0) for i in range(300)], "k long, a double, b double")
+    recv = spark.createDataFrame([(1000 + i, 0.0, 0.0) for i in range(5)], "k long, a double, b double")
+    cand = knn_wide.wide_candidates(recv, donors, "k", "k", ["a", "b"], 3, per_feature=False)
+    per = {r._qk: r.n for r in cand.groupBy("_qk").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert set(per) == {1000 + i for i in range(5)} and max(per.values()) <= 3 * 6
+    nn = J.knn_join(recv, donors, "k", "k", ["a", "b"], 3).collect()
+    for q in range(1000, 1005):
+        assert sorted((r["rank"], r.nn_k) for r in nn if r.k == q) == [(1, 0), (2, 1), (3, 2)]
