@@ -61,9 +61,14 @@ def customers(spark: SparkSession, sf: str) -> DataFrame:
     return _materialise(spark, "customers", sf, lambda: customer_fixture(spark, sf))
 
 
+def preprocessed(spark: SparkSession, sf: str) -> M.Preprocessed:
+    """The fitted preprocessing (M10) once per session: its frame feeds
+    ``processed`` and its one-hot vocabulary the scoring artefacts."""
+    return cached_object(spark, "preprocessed", sf, lambda: M.preprocess(customers(spark, sf), target="Churn"))
+
+
 def processed(spark: SparkSession, sf: str) -> DataFrame:
-    return _materialise(spark, "processed", sf,
-                        lambda: M.preprocess(customers(spark, sf), target="Churn").df)
+    return _materialise(spark, "processed", sf, lambda: preprocessed(spark, sf).df)
 
 
 _OBJECTS: dict[tuple, object] = {}

@@ -17,8 +17,8 @@ from custlens.operators import regress as G
 from custlens.operators import sampling as R
 from custlens.operators import scoring as O
 from custlens.operators.schema import numeric_columns
-from custlens.plans.catalog import (cached_object, cluster_fit, customers, processed, rd, register, scaled_cached,
-                                    scored, segment_labels_cached, segments_cached, spend_standin)
+from custlens.plans.catalog import (cached_object, cluster_fit, customers, preprocessed, processed, rd, register,
+                                    scaled_cached, scored, segment_labels_cached, segments_cached, spend_standin)
 from custlens.plans.fixture import register_cte, sql_with
 from custlens.plans.q_scalar import auc_sql
 from custlens.plans.sqlgen import CF, LOGC, PROC_COLUMNS, knn_impute_ctes, qi, sel_rounded
@@ -570,7 +570,7 @@ def artefacts(spark: SparkSession, sf: str, models: bool = True) -> O.Artefacts:
     def build():
         proc = processed(spark, sf)
         prep, _ = cluster_fit(spark, sf)
-        vocab = M.preprocess(customers(spark, sf), target="Churn").vocab
+        vocab = preprocessed(spark, sf).vocab
         types = {f.name: f.dataType for f in proc.schema.fields}
         return O.Artefacts(proc.columns, vocab, prep, C.FIXED_CENTROIDS, C.FIXED_CENTROID_COLS,
                            segment_labels_cached(spark, sf), None, None, types)
