@@ -33,13 +33,18 @@ def op3_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_hilbert_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from custlens.llm.hilbert_pack import pack
+    return pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
+
+
 def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from custlens.llm.lsh_forest import near_duplicates
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_coder, op3_shuffle_shards, op10_lsh_forest)
+    f.__name__: f for f in (op1_token_coder, op3_shuffle_shards, op9_hilbert_pack, op10_lsh_forest)
 }
 
 ORACLE: dict[str, str] = {}
