@@ -33,6 +33,19 @@ def op3_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from custlens.llm.decision_list import BASE, fit_rules, judge
+    docs = read_table(spark, sf_dir, "documents")
+    return judge(docs, fit_rules(docs, read_table(spark, sf_dir, "labels"))).select("doc_id", *BASE, "base_failed", "kept")
+
+
+def op7_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from custlens.llm.weak_toxicity import fit, score
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit(docs, read_table(spark, sf_dir, "labels"))
+    return score(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op9_hilbert_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from custlens.llm.hilbert_pack import pack
     return pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
@@ -44,7 +57,7 @@ def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_coder, op3_shuffle_shards, op9_hilbert_pack, op10_lsh_forest)
+    f.__name__: f for f in (op1_token_coder, op3_shuffle_shards, op5_decision_list, op7_weak_toxicity, op9_hilbert_pack, op10_lsh_forest)
 }
 
 ORACLE: dict[str, str] = {}

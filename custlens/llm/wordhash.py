@@ -36,13 +36,14 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def find_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def find_words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and for each text the first of its words:
-    words first[i] to first[i + 1] belong to text i."""
+    words first[i] to first[i + 1] belong to text i.  ``between``: for each byte
+    value, whether it parts words."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    space = _SPACE[data]
+    space = between[data]
     edge = np.empty(n + 1, bool)
     edge[0], edge[1:] = True, space
     edge[offsets] = True
