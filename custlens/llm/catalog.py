@@ -46,6 +46,11 @@ def op7_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op8_anchor_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from custlens.llm.anchor_pii import find_personal_data
+    return find_personal_data(read_table(spark, sf_dir, "documents"))
+
+
 def op9_hilbert_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from custlens.llm.hilbert_pack import pack
     return pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
@@ -57,7 +62,7 @@ def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_coder, op3_shuffle_shards, op5_decision_list, op7_weak_toxicity, op9_hilbert_pack, op10_lsh_forest)
+    f.__name__: f for f in (op1_token_coder, op3_shuffle_shards, op5_decision_list, op7_weak_toxicity, op8_anchor_pii, op9_hilbert_pack, op10_lsh_forest)
 }
 
 ORACLE: dict[str, str] = {}
