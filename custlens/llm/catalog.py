@@ -24,6 +24,11 @@ def op1_token_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, path, with_ids=False)
 
 
+def op2_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from custlens.llm.html_extract import extract_pages
+    return extract_pages(read_table(spark, sf_dir, "pages"))
+
+
 def op3_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from custlens.llm.shuffle_shards import write_shards
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -33,6 +38,11 @@ def op3_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_oph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from custlens.llm.oph_minhash import compare_with_edits
+    return compare_with_edits(read_table(spark, sf_dir, "documents"))
+
+
 def op5_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     from custlens.llm.decision_list import BASE, fit_rules, judge
     docs = read_table(spark, sf_dir, "documents")
@@ -62,7 +72,8 @@ def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_coder, op3_shuffle_shards, op5_decision_list, op7_weak_toxicity, op8_anchor_pii, op9_hilbert_pack, op10_lsh_forest)
+    f.__name__: f
+    for f in (op1_token_coder, op2_tag_paths, op3_shuffle_shards, op4_oph_minhash, op5_decision_list, op7_weak_toxicity, op8_anchor_pii, op9_hilbert_pack, op10_lsh_forest)
 }
 
 ORACLE: dict[str, str] = {}
