@@ -49,6 +49,14 @@ def op5_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs, fit_rules(docs, read_table(spark, sf_dir, "labels"))).select("doc_id", *BASE, "base_failed", "kept")
 
 
+def op6_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_pieces, ids_crc32, n_chars and text_sha256 of the decoded text."""
+    from custlens.llm.piece_sampling import decode_documents, encode_documents
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    back = decode_documents(encode_documents(read_table(spark, sf_dir, "documents"), model), model)
+    return back.select("doc_id", "n_pieces", "ids_crc32", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op7_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from custlens.llm.weak_toxicity import fit, score
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -73,7 +81,7 @@ def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_coder, op2_tag_paths, op3_shuffle_shards, op4_oph_minhash, op5_decision_list, op7_weak_toxicity, op8_anchor_pii, op9_hilbert_pack, op10_lsh_forest)
+    for f in (op1_token_coder, op2_tag_paths, op3_shuffle_shards, op4_oph_minhash, op5_decision_list, op6_piece_sampling, op7_weak_toxicity, op8_anchor_pii, op9_hilbert_pack, op10_lsh_forest)
 }
 
 ORACLE: dict[str, str] = {}

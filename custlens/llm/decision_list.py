@@ -99,13 +99,15 @@ def quality_statistics(docs: DataFrame, keep: list[str] | None = None) -> DataFr
     from pyspark.sql.types import LongType, StructType
     schema = reduce(lambda s, c: s.add(c, LongType()), BASE + MORE, StructType([*kept.fields]))
     types, n = to_arrow_schema(schema), len(keep)
+    text = keep.index("text") if "text" in keep else n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                yield as_batch([*b.columns[:n], *text_statistics(b.column(n))], types)
+                yield as_batch([*b.columns[:n], *text_statistics(b.column(text))], types)
 
-    return map_arrow(docs.select(*keep, F.col("text").cast("string").alias("__text")), run, schema)
+    extra = [] if "text" in keep else [F.col("text").cast("string").alias("__text")]
+    return map_arrow(docs.select(*keep, *extra), run, schema)
 
 
 def ratio(name: str) -> Column:
@@ -211,9 +213,10 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
-    """doc_id, the statistics, base_failed and kept.  A null or empty text has no
-    words and fails; a null doc_id stays; rows that repeat are judged each; only
-    doc_id and text are read; an empty table gives an empty one."""
-    rows = quality_statistics(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+def judge(docs: DataFrame, rules: list[Rule], keep: list[str] | None = None) -> DataFrame:
+    """``keep`` columns (doc_id), the statistics, base_failed and kept.  A null or
+    empty text has no words and fails; a null doc_id stays; rows that repeat are
+    judged each; other columns than text and ``keep`` are not read; an empty table
+    gives an empty one."""
+    rows = quality_statistics(docs if keep else docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), keep)
     return rows.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(rules))
