@@ -120,9 +120,9 @@ class _Page:
                 if name not in ENDS or n != "p":
                     break
         words = " ".join(next((g for g in a if g), "") for a in _ATTRIBUTE.findall(rest)) if rest else ""
-        label = f"{name}.{' '.join(words.lower().split())}" if words else name
         if rest and _HIDDEN.search(rest):
-            label += " #hidden"
+            words += " #hidden"
+        label = f"{name}.{' '.join(words.lower().split())}" if words else name
         if not rest.endswith("/"):
             self.stack.append((name, label))
         self._renew()

@@ -250,7 +250,7 @@ def decode_record(data: bytes) -> np.ndarray:
             y = np.where((x ^ (x + y)) >= _TOP, (~x + _ONE) & _REST, y)
             x, y = x << _16, y << _16
             low[at], rng[at] = x, y
-            code[at] = (code[at] << _16) | words[put[at]]
+            code[at] = (code[at] << _16) | words.take(put[at], mode="clip")
             put[at] += 1
             at = at[((x ^ (x + y)) < _TOP) | (y < _LEAST)]
     for k in range(lanes):
