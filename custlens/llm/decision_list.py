@@ -10,6 +10,7 @@ covers go and the next rule is learned.  The list becomes one ordered
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -168,9 +169,17 @@ def _prune(rule: Rule, x: dict[str, np.ndarray], bad: np.ndarray) -> tuple[Rule,
     return best[1:]
 
 
+def by_chance(p: int, n: int, share: float) -> float:
+    """Probability of p or more bad rows among p + n where ``share`` of all are bad."""
+    if not 0 < share < 1:
+        return share
+    log = lambda k: math.lgamma(p + n + 1) - math.lgamma(k + 1) - math.lgamma(p + n - k + 1) + k * math.log(share) + (p + n - k) * math.log(1 - share)
+    return sum(math.exp(log(k)) for k in range(p, p + n + 1))
+
+
 def learn_rules(x: dict[str, np.ndarray], bad: np.ndarray, sure: float = 0.9, most: int = 12, seed: int = 5) -> list[Rule]:
     """Rules for the rows marked bad.  Ends where a new rule is right for less than
-    ``sure`` of the rows kept aside that it covers, or covers none of them."""
+    ``sure`` of the rows kept aside that it covers, or where it could be so by chance."""
     aside = np.random.default_rng(seed).random(len(bad)) < 1 / 3
     left, rules = np.ones(len(bad), bool), []
     while len(rules) < most:
@@ -181,7 +190,7 @@ def learn_rules(x: dict[str, np.ndarray], bad: np.ndarray, sure: float = 0.9, mo
         if not rule.conditions:
             break
         rule, p, n = _prune(rule, {c: v[k] for c, v in x.items()}, bad[k])
-        if p == 0 or (p + 1) / (p + n + 2) < min(sure, (p + 1) / (p + 2)):
+        if p < sure * (p + n) or not p or by_chance(p, n, float(bad[k].mean())) > 0.01:
             break
         rules.append(rule)
         left &= ~rule.holds(x)

@@ -32,7 +32,7 @@ from custlens.llm.wordhash import mix
 
 BAR = "▁"
 _RUNS = re.compile(r" *[^ ]+| +$")
-ALPHA = 1.0
+ALPHA = 0.5
 
 
 class Lattices:
