@@ -56,25 +56,19 @@ def set_key(shingles: np.ndarray) -> bytes:
     return np.array([a.sum(), np.bitwise_xor.reduce(b) ^ np.uint64(len(shingles))], np.uint64).tobytes()
 
 
-def _per_text(keep: list[str], each, schema: str, docs: DataFrame) -> DataFrame:
-    types, n = arrow_types(schema), len(keep)
+def sketches(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, set_key and signature (null without words)."""
+    schema = "doc_id long, n_shingles long, set_key binary, signature binary"
+    types = arrow_types(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                yield as_batch([*b.columns[:n], *each(shingle_sets(b.column(n)))], types)
-
-    return map_arrow(docs.select(*keep, F.col("text").cast("string").alias("__text")), run, schema)
-
-
-def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_key and signature (null without words)."""
-    def each(sets):
-        return ([len(s) for s in sets], [set_key(s) if len(s) else None for s in sets],
-                [signature(s).tobytes() if len(s) else None for s in sets])
+                sets = shingle_sets(b.column(1))
+                yield as_batch([b.column(0), [len(s) for s in sets], [set_key(s) if len(s) else None for s in sets],
+                                [signature(s).tobytes() if len(s) else None for s in sets]], types)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return _per_text(["doc_id"], each, "doc_id long, n_shingles long, set_key binary, signature binary", rows)
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, schema)
 
 
 _LABEL = ", ".join(f"v{k} long" for k in range(DEPTH // 2))
@@ -188,13 +182,31 @@ def candidate_pairs(classes: DataFrame) -> DataFrame:
     return _write(pairs.groupBy("a", "b").agg(F.max("est").alias("est")), "candidates")
 
 
+#: Bits of the filter that keeps the texts of unpaired classes out of the shuffle: 16
+#: per id, 2^27 (16 MB) at most.  Beyond that more texts pass; the join is exact.
+FILTER_BITS = 1 << 27
+
+
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """id, shingles (sorted 64-bit hashes) of the texts that ``wanted`` (id) names."""
-    def each(sets):
-        return [[s.tobytes() for s in sets]]
+    bits = min(FILTER_BITS, 1 << max(15, (16 * wanted.count()).bit_length()))
+    place = F.pmod(F.xxhash64("id"), F.lit(bits))
+    filled = np.zeros(bits // 8, np.uint8)
+    parts = wanted.select(place.alias("h")).groupBy((F.col("h") / 32768).cast("int").alias("part")).agg(F.bitmap_construct_agg(F.col("h") % 32768).alias("bits"))
+    for part, own in parts.collect():
+        filled[part * 4096:(part + 1) * 4096] = np.frombuffer(own, np.uint8)
+    schema = "id long, shingles binary"
+    types = arrow_types(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = b.column(1).to_numpy()
+            b = b.take(pa.array(np.flatnonzero(filled[h >> 3] >> (h & 7).astype(np.uint8) & 1)))
+            if b.num_rows:
+                yield as_batch([b.column(0), [s.tobytes() for s in shingle_sets(b.column(2))]], types)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id")
-    return _per_text(["id"], each, "id long, shingles binary", rows)
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).filter(F.col("id").isNotNull())
+    return map_arrow(rows.select("id", place.alias("h"), "text"), run, schema).join(wanted, "id")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -258,7 +270,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = _write(known.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature")), "classes")
     pairs = candidate_pairs(classes.select("id", "signature"))
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = _write(_sets(docs, ids), "sets")
+    sets = _write(_sets(docs, _write(ids, "paired")), "sets")
     # each class's best pair, ties by hash so that no partner is favoured
     seen = pairs.select(F.col("a").alias("id"), "a", "b", "est").union(pairs.select(F.col("b").alias("id"), "a", "b", "est"))
     best = seen.groupBy("id").agg(F.max(F.struct("est", F.xxhash64("a", "b").alias("h"), "a", "b")).alias("p"))
