@@ -1,14 +1,11 @@
-"""Scalar column functions (F01-F21).  All are Catalyst expressions except
-the IPv6 branch of ``ip_is_private`` (a small Arrow-batched helper)."""
+"""Scalar column functions (F01-F21), all Catalyst expressions."""
 
 from __future__ import annotations
 
-import ipaddress
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 # --- F01-F04: dates ----------------------------------------------------------
@@ -100,25 +97,72 @@ def _ipv4_private(c: Column) -> Column:
     )
 
 
-@F.pandas_udf(T.IntegerType())
-def _ipv6_private(s: pd.Series) -> pd.Series:
-    def one(v):
-        if v is None:
-            return None
-        try:
-            return int(ipaddress.ip_address(v).is_private)
-        except ValueError:
-            return None
-    return s.map(one).astype("Int32")
+def _let(value: Column, then) -> Column:
+    """``then`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _ipv6_groups(c: Column) -> Column:
+    """The eight 16-bit groups of an IPv6 address, null where the text is none.
+    A scope after % is allowed; the last 32 bits may be written as IPv4."""
+    addr = F.when(c.rlike(r"^[^%/]+(%[^%/]+)?$"), F.split_part(c, F.lit("%"), F.lit(1)))
+    tail = F.regexp_extract(addr, r"([^:]*)$", 1)
+    o = [F.split_part(tail, F.lit("."), F.lit(i)).try_cast("int") for i in range(1, 5)]
+    tail_hex = F.concat(F.hex(o[0] * 256 + o[1]), F.lit(":"), F.hex(o[2] * 256 + o[3]))
+    text = (F.when(~tail.contains("."), addr)
+             .when(tail.rlike(IPV4_RE), F.concat(F.substring(addr, F.lit(1), F.length(addr) - F.length(tail)), tail_hex)))
+
+    def groups(t: Column) -> Column:
+        def numbers(part: Column) -> Column:
+            return F.when(part == "", F.array().cast("array<int>")).otherwise(
+                F.transform(F.split(part, ":"), lambda h: F.when(h.rlike("^[0-9A-Fa-f]{1,4}$"), F.conv(h, 16, 10).cast("int"))))
+
+        at = F.instr(t, "::")
+        left = F.when(at > 0, F.substring(t, F.lit(1), at - 1)).otherwise(t)
+        right = F.when(at > 0, F.substring(t, at + 2, F.length(t))).otherwise(F.lit(""))
+
+        def joined(p: Column) -> Column:
+            gap = F.lit(8) - F.size(p["l"]) - F.size(p["r"])
+            whole = F.concat(p["l"], F.array_repeat(F.lit(0), gap), p["r"])
+            ok = F.when(p["cut"], gap >= 1).otherwise(gap == 0) & ~F.exists(whole, lambda h: h.isNull())
+            return F.when(ok, whole)
+
+        return _let(F.struct(numbers(left).alias("l"), numbers(right).alias("r"), (at > 0).alias("cut")), joined)
+
+    return F.when(text.isNotNull(), _let(text, groups))
+
+
+def _ipv6_private(g: Column) -> Column:
+    h = [F.get(g, F.lit(i)) for i in range(8)]
+    zero = lambda n: reduce(lambda x, y: x & y, [h[i] == 0 for i in range(n)])
+    v4 = F.concat_ws(".", F.floor(h[6] / 256), h[6] % 256, F.floor(h[7] / 256), h[7] % 256)
+    # IPv6 blocks the standard library reports as private, and the exceptions among them.
+    blocks = (
+        (zero(7) & h[7].isin(0, 1))
+        | ((h[0] == 0x64) & (h[1] == 0xFF9B) & (h[2] == 1))
+        | ((h[0] == 0x100) & (h[1] == 0) & (h[2] == 0) & (h[3] == 0))
+        | ((h[0] == 0x2001) & (h[1] <= 0x1FF))
+        | ((h[0] == 0x2001) & (h[1] == 0xDB8))
+        | (h[0] == 0x2002)
+        | h[0].between(0xFC00, 0xFDFF)
+        | h[0].between(0xFE80, 0xFEBF)
+    )
+    exceptions = (h[0] == 0x2001) & (
+        ((h[1] == 1) & (h[2] == 0) & (h[3] == 0) & (h[4] == 0) & (h[5] == 0) & (h[6] == 0) & h[7].isin(1, 2))
+        | (h[1] == 3)
+        | ((h[1] == 4) & (h[2] == 0x112))
+        | h[1].between(0x20, 0x2F)
+        | h[1].between(0x30, 0x3F)
+    )
+    mapped = zero(5) & (h[5] == 0xFFFF)
+    return F.when(mapped, _ipv4_private(v4)).otherwise(blocks & ~exceptions)
 
 
 def ip_is_private(c: Column | str) -> Column:
-    """1/0 private-address flag, null when the text is not an address.
-    IPv4 is decided natively; only strings with ':' reach the IPv6 helper."""
+    """1/0 private-address flag, null when the text is not an address."""
     c = F.col(c) if isinstance(c, str) else c
-    v4 = F.when(_ipv4_private(c), 1).otherwise(0)
-    v6 = _ipv6_private(F.when(c.contains(":"), c))
-    return (F.when(c.rlike(IPV4_RE), v4)
+    v6 = _let(_ipv6_groups(c), lambda g: F.when(g.isNotNull(), F.when(_ipv6_private(g), 1).otherwise(0)))
+    return (F.when(c.rlike(IPV4_RE), F.when(_ipv4_private(c), 1).otherwise(0))
              .when(c.contains(":"), v6)
              .cast("bigint"))
 
@@ -227,31 +271,27 @@ def ordinal_encode(df: DataFrame, maps: dict[str, dict[str, int]] = ORDINAL_MAPS
     return df.withColumns(repl)
 
 
-def one_hot_vocab(df: DataFrame, cols: list[str], max_card: int = 10_000) -> DataFrame:
-    """Observed (column, value) pairs; fails loudly above ``max_card`` per
-    column (wide vocabularies belong in StringIndexer + OneHotEncoder vectors)."""
-    parts = [df.select(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
-             .where(F.col("value").isNotNull()).distinct() for c in cols]
-    vocab = parts[0]
-    for p in parts[1:]:
-        vocab = vocab.unionByName(p)
-    return vocab
+def one_hot_vocab(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Observed (column, value) pairs: one scan, one unpivot, one distinct."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in cols]))
+    return df.select(pairs.alias("p")).select("p.column", "p.value").where(F.col("value").isNotNull()).distinct()
 
 
 def one_hot(df: DataFrame, cols: list[str] | None = None, vocab: list[tuple[str, str]] | None = None,
-            max_card: int = 10_000) -> tuple[DataFrame, list[tuple[str, str]]]:
+            max_columns: int = 10_000) -> tuple[DataFrame, list[tuple[str, str]]]:
     """one int column ``<col>_<value>`` per observed value (none dropped,
     null -> all zero), source columns dropped.  The learned vocabulary is
-    returned so scoring can replay it (unseen values -> all zero)."""
+    returned so scoring can replay it (unseen values -> all zero).  A table of
+    more than ``max_columns`` new columns is refused before a value is fetched:
+    ``one_hot_vector`` encodes such a vocabulary."""
     cols = [c for c in (cols or ONE_HOT_COLS) if c in df.columns]
     if not cols:
         return df, vocab or []
     if vocab is None:
         v = one_hot_vocab(df, cols)
-        total = len(cols) * max_card
-        rows = v.limit(total + 1).collect()
-        if len(rows) > total:
-            raise ValueError("one-hot vocabulary exceeds the bound; use a vector encoder")
+        rows = v.limit(max_columns + 1).collect()
+        if len(rows) > max_columns:
+            raise ValueError("more than max_columns values: use one_hot_vector")
         vocab = sorted((r["column"], r["value"]) for r in rows)
     new = {}
     for c, val in vocab:
@@ -260,6 +300,21 @@ def one_hot(df: DataFrame, cols: list[str] | None = None, vocab: list[tuple[str,
     return df.withColumns(new).drop(*cols), vocab
 
 
+def one_hot_vector(df: DataFrame, cols: list[str] | None = None, model=None):
+    """F11 for wide vocabularies: a sparse vector ``<col>_onehot`` per column in
+    place of int columns (null and unseen -> all zero).  Returns the frame and
+    the fitted pipeline model, which scoring passes back in."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import OneHotEncoder, StringIndexer
+    cols = [c for c in (cols or ONE_HOT_COLS) if c in df.columns]
+    if model is None:
+        index = StringIndexer(inputCols=cols, outputCols=[f"{c}_index" for c in cols], handleInvalid="keep", stringOrderType="alphabetAsc")
+        # the invalid bucket is the last category, which the encoder drops
+        code = OneHotEncoder(inputCols=[f"{c}_index" for c in cols], outputCols=[f"{c}_onehot" for c in cols], dropLast=True)
+        model = Pipeline(stages=[index, code]).fit(df)
+    return model.transform(df).drop(*cols, *[f"{c}_index" for c in cols]), model
+
+
 def target_encode(df: DataFrame, col: str = "Country", target: str = "Churn",
                   out: str | None = None, fit_df: DataFrame | None = None) -> DataFrame:
     """Mean target per category joined back; the source is dropped.
@@ -320,6 +375,20 @@ def action_for(label: Column | str) -> Column:
     return F.coalesce(F.element_at(lut, label), F.lit(DEFAULT_ACTION))
 
 
+# Advice per predicted churn label.
+CHURN_ADVICE = {
+    1: ["Déclencher une campagne de rétention ciblée", "Offre de fidélisation personnalisée", "Contacter le service client sous 48h"],
+    0: ["Maintenir l'engagement avec des offres exclusives", "Surveiller l'évolution de la satisfaction", "Programme de fidélité adapté au profil"],
+}
+
+
+def churn_advice(pred: Column | str) -> Column:
+    """advice per churn label, an array of texts; null without a label."""
+    pred = F.col(pred) if isinstance(pred, str) else pred
+    say = {k: F.array(*[F.lit(t) for t in v]) for k, v in CHURN_ADVICE.items()}
+    return F.when(pred == 1, say[1]).when(pred.isNotNull(), say[0])
+
+
 def display_name(label: Column | str) -> Column:
     label = F.col(label) if isinstance(label, str) else label
     lut = F.create_map(*[x for k, v in SEGMENT_DISPLAY.items() for x in (F.lit(k), F.lit(v))])

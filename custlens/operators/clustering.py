@@ -191,16 +191,17 @@ def kmeans_predict(model, df: DataFrame, cols: list[str], out: str = "cluster")
 
 
 def k_sweep(spark: SparkSession, df: DataFrame, cols: list[str], ks=range(2, 9), seed: int = 42,
-            n_init: int = 1) -> DataFrame:
-    """Inertia and (squared-Euclidean) silhouette per k."""
+            n_init: int = 10) -> DataFrame:
+    """Inertia and squared-Euclidean silhouette of the best of ``n_init``
+    restarts per k."""
     vec = VectorAssembler(inputCols=cols, outputCol="_features").transform(df).select("_features").cache()
     ev = ClusteringEvaluator(featuresCol="_features", predictionCol="_p")
     rows = []
     for k in ks:
-        m = KMeans(k=k, seed=seed, featuresCol="_features", predictionCol="_p").fit(vec)
+        m = kmeans_fit(df, cols, k, n_init, seed, parallelism=8).setPredictionCol("_p")
         rows.append((k, float(m.summary.trainingCost), float(ev.evaluate(m.transform(vec)))))
     vec.unpersist()
-    return spark.createDataFrame(rows, "k long, inertia double, silhouette double")
+    return spark.createDataFrame(rows, "k long, inertia double, silhouette_sq double")
 
 
 # --- C11: segment report (flagship) -------------------------------------------------

@@ -126,6 +126,10 @@ class ClipBounds:
         return spark.createDataFrame([(c, lo, hi) for c, (lo, hi) in self.bounds.items()],
                                      "feature string, lo double, hi double")
 
+    @staticmethod
+    def from_frame(df: DataFrame) -> "ClipBounds":
+        return ClipBounds({r.feature: (r.lo, r.hi) for r in df.collect()})  # one row per feature
+
 
 def winsorize_fit(df: DataFrame, cols: list[str], lo: float = 0.01, hi: float = 0.99) -> ClipBounds:
     """Learn p1/p99 (linear interpolation)."""

@@ -123,11 +123,9 @@ def block_pairs(q: DataFrame, d: DataFrame,
     min_groups = 2 * spark.sparkContext.defaultParallelism
     nqb, ndb = _block_counts(nq, nd, min_groups, receiver_block_rows or RECEIVER_BLOCK_ROWS,
                              donor_block_rows or DONOR_BLOCK_ROWS)
-    # the groups are compute-heavy but small in bytes: an explicit partition
-    # count keeps AQE from coalescing them onto a few tasks (capped, so a huge
-    # table does not ask for one partition per block pair)
-    conf = str(spark.conf.get("spark.sql.shuffle.partitions", "0"))
-    parts = min(nqb * ndb, max(min_groups, int(conf) if conf.isdigit() else 0))
+    # the groups are compute-heavy but small in bytes: one partition per block
+    # pair keeps AQE from coalescing them onto a few tasks
+    parts = nqb * ndb
     qr = _replicate(q, "_qb", nqb, "_db", ndb).repartition(parts, "_qb", "_db")
     dr = _replicate(d, "_db", ndb, "_qb", nqb).repartition(parts, "_qb", "_db")
     return qr.groupBy("_qb", "_db"), dr.groupBy("_qb", "_db")

@@ -17,6 +17,7 @@ from custlens.functions.scalars import round_even as _re
 from pyspark.sql import types as T
 
 from custlens.operators.quantiles import exact_quantiles
+from custlens.operators.ranking import running_sums
 from custlens.operators.schema import (
     _q, categorical_columns, constant_columns, distinct_counts_long, numeric_columns,
 )
@@ -56,16 +57,22 @@ def sizes_by(df: DataFrame, key: str) -> DataFrame:
         "pct", _re(F.col("n_rows") * 100.0 / F.lit(float(max(total, 1))), 6))
 
 
+def crosstab_long(df: DataFrame, a: str, b: str) -> DataFrame:
+    """A06/A07, a row per pair of values that occurs: count and share (%) of
+    the row total.  No bound on the number of values."""
+    n = df.where(_q(a).isNotNull() & _q(b).isNotNull()).groupBy(_q(a).alias(a), _q(b).alias(b)).agg(F.count(F.lit(1)).alias("n_rows"))
+    total = n.groupBy(a).agg(F.sum("n_rows").alias("_t"))
+    return n.join(total, a).select(a, b, "n_rows", _re(F.col("n_rows") * 100.0 / F.col("_t"), 6).alias("pct"))
+
+
 def crosstab(df: DataFrame, a: str, b: str, values: list | None = None) -> DataFrame:
-    """Contingency table; pivot values are given or learned (bounded)."""
-    if values is None:
-        rows = df.select(b).where(F.col(b).isNotNull()).distinct().limit(10_001).collect()
-        if len(rows) > 10_000:
-            raise ValueError("too many pivot values")
-        values = sorted(r[0] for r in rows)
-    t = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a).pivot(b, values).count()
-    return t.fillna(0, subset=[str(v) for v in values]).select(
-        a, *[F.col(f"`{v}`").cast("bigint").alias(f"{b}_{v}") for v in values])
+    """Contingency table with a column per value of ``b`` (given, or
+    learned).  Beyond Spark's ``spark.sql.pivotMaxValues`` columns the pivot
+    fails; ``crosstab_long`` has no such bound."""
+    t = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a)
+    t = (t.pivot(b) if values is None else t.pivot(b, values)).count()
+    values = [c for c in t.columns if c != a]
+    return t.fillna(0, subset=values).select(a, *[F.col(f"`{v}`").cast("bigint").alias(f"{b}_{v}") for v in values])
 
 
 def crosstab_pct(df: DataFrame, a: str, b: str, values: list | None = None) -> DataFrame:
@@ -105,6 +112,9 @@ def iqr_outliers(df: DataFrame, cols: list[str]) -> DataFrame:
     bounds = {}
     for c in cols:
         q1, q3 = q[(c, 0.25)], q[(c, 0.75)]
+        if q1 is None:  # no value: null fences, no outlier
+            bounds[c] = (None,) * 5
+            continue
         iqr = q3 - q1
         bounds[c] = (q1, q3, iqr, q1 - 1.5 * iqr, q3 + 1.5 * iqr)
     cnt = df.agg(*[F.count_if((_q(c) < F.lit(b[3])) | (_q(c) > F.lit(b[4]))).alias(f"o{i}")
@@ -236,7 +246,7 @@ def distinct_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 
 def near_constant(df: DataFrame, ratio: float = 0.01) -> DataFrame:
-    """Constant (nulls ignored) or fewer than ``ratio`` distinct values
+    """Constant (nulls ignored, an all-null column too) or fewer than ``ratio`` distinct values
     per row; modal value (ties -> smallest) and its share of all rows."""
     cols = df.columns
     n = _total(df)
@@ -248,6 +258,9 @@ def near_constant(df: DataFrame, ratio: float = 0.01) -> DataFrame:
         F.count(F.lit(1)).alias("n_unique"),
         F.min_by("v", F.struct(-F.col("c"), F.col("v"))).alias("top_value"),
         F.max("c").alias("top_count"))
+    names = df.sparkSession.createDataFrame([(c,) for c in cols], "column_name string")
+    per = names.join(per, "column_name", "left").withColumns({
+        "n_unique": F.coalesce("n_unique", F.lit(0)), "top_count": F.coalesce("top_count", F.lit(0))})
     return per.where((F.col("n_unique") <= 1) | (F.col("n_unique") < F.lit(ratio * n))).select(
         "column_name", F.col("n_unique").cast("bigint").alias("n_unique"), "top_value",
         _re(F.col("top_count") * 100.0 / F.lit(float(n)), 6).alias("top_pct"))
@@ -275,46 +288,40 @@ def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
 
 def box_stats(df: DataFrame, col: str, by: str | None = None, groups: list | None = None) -> DataFrame:
     """Quartiles, 1.5 IQR whiskers (most extreme points inside the
-    fences) and number of fliers; per group when ``by`` is given.  Group
-    quantiles come from the same bracketed exact selection (no per-group
-    value list in one task)."""
-    spark = df.sparkSession
-    if by is None:
-        keys = [None]
-        src = df.select(_q(col).cast("double").alias("g0"))
-        names = {None: "g0"}
-    else:
-        if groups is None:
-            groups = sorted(r[0] for r in df.select(by).where(F.col(by).isNotNull()).distinct()
-                            .limit(1001).collect())
-        keys = groups
-        names = {g: f"g{i}" for i, g in enumerate(groups)}
-        src = df.select(*[F.when(F.col(by) == F.lit(g), _q(col)).cast("double").alias(names[g])
-                          for g in groups])
-    cols = [names[g] for g in keys]
-    q = exact_quantiles(src, cols, [0.25, 0.5, 0.75])
-    fences = {}
-    for g in keys:
-        c = names[g]
-        q1, q3 = q[(c, 0.25)], q[(c, 0.75)]
-        fences[g] = (q1, q3, q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1))
-    exprs = []
-    for g in keys:
-        c = names[g]
-        q1, q3, lo, hi = fences[g]
-        x = F.col(c)
-        exprs += [F.min(F.when(x >= F.lit(lo), x)).alias(f"wl_{c}"),
-                  F.max(F.when(x <= F.lit(hi), x)).alias(f"wh_{c}"),
-                  F.count_if((x < F.lit(lo)) | (x > F.lit(hi))).alias(f"nf_{c}")]
-    row = src.agg(*exprs).first()
-    rows = []
-    for g in keys:
-        c = names[g]
-        q1, q3, _, _ = fences[g]
-        rows.append((None if g is None else str(g), q1, q[(c, 0.5)], q3,
-                     row[f"wl_{c}"], row[f"wh_{c}"], int(row[f"nf_{c}"])))
-    return spark.createDataFrame(rows, "grp string, q1 double, median double, q3 double, "
-                                       "whisker_low double, whisker_high double, n_fliers bigint")
+    fences) and number of fliers; per group when ``by`` is given.
+
+    Long form: one row per (group, distinct value) with its count, running
+    counts in two levels, and the wanted order statistics picked by rank, so
+    there is no bound on the number of groups and no group in one task.  A
+    group without a value has null quartiles and no flier."""
+    x = df.select((F.lit(None).cast("string") if by is None else F.col(by)).alias("grp"), _q(col).cast("double").alias("v"))
+    if by is not None:
+        x = x.where(F.col("grp").isNotNull() if groups is None else F.col("grp").isin(groups))
+        x = x.withColumn("grp", F.col("grp").cast("string"))
+    every = x.select(F.coalesce("grp", F.lit("")).alias("g"), "v")
+    names = every.groupBy("g").agg(F.count("v").alias("n"))
+    g = every.where(F.col("v").isNotNull()).groupBy("g", "v").agg(F.count(F.lit(1)).alias("c"))
+    cum = running_sums(g, "v", ["c"], descending=False, by=["g"]).join(names, "g")
+
+    def at(p: float) -> list:
+        """The two order statistics around quantile p, and the share of the upper."""
+        h = (F.col("n") - 1) * F.lit(p)
+        lo = F.floor(h)
+        hi = F.least(lo + 1, F.col("n") - 1)
+        pick = lambda r: F.min(F.when(F.col("cum_c") > r, F.col("v")))
+        return [pick(lo), pick(hi), F.max(h - lo)]
+
+    ps = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    q = cum.groupBy("g").agg(*[e.alias(f"{k}_{i}") for k, p in ps.items() for i, e in enumerate(at(p))])
+    q = q.select("g", *[(F.col(f"{k}_0") + (F.col(f"{k}_1") - F.col(f"{k}_0")) * F.col(f"{k}_2")).alias(k) for k in ps])
+    low, high = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
+    f = g.join(q, "g").groupBy("g").agg(
+        F.min(F.when(F.col("v") >= low, F.col("v"))).alias("whisker_low"), F.max(F.when(F.col("v") <= high, F.col("v"))).alias("whisker_high"),
+        F.sum(F.when((F.col("v") < low) | (F.col("v") > high), F.col("c")).otherwise(0)).alias("n_fliers"))
+    out = names.join(q, "g", "left").join(f, "g", "left")
+    name = F.lit(None).cast("string") if by is None else F.col("g")
+    return out.select(name.alias("grp"), "q1", "median", "q3", "whisker_low", "whisker_high",
+                      F.coalesce("n_fliers", F.lit(0)).cast("bigint").alias("n_fliers"))
 
 
 def exploration_summary(df: DataFrame, target: str = "Churn") -> DataFrame:
@@ -365,8 +372,7 @@ def kde_grid(df: DataFrame, x: str, y: str, by: str, n: int = 80) -> DataFrame:
         (F.col("cell") % n).cast("bigint").alias("ix"), (F.col("cell") / n).cast("bigint").alias("iy"))
     cells = cells.select("*", (F.lit(x0) + F.lit(x1 - x0) * F.col("ix") / F.lit(n - 1)).alias("gx"),
                          (F.lit(y0) + F.lit(y1 - y0) * F.col("iy") / F.lit(n - 1)).alias("gy"))
-    # classes x n^2 cells: bounded by the class count and the fixed grid size
-    j = pts.join(F.broadcast(cells), by)
+    j = pts.join(cells, by)   # AQE broadcasts the cells where they are small
     dx, dy = F.col("gx") - F.col("px"), F.col("gy") - F.col("py")
     qf = F.col("ia") * dx * dx + 2 * F.col("ib") * dx * dy + F.col("id") * dy * dy
     return (j.groupBy(by, "ix", "iy", "gx", "gy", "norm")

@@ -8,7 +8,7 @@ only inside a bucket (about ``bucket_rows`` rows), never over a whole class.
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,46 +20,45 @@ HASH_MUL = 7919
 
 
 def key_hash(key: str, seed: int) -> Column:
-    """Portable arithmetic hash of an integer key in [0, 10007)."""
-    return F.pmod(F.col(key) * F.lit(HASH_MUL) + F.lit(seed), F.lit(HASH_MOD))
+    """Portable arithmetic hash of an integer key in [0, 10007); the key is
+    reduced first, so no key overflows."""
+    return F.pmod(F.pmod(F.col(key), F.lit(HASH_MOD)) * F.lit(HASH_MUL) + F.lit(seed), F.lit(HASH_MOD))
 
 
 def stratum_positions(df: DataFrame, key: str, seed: int, strata: list[str] | None = None,
                       bucket_rows: int = 1_000_000) -> DataFrame:
     """Add ``_pos`` (0-based rank within the stratum by (hash, key)) and
-    ``_n`` (stratum size)."""
+    ``_n`` (stratum size).  A null label is a stratum of its own; rows with a
+    null key come first in their stratum, ordered and bucketed by a hash of
+    the whole row."""
     strata = strata or []
-    h = key_hash(key, seed)
-    stats = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n"), F.min(key).alias("_kmin"),
-                                    F.max(key).alias("_kmax"))
-    srows = stats.collect()  # one row per stratum
+    names = [f"_s{i}" for i in range(len(strata))]
+    whole = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+
+    def same(left: DataFrame, right: DataFrame, extra: list[str]) -> Column:
+        on = [left[s].eqNullSafe(right[n]) for s, n in zip(strata, names)] + [left[e] == right[f"{e}r"] for e in extra]
+        return reduce(lambda x, y: x & y, on, F.lit(True))
+
+    stats = df.groupBy(*[F.col(s).alias(n) for s, n in zip(strata, names)]).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(key).alias("_kmin"), F.max(key).alias("_kmax"))
+    # one row per stratum; AQE broadcasts it where it is small
+    b = df.join(stats, same(df, stats, []))
     # key-range width per bucket so that a (hash, key-range) bucket holds ~bucket_rows rows
-    width = {}
-    for r in srows:
-        span = (r["_kmax"] - r["_kmin"] + 1) if r["_kmax"] is not None else 1
-        width[tuple(r[s] for s in strata)] = max(1, math.ceil(span * HASH_MOD * bucket_rows / max(r["_n"], 1)))
-    def per_stratum(values: dict) -> Column:
-        e = None
-        for sk, v in values.items():
-            cond = F.lit(True)
-            for s, val in zip(strata, sk):
-                cond = cond & (F.col(s) == F.lit(val))
-            e = F.when(cond, F.lit(v)) if e is None else e.when(cond, F.lit(v))
-        return e if e is not None else F.lit(None)
-
-    kmins = {tuple(r[s] for s in strata): r["_kmin"] for r in srows}
-    sizes = {tuple(r[s] for s in strata): r["_n"] for r in srows}
-    b = df.withColumns({"_h": h, "_kb": F.floor((F.col(key) - per_stratum(kmins))
-                                                / per_stratum(width)).cast("bigint")})
-    counts = b.groupBy(*strata, "_h", "_kb").agg(F.count(F.lit(1)).alias("_c"))
+    width = F.greatest(F.lit(1.0), F.ceil((F.col("_kmax").cast("double") - F.col("_kmin").cast("double") + 1)
+                                          * F.lit(float(HASH_MOD) * bucket_rows) / F.col("_n")))
+    lots = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(bucket_rows))).cast("bigint")
+    b = b.withColumns({
+        "_h": F.coalesce(key_hash(key, seed), F.lit(-1)).cast("bigint"),
+        "_kb": F.coalesce(F.floor((F.col(key).cast("double") - F.col("_kmin").cast("double")) / width), F.pmod(whole, lots)).cast("bigint")})
+    counts = b.groupBy(*[F.col(s).alias(n) for s, n in zip(strata, names)], F.col("_h").alias("_hr"), F.col("_kb").alias("_kbr")).agg(
+        F.count(F.lit(1)).alias("_c"))
     # bucket table: about n / bucket_rows + 10007 rows per stratum
-    wo = Window.partitionBy(*strata).orderBy("_h", "_kb").rowsBetween(Window.unboundedPreceding, -1)
+    wo = Window.partitionBy(*names).orderBy("_hr", "_kbr").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_c").over(wo), F.lit(0))).drop("_c")
-    wi = Window.partitionBy(*strata, "_h", "_kb").orderBy(key)
-    out = (b.join(offsets, [*strata, "_h", "_kb"])
-            .withColumn("_pos", (F.col("_off") + F.row_number().over(wi) - 1).cast("bigint"))
-            .withColumn("_n", per_stratum(sizes).cast("bigint")))
-    return out.drop("_h", "_kb", "_off")
+    wi = Window.partitionBy(*strata, "_h", "_kb").orderBy(F.col(key).asc_nulls_first(), whole)
+    out = b.join(offsets, same(b, offsets, ["_h", "_kb"]))
+    return out.select(*[b[c] for c in df.columns],
+                      (F.col("_off") + F.row_number().over(wi) - 1).cast("bigint").alias("_pos"), F.col("_n").cast("bigint").alias("_n"))
 
 
 def stratified_split(df: DataFrame, y: str, test_frac: float = 0.2, seed: int = 42,

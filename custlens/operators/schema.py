@@ -182,7 +182,7 @@ def top_n(df: DataFrame, n: int, by: str, ascending: bool = False, by_abs: bool
 
 def hash_rank_expr(key: str, seed: int, modulus: int = 10007) -> F.Column:
     """Portable arithmetic hash of an integer key (same value in any SQL engine)."""
-    return F.pmod(F.col(key) * F.lit(7919) + F.lit(seed), F.lit(modulus))
+    return F.pmod(F.pmod(F.col(key), F.lit(modulus)) * F.lit(7919) + F.lit(seed), F.lit(modulus))
 
 
 def sample_n(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:

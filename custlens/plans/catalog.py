@@ -174,8 +174,14 @@ CROSS JOIN (SELECT count(*) AS total FROM cseg) t
 
 @register("c11_segment_report", _SEG_REPORT_SQL)
 def q_segment_report(spark: SparkSession, sf: str) -> DataFrame:
-    seg = segments_cached(spark, sf)
-    return C.segment_report(seg, segment_labels_cached(spark, sf))
+    """The stored preparation is replayed on the customers, then assignment,
+    labels and report."""
+    prep, _ = cluster_fit(spark, sf)
+    base = processed(spark, sf).where(F.col("MonetaryTotal") > 0)
+    a = C.assign(M.cluster_prep_apply(prep, base), C.FIXED_CENTROIDS, C.FIXED_CENTROID_COLS).select("CustomerID", "cluster")
+    seg = materialise_table(base.select("CustomerID", "Frequency", "MonetaryTotal", "CustomerTenureDays", "SatisfactionScore", "Churn")
+                            .join(a, "CustomerID"), "report_segments")
+    return C.segment_report(seg, segment_labels(spark, seg))
 
 
 def _load_all() -> None:

@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custlens.operators.joins import bounded_broadcast
 from custlens.sources.io import testdata
 
 # Category labels cycled by key (ordinal maps' labels plus one
@@ -116,9 +115,9 @@ def customer_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
               F.avg(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).cast("double")
                .alias("ReturnRatio")))
 
-    geo = (nation.join(bounded_broadcast(region, 10_000), F.col("n_regionkey") == F.col("r_regionkey"))
+    geo = (nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
            .select("n_nationkey", "n_name", "r_name"))
-    c = (customer.join(bounded_broadcast(geo, 10_000), F.col("c_nationkey") == F.col("n_nationkey"))
+    c = (customer.join(geo, F.col("c_nationkey") == F.col("n_nationkey"))
          .select(F.col("c_custkey").alias("k"), "c_mktsegment", "n_name", "r_name"))
 
     j = c.join(oa, "k", "left").join(la, "k", "left")

@@ -18,7 +18,7 @@ from custlens.operators import sampling as R
 from custlens.operators import scoring as O
 from custlens.operators.schema import numeric_columns
 from custlens.plans.catalog import (cached_object, cluster_fit, customers, preprocessed, processed, rd, register,
-                                    scaled_cached, scored, segment_labels_cached, segments_cached, spend_standin)
+                                    scaled_cached, scored, segment_labels, segment_labels_cached, segments_cached, spend_standin)
 from custlens.plans.fixture import register_cte, sql_with
 from custlens.plans.q_scalar import auc_sql
 from custlens.plans.sqlgen import CF, LOGC, PROC_COLUMNS, knn_impute_ctes, qi, sel_rounded
@@ -55,21 +55,26 @@ def q_w01(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pca_input(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
-    """Processed numeric features (no key/target), KNN-imputed then standard
-    scaled - the input of the PCA steps."""
+    """Processed numeric features (no key/target) with the split label,
+    KNN-imputed then standard scaled: both fitted on the training split and
+    applied to all rows."""
     def build():
-        p = processed(spark, sf)
+        p = split_rows(spark, sf)
         feats = [c for c in numeric_columns(p) if c not in ("CustomerID", "Churn")]
-        x = p.select("CustomerID", "Churn", *[F.col(f"`{c}`").cast("double").alias(c) for c in feats])
-        imp = M.knn_impute_fit(x, feats, "CustomerID")
+        x = p.select("CustomerID", "Churn", "split", *[F.col(f"`{c}`").cast("double").alias(c) for c in feats])
+        imp = M.knn_impute_fit(x.where("split = 'train'"), feats, "CustomerID")
         xi = cut_lineage(M.knn_impute_apply(imp, x))
-        xs = M.standard_fit(xi, feats).apply(xi)
+        xs = M.standard_fit(xi.where("split = 'train'"), feats).apply(xi)
         return materialise_table(xs, "pca_input"), feats
     return cached_object(spark, "pca_input", sf, build)
 
 
 def pca_full(spark: SparkSession, sf: str) -> M.PcaFit:
-    return cached_object(spark, "pca_full", sf, lambda: M.pca_fit(*pca_input(spark, sf)))
+    """PCA of the training split."""
+    def build():
+        x, feats = pca_input(spark, sf)
+        return M.pca_fit(x.where("split = 'train'"), feats)
+    return cached_object(spark, "pca_full", sf, build)
 
 
 @register("w02_components_for")
@@ -106,9 +111,14 @@ def split_rows(spark: SparkSession, sf: str) -> DataFrame:
     return cached_object(spark, "split_rows", sf, build)
 
 
+def churn_prep(spark: SparkSession, sf: str) -> B.ChurnPrep:
+    return cached_object(spark, "churn_prep", sf, lambda: B.prepare_churn(
+        split_rows(spark, sf).where("split = 'train'").drop("split")))
+
+
 def churn_model(spark: SparkSession, sf: str) -> B.ChurnModel:
     return cached_object(spark, "churn_model", sf, lambda: B.train_churn(
-        split_rows(spark, sf).where("split = 'train'").drop("split")))
+        split_rows(spark, sf).where("split = 'train'").drop("split"), prep=churn_prep(spark, sf)))
 
 
 @register("b01_train_churn")
@@ -169,29 +179,28 @@ def q_b06(spark: SparkSession, sf: str) -> DataFrame:
     return rd(W.classification_report(scored(spark, sf), "Churn", "pred"))
 
 
+def churn_grid(spark: SparkSession, sf: str):
+    def build():
+        p = churn_prep(spark, sf)
+        return B.grid_search(p.rows, p.features)
+    return cached_object(spark, "churn_grid", sf, build)
+
+
 @register("b07_grid_search")
 def q_b07(spark: SparkSession, sf: str) -> DataFrame:
-    """Mean positive-class F1 of every grid point over 5 stratified folds."""
-    tr = split_rows(spark, sf).where("split = 'train'").drop("split")
-    m = churn_model(spark, sf)
-    x = m.scaler.apply(M.knn_impute_apply(m.imputer, tr.select("CustomerID", "Churn", *[
-        F.col(f"`{c}`").cast("double").alias(c) for c in m.features])))
-    cvm, grid = B.grid_search(x, m.features)
-    rows = []
-    for pm, metric in zip(grid, cvm.avgMetrics):
-        d = {p.name: v for p, v in pm.items()}
-        rows.append((int(d["numTrees"]), int(d["maxDepth"]), int(d["minInstancesPerNode"]), float(metric)))
-    return spark.createDataFrame(rows, "num_trees long, max_depth long, min_instances long, mean_f1 double")
+    """Mean positive-class F1 of every grid point over 5 stratified folds, the
+    best marked."""
+    grid, best, _ = churn_grid(spark, sf)
+    rows = [(g["num_trees"], g["max_depth"], g["min_instances"], g["mean_f1"], all(g[k] == v for k, v in best.items())) for g in grid]
+    return spark.createDataFrame(rows, "num_trees long, max_depth long, min_instances long, mean_f1 double, best boolean")
 
 
 @register("b08_cross_val")
 def q_b08(spark: SparkSession, sf: str) -> DataFrame:
-    """Per-fold F1 and AUC plus mean and population std rows."""
-    tr = split_rows(spark, sf).where("split = 'train'").drop("split")
-    m = churn_model(spark, sf)
-    x = m.scaler.apply(M.knn_impute_apply(m.imputer, tr.select("CustomerID", "Churn", *[
-        F.col(f"`{c}`").cast("double").alias(c) for c in m.features])))
-    per = B.cross_val(spark, x, m.features, num_trees=200, max_depth=10)
+    """Per-fold F1 and AUC of the grid's best point, plus mean (fold -1) and
+    population std (fold -2) rows."""
+    p = churn_prep(spark, sf)
+    per = B.cross_val(spark, p.rows, p.features, **churn_grid(spark, sf)[1])
     summ = per.agg(F.lit(-1).cast("long").alias("fold"), F.avg("f1").alias("f1"), F.avg("auc").alias("auc"))
     sd = per.agg(F.lit(-2).cast("long").alias("fold"), F.stddev_pop("f1").alias("f1"), F.stddev_pop("auc").alias("auc"))
     return per.unionByName(summ).unionByName(sd)
@@ -328,25 +337,26 @@ def _k_for(spark: SparkSession, sf: str, t: float = 0.9) -> int:
 def q_m07(spark: SparkSession, sf: str) -> DataFrame:
     """Projection on the components that reach 90 % of the variance."""
     x, _ = pca_input(spark, sf)
-    return M.pca_apply(pca_full(spark, sf), x, ["CustomerID", "Churn"], _k_for(spark, sf))
+    return M.pca_apply(pca_full(spark, sf), x, ["CustomerID", "Churn", "split"], _k_for(spark, sf))
 
 
 @register("m08_pca_display")
 def q_m08(spark: SparkSession, sf: str) -> DataFrame:
     """2-D and 3-D projections for display (first components of the same fit)."""
     x, _ = pca_input(spark, sf)
-    p3 = M.pca_apply(pca_full(spark, sf), x, ["CustomerID", "Churn"], 3)
-    return p3.select("CustomerID", "Churn", "PC1", "PC2", "PC3")
+    p3 = M.pca_apply(pca_full(spark, sf), x, ["CustomerID", "Churn", "split"], 3)
+    return p3.select("CustomerID", "Churn", "split", "PC1", "PC2", "PC3")
 
 
 @register("m09_pca_loadings")
 def q_m09(spark: SparkSession, sf: str) -> DataFrame:
-    """Top 5 features per component (PC1-PC6) by |loading|, and the 20
-    features with the largest max |loading| over PC1-PC6 (component 0)."""
+    """Top 5 features per component (PC1-PC6) by |loading|, the top 8 of PC1-PC3
+    (ranks up to 8), and the 20 features with the largest max |loading| over
+    PC1-PC6 (component 0)."""
     ld = pca_full(spark, sf).loadings(spark).where("component <= 6")
     from pyspark.sql import Window
     w = Window.partitionBy("component").orderBy(F.abs("loading").desc(), "feature")
-    top = ld.withColumn("rank", F.row_number().over(w)).where("rank <= 5")
+    top = ld.withColumn("rank", F.row_number().over(w)).where("rank <= 5 or component <= 3 and rank <= 8")
     best = (ld.groupBy("feature").agg(F.max(F.abs("loading")).alias("loading"))
               .withColumn("component", F.lit(0).cast("long"))
               .withColumn("rank", F.row_number().over(Window.orderBy(F.col("loading").desc(), "feature")))
@@ -407,11 +417,29 @@ def q_c01(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(rows, "cluster long, " + ", ".join(f"{c} double" for c in CF) + ", training_cost double")
 
 
+def fitted_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """Profile columns of every clustered customer with the cluster of the fitted
+    k-means (nine scaled features)."""
+    def build():
+        a = C.kmeans_predict(kmeans_model(spark, sf), scaled_cached(spark, sf), CF).select("CustomerID", "cluster")
+        base = processed(spark, sf).where(F.col("MonetaryTotal") > 0)
+        return materialise_table(base.select("CustomerID", "Frequency", "MonetaryTotal", "CustomerTenureDays", "SatisfactionScore", "Churn", "Recency")
+                                 .join(a, "CustomerID"), "fitted_segments")
+    return cached_object(spark, "fitted_segments", sf, build)
+
+
+@register("c11b_fitted_report")
+def q_c11b(spark: SparkSession, sf: str) -> DataFrame:
+    """The segment report over the fitted k-means: fit, label, report."""
+    seg = fitted_segments(spark, sf)
+    return C.segment_report(seg, segment_labels(spark, seg))
+
+
 @register("c02_k_sweep")
 def q_c02(spark: SparkSession, sf: str) -> DataFrame:
     """Inertia and silhouette for k = 2..8 on the first 10 principal components."""
     x, _ = pca_input(spark, sf)
-    pcs = M.pca_apply(pca_full(spark, sf), x, ["CustomerID"], 10)
+    pcs = materialise_table(M.pca_apply(pca_full(spark, sf), x.where("split = 'train'"), ["CustomerID"], 10), "pcs")
     return C.k_sweep(spark, pcs, [f"PC{i}" for i in range(1, 11)], range(2, 9))
 
 
@@ -566,33 +594,34 @@ def q_g06(spark: SparkSession, sf: str) -> DataFrame:
 # --- O --------------------------------------------------------------------------------------------
 
 def artefacts(spark: SparkSession, sf: str, models: bool = True) -> O.Artefacts:
-    """Stored state for scoring; the trained models only when asked for."""
+    """Stored state for scoring: with the trained models, the fitted k-means and
+    its labels; without, the fixed centroids that SQL can replay."""
     def build():
         proc = processed(spark, sf)
         prep, _ = cluster_fit(spark, sf)
-        vocab = preprocessed(spark, sf).vocab
         types = {f.name: f.dataType for f in proc.schema.fields}
-        return O.Artefacts(proc.columns, vocab, prep, C.FIXED_CENTROIDS, C.FIXED_CENTROID_COLS,
-                           segment_labels_cached(spark, sf), None, None, types)
-    art = cached_object(spark, "artefacts", sf, build)
-    if models and art.churn is None:
-        art.churn, art.spend = churn_model(spark, sf), spend_model(spark, sf)
-    return art
+        base = (proc.columns, preprocessed(spark, sf).vocab, prep)
+        if not models:
+            return O.Artefacts(*base, C.FIXED_CENTROIDS, C.FIXED_CENTROID_COLS, segment_labels_cached(spark, sf), types=types)
+        seg = fitted_segments(spark, sf)
+        centres = [[float(v) for v in c] for c in kmeans_model(spark, sf).clusterCenters()]
+        return O.Artefacts(*base, centres, CF, segment_labels(spark, seg), churn_model(spark, sf), spend_model(spark, sf), types)
+    return cached_object(spark, f"artefacts-{models}", sf, build)
 
 
-def _raw_test(spark: SparkSession, sf: str) -> DataFrame:
-    sp = split_rows(spark, sf).where("split = 'test'").select("CustomerID")
-    return customers(spark, sf).join(sp, "CustomerID").drop("Churn")
+def _raw_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Every customer as a raw record, without the label."""
+    return customers(spark, sf).drop("Churn")
 
 
 @register("o01_score_churn")
 def q_o01(spark: SparkSession, sf: str) -> DataFrame:
-    return O.score_churn(_raw_test(spark, sf), artefacts(spark, sf))
+    return O.score_churn(_raw_all(spark, sf), artefacts(spark, sf))
 
 
 @register("o02_score_spend")
 def q_o02(spark: SparkSession, sf: str) -> DataFrame:
-    return O.score_spend(_raw_test(spark, sf), artefacts(spark, sf))
+    return O.score_spend(_raw_all(spark, sf), artefacts(spark, sf))
 
 
 @register("o03_score_segment", sql_with(["clabels"], """SELECT r.CustomerID, r.cluster AS cluster_id,
@@ -609,15 +638,17 @@ def q_o03(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("o04_score_all")
 def q_o04(spark: SparkSession, sf: str) -> DataFrame:
-    return O.score_all(_raw_test(spark, sf), artefacts(spark, sf))
+    return O.score_all(_raw_all(spark, sf), artefacts(spark, sf))
 
 
 @register("o05_score_batch")
 def q_o05(spark: SparkSession, sf: str) -> DataFrame:
+    """File to file, from artefacts that were saved and loaded."""
     d = scratch_path(spark, f"o05-{uuid.uuid4().hex[:8]}")
-    raw = _raw_test(spark, sf)
+    raw = _raw_all(spark, sf)
     io.write_table(raw, d + "/in")
-    return O.score_batch(spark, d + "/in", d + "/out", artefacts(spark, sf), schema=raw.schema)
+    O.save_scoring(spark, d + "/store", artefacts(spark, sf))
+    return O.score_batch(spark, d + "/in", d + "/out", O.load_scoring(spark, d + "/store"), schema=raw.schema)
 
 
 @register("o06_headline", sql_with(["spend", "scored", "proc"], f"""SELECT (SELECT CAST(count(*) AS BIGINT) FROM proc) AS n_clients,

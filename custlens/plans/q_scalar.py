@@ -179,6 +179,12 @@ _ACTION_SQL = ("CASE label WHEN 'VIP' THEN 'Fidélisation et programmes de réco
                "ELSE 'Actions marketing spécifiques à définir.' END")
 
 
+@register("f18b_churn_advice", sql_with(["scored"], "SELECT CustomerID, CASE WHEN p >= 0.5 THEN '" + " | ".join(S.CHURN_ADVICE[1]).replace("'", "''")
+                                         + "' ELSE '" + " | ".join(S.CHURN_ADVICE[0]).replace("'", "''") + "' END AS advice FROM scored"))
+def q_f18b(spark: SparkSession, sf: str) -> DataFrame:
+    return scored(spark, sf).select("CustomerID", F.concat_ws(" | ", S.churn_advice("pred")).alias("advice"))
+
+
 @register("f18_action_for", sql_with(["clabels"], f"""SELECT s.CustomerID, l.label, {_ACTION_SQL} AS action
 FROM cseg s JOIN clabels l ON l.cluster = s.cluster"""))
 def q_f18(spark: SparkSession, sf: str) -> DataFrame:

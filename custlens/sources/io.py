@@ -16,9 +16,21 @@ TESTDATA_TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None,
-               fmt: str | None = None) -> DataFrame:
+               fmt: str | None = None, nan_as_null: bool = True) -> DataFrame:
     """Read a table. CSV takes a header row and an explicit schema
-    (schema inference is a full extra scan and is only used when none is given)."""
+    (schema inference is a full extra scan and is only used when none is given).
+    NaN cells of float columns become null (``nan_as_null``), as writers that have
+    no null for numbers leave NaN for it."""
+    df = _scan(spark, path, schema, fmt)
+    return nan_to_null(df) if nan_as_null else df
+
+
+def nan_to_null(df: DataFrame) -> DataFrame:
+    return df.select(*[F.nullif(F.col(f"`{f.name}`"), F.lit(float("nan")).cast(f.dataType)).alias(f.name)
+                       if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f"`{f.name}`") for f in df.schema.fields])
+
+
+def _scan(spark: SparkSession, path: str, schema: T.StructType | None, fmt: str | None) -> DataFrame:
     fmt = fmt or ("csv" if path.endswith(".csv") else "parquet")
     if fmt == "csv":
         reader = spark.read.option("header", True)
@@ -67,7 +79,8 @@ def load_or_build_features(spark: SparkSession, path: str,
                            build_fn: Callable[[], DataFrame],
                            expected: list[str] | None = None) -> DataFrame:
     """Reuse a materialised feature table when it holds every expected
-    column (projected to the expected order), else rebuild, write and re-read."""
+    column (projected to the expected order), else rebuild, write and re-read.
+    A rebuilt table that still lacks an expected column is an error."""
     cached = _try_read(spark, path)
     if cached is not None:
         if expected is None:
@@ -78,7 +91,10 @@ def load_or_build_features(spark: SparkSession, path: str,
     write_table(built, path)
     out = read_table(spark, path)
     if expected is not None:
-        out = out.select(*[F.col(f"`{c}`") for c in expected if c in out.columns])
+        missing = [c for c in expected if c not in out.columns]
+        if missing:
+            raise ValueError(f"the rebuilt table lacks columns {missing}")
+        out = out.select(*[F.col(f"`{c}`") for c in expected])
     return out
 
 

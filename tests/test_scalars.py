@@ -68,3 +68,33 @@ def test_log_and_clip_null_safe(spark):
     assert [r[0] for r in lg.collect()][0] is None
     lf = S.log1p_cols(df, ["x"], floor=True)
     assert [r[0] for r in lf.collect()][0] == 0.0
+
+
+def test_ipv6_matches_stdlib(spark):
+    rnd = random.Random(3)
+    vals = ["::", "::1", "::2", "1::", "fe80::1%eth0", "fe80::1%", "%x", "::ffff:10.0.0.1", "::ffff:8.8.8.8", "::10.0.0.1", "64:ff9b:1::5", "64:ff9b::1", "100::1", "100:0:0:1::",
+            "2001::1", "2001:1::1", "2001:1::2", "2001:1::3", "2001:3::9", "2001:4:112::1", "2001:4:113::1", "2001:20::1", "2001:2f:1::", "2001:3f::", "2001:40::", "2001:1ff::",
+            "2001:200::", "2001:db8:9::", "2002::5", "3fff::1", "fc00::", "fdff::1", "fe00::", "febf::1", "fec0::", "ff02::1", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7", "1:2:3:4:5:6:7:8:9",
+            "1::2::3", ":::", ":1::2", "1::2:", "1:2:3:4:5:6:7::", "::1:2:3:4:5:6:7", "::1:2:3:4:5:6:7:8", "12345::", "g::", "", ":", "1:2:3:4:5:6:1.2.3.4", "::1.2.3", "::256.1.1.1",
+            "::01.2.3.4", "fe80::1/64", "a:b", "::ffff:0:1", "0:0:0:0:0:ffff:c0a8:1"]
+    for _ in range(400):
+        parts = [f"{rnd.choice([0, 1, 0x2001, 0xfe80, 0xfc00, rnd.randrange(65536)]):x}" for _ in range(rnd.choice([8, 8, 7, 5, 3, 9]))]
+        if rnd.random() < 0.6:
+            parts.insert(rnd.randrange(len(parts) + 1), "")
+            if parts[0] == "" or parts[-1] == "":
+                parts.insert(0 if parts[0] == "" else len(parts), "")
+        vals.append(":".join(parts))
+    df = spark.createDataFrame([(v,) for v in vals], "ip string")
+    out = df.select("ip", S.ip_is_private("ip").alias("p"))
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    assert [(r["ip"], r["p"]) for r in out.collect()] == [(v, _py_private(v)) for v in vals]
+
+
+def test_one_hot_vector_and_advice(spark):
+    df = spark.createDataFrame([(1, "F"), (2, None), (3, "M")], "k int, Gender string")
+    out, model = S.one_hot_vector(df, ["Gender"])
+    assert [r.Gender_onehot.toArray().tolist() for r in out.orderBy("k").collect()] == [[1, 0], [0, 0], [0, 1]]
+    again, _ = S.one_hot_vector(spark.createDataFrame([(4, "X"), (5, "M")], "k int, Gender string"), ["Gender"], model)
+    assert [r.Gender_onehot.toArray().tolist() for r in again.orderBy("k").collect()] == [[0, 0], [0, 1]]
+    advice = [r[0] for r in spark.createDataFrame([(1,), (0,), (None,)], "p int").select(S.churn_advice("p")).collect()]
+    assert advice == [S.CHURN_ADVICE[1], S.CHURN_ADVICE[0], None]
