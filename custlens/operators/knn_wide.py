@@ -1,19 +1,21 @@
-"""Exact k-nearest candidates and pairwise distance sums, computed in blocks.
-
-Both sides stay distributed.  Receivers are hashed into ``nqb`` blocks and
-donors into ``ndb`` blocks; each receiver row is copied once per donor block
-and each donor row once per receiver block, and the two are co-grouped on the
-block pair ``(_qb, _db)``.  One group therefore holds at most about
-``receiver_block_rows`` receivers and ``donor_block_rows`` donors, whatever
-the table size: nothing passes through the driver, no pair rows are ever
-materialised, and no group grows with the data.  Inside a group the
-distances are computed with numpy, a sub-block of receivers at a time, and
-only each receiver's k best candidates in (distance, donor key) order (per
-missing feature for imputation) leave the task; the final ranking window sees
-at most k rows per receiver and donor block, however many distances tie.
-
-The work is quadratic by definition of these operators (receivers x donors);
-the shuffle is linear in ``nq * ndb + nd * nqb`` rows.
+"""Exact k-nearest candidates by pruned cells, and pairwise distance sums in blocks.
+
+k nearest: donors are laid out in cells.  A cell holds donors of one presence
+pattern that are neighbours on a Z-order curve over the features that part them
+best, at most about ``DONOR_BLOCK_ROWS``; its bounding box is kept.  From the
+boxes alone every receiver has, per cell, a lower and an upper bound of its
+distances to the cell's donors; the k-th smallest upper bound, counted in donors,
+bounds its k-th neighbour, and only cells whose lower bound is not above it are
+visited.  A receiver row is copied once per visited cell, the receivers of a
+crowded cell are split, and receivers and donors are co-grouped by cell: nothing
+passes through the driver but the boxes (one row per cell), no pair rows are
+materialised, and no group grows with the data.  Inside a group the distances are
+computed with numpy, a sub-block of receivers at a time, and only each receiver's
+k best candidates in (distance, donor key) order (per missing feature for
+imputation) leave the task.
+
+Distance sums (the exact silhouette) need every pair by definition: both sides
+are hashed into blocks and co-grouped on the block pair.
 
 Distances are summed coordinate by coordinate in column order, the same
 arithmetic as the SQL oracle, so ties and values agree exactly.
@@ -28,8 +30,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from custlens.operators.ranking import bucket_of
+from custlens.session import materialise_table
+
 RECEIVER_BLOCK_ROWS = 4_096    # receivers per co-group (upper bound, hash-balanced)
-DONOR_BLOCK_ROWS = 16_384      # donors per co-group
+DONOR_BLOCK_ROWS = 4_096       # donors per cell; four times as many per block of a block pair
+CURVE_FEATURES, CURVE_BITS = 4, 4
+BOUND_CELLS = 2_000_000        # receivers x cells x features whose bounds are computed at a time
 SUB_BLOCK = 256                # receivers per numpy distance block inside a group
 DONOR_TILE = 4_096             # donor columns per in-cache distance tile
 
@@ -122,7 +129,7 @@ def block_pairs(q: DataFrame, d: DataFrame,
     nq, nd = q.count(), d.count()
     min_groups = 2 * spark.sparkContext.defaultParallelism
     nqb, ndb = _block_counts(nq, nd, min_groups, receiver_block_rows or RECEIVER_BLOCK_ROWS,
-                             donor_block_rows or DONOR_BLOCK_ROWS)
+                             donor_block_rows or 4 * DONOR_BLOCK_ROWS)
     # the groups are compute-heavy but small in bytes: one partition per block
     # pair keeps AQE from coalescing them onto a few tasks
     parts = nqb * ndb
@@ -143,17 +150,121 @@ def _features(pdf: pd.DataFrame, fcols: list[str]) -> np.ndarray:
     return pdf[fcols].to_numpy(np.float64, na_value=np.nan)
 
 
+def _donor_cells(d: DataFrame, fcols: list[str], rows: int) -> DataFrame:
+    """``d`` with its cell (_spot, _pat), written once so that the cells stay."""
+    probs = [k / (1 << CURVE_BITS) for k in range(1, 1 << CURVE_BITS)]
+    st = d.agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(f"n_{c}") for c in fcols],
+               *[F.percentile_approx(c, probs, 1000).alias(f"e_{c}") for c in fcols]).first()
+    edges = {c: sorted(set(st[f"e_{c}"] or [])) for c in fcols}
+    best = sorted(fcols, key=lambda c: (-len(edges[c]), -st[f"n_{c}"]))[:CURVE_FEATURES]
+    code = F.lit(0).cast("long")
+    for bit in range(CURVE_BITS - 1, -1, -1):
+        for c in best:
+            own = F.shiftright(F.coalesce(bucket_of(F.col(c), edges[c]), F.lit(0).cast("long")), bit).bitwiseAND(F.lit(1).cast("long"))
+            code = code * 2 + own
+    pattern = F.concat(*[F.when(F.col(c).isNull(), "0").otherwise("1") for c in fcols])
+    spots = max(1, math.ceil(st["n"] / rows))
+    laid = d.withColumns({"_pat": pattern, "_z": code}).repartitionByRange(spots, "_pat", "_z", "_dk")
+    return materialise_table(laid.withColumn("_spot", F.spark_partition_id()).drop("_z"), "donor-cells")
+
+
+class _Boxes:
+    """Bounding boxes of the cells, and the cells that a receiver has to visit."""
+
+    def __init__(self, cells: DataFrame, fcols: list[str]):
+        got = cells.groupBy("_spot", "_pat").agg(F.count(F.lit(1)).alias("n"), *[F.min(c).alias(f"lo_{c}") for c in fcols],
+                                                 *[F.max(c).alias(f"hi_{c}") for c in fcols]).collect()  # one row per cell
+        self.names = [(r["_spot"], r["_pat"]) for r in got]
+        self.rows = np.array([r["n"] for r in got], np.int64)
+        self.has = np.array([[x == "1" for x in r["_pat"]] for r in got], bool).reshape(len(got), len(fcols))
+        side = lambda k: np.array([[r[f"{k}_{c}"] or 0.0 for c in fcols] for r in got], np.float64).reshape(len(got), len(fcols))
+        self.lo, self.hi = side("lo"), side("hi")
+
+    def _kth(self, upper: np.ndarray, k: int) -> np.ndarray:
+        """Per receiver the upper bound within which k donors lie; inf if there are fewer."""
+        order = np.argsort(upper, axis=1)
+        enough = np.cumsum(np.where(np.isinf(np.take_along_axis(upper, order, 1)), 0, self.rows[order]), axis=1) >= k
+        at = enough.argmax(axis=1)
+        bound = np.take_along_axis(upper, np.take_along_axis(order, at[:, None], 1), 1)[:, 0]
+        return np.where(enough.any(axis=1), bound, np.inf)
+
+    def visits(self, q: np.ndarray, k: int, per_feature: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(receiver, cell) pairs to visit; ``q`` has NaN for absent features."""
+        n, m = q.shape[1], len(self.names)
+        step = max(1, BOUND_CELLS // max(1, m * n))
+        out = []
+        for i in range(0, len(q), step):
+            x = q[i:i + step]
+            qm = ~np.isnan(x)
+            x = np.where(qm, x, 0.0)
+            common = qm.astype(np.float64) @ self.has.T.astype(np.float64)
+            low, up = np.zeros(common.shape), np.zeros(common.shape)
+            for f in range(n):
+                both = qm[:, f, None] & self.has[None, :, f]
+                a, b = self.lo[None, :, f] - x[:, f, None], x[:, f, None] - self.hi[None, :, f]
+                low += np.where(both, np.maximum(np.maximum(a, b), 0.0) ** 2, 0.0)
+                up += np.where(both, np.maximum(np.abs(a), np.abs(b)) ** 2, 0.0)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                low, up = low * n / common * (1 - 1e-9), up * n / common * (1 + 1e-9)
+            valid = common > 0
+            up[~valid] = np.inf
+            if not per_feature:
+                go = valid & (low <= self._kth(up, k)[:, None])
+            else:
+                go = np.zeros(valid.shape, bool)
+                for f in range(n):
+                    at = np.flatnonzero(~qm[:, f])
+                    if len(at):
+                        u = np.where(self.has[None, :, f], up[at], np.inf)
+                        go[at] |= valid[at] & self.has[None, :, f] & (low[at] <= self._kth(u, k)[:, None])
+            r, c = np.nonzero(go)
+            out.append((r + i, c))
+        return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
+
+
+def _visits(q: DataFrame, boxes: _Boxes, fcols: list[str], k: int, per_feature: bool) -> DataFrame:
+    schema = "_spot int, _pat string, _qk long, " + ", ".join(f"{c} double" for c in fcols)
+    spot, pat = np.array([s for s, _ in boxes.names], np.int32), np.array([p for _, p in boxes.names], object)
+
+    def run(frames):
+        for pdf in frames:
+            if len(pdf) and len(boxes.names):
+                r, c = boxes.visits(_features(pdf, fcols), k, per_feature)
+                for i in range(0, len(r), 50_000):
+                    out = pdf.iloc[r[i:i + 50_000]].reset_index(drop=True)
+                    out.insert(0, "_spot", spot[c[i:i + 50_000]])
+                    out.insert(1, "_pat", pat[c[i:i + 50_000]])
+                    yield out
+
+    return materialise_table(q.select("_qk", *fcols).mapInPandas(run, schema), "visits")
+
+
+def visit_share(queries: DataFrame, donors: DataFrame, qkey: str, dkey: str, cols: list[str], k: int,
+                per_feature: bool = False) -> float:
+    """Share of the (receiver, donor) pairs whose cells are visited."""
+    q, d, fcols = _sides(queries, donors, qkey, dkey, cols)
+    cells = _donor_cells(d, fcols, DONOR_BLOCK_ROWS)
+    boxes = _Boxes(cells, fcols)
+    rows = dict(zip(boxes.names, boxes.rows.tolist()))
+    seen = _visits(q, boxes, fcols, k, per_feature).groupBy("_spot", "_pat").count().collect()
+    return sum(r["count"] * rows[r["_spot"], r["_pat"]] for r in seen) / max(1, q.count() * sum(rows.values()))
+
+
+def _sides(queries: DataFrame, donors: DataFrame, qkey: str, dkey: str, cols: list[str]) -> tuple[DataFrame, DataFrame, list[str]]:
+    fcols = [f"c{i}" for i in range(len(cols))]
+    x = [F.nullif(F.col(f"`{c}`").cast("double"), F.lit(float("nan"))).alias(f) for c, f in zip(cols, fcols)]
+    return queries.select(F.col(qkey).cast("long").alias("_qk"), *x), donors.select(F.col(dkey).cast("long").alias("_dk"), *x), fcols
+
+
 def wide_candidates(queries: DataFrame, donors: DataFrame, qkey: str, dkey: str, cols: list[str],
                     k: int, per_feature: bool, exclude_self: bool = False,
                     receiver_block_rows: int | None = None,
                     donor_block_rows: int | None = None) -> DataFrame:
-    """Candidate rows: (_qk, _dk, _dist) or, per feature, (_qk, _f, _dk, _dist, _v)."""
+    """Candidate rows: (_qk, _dk, _dist) or, per feature, (_qk, _f, _dk, _dist, _v).
+    With ``exclude_self`` a key names one donor."""
+    spark = queries.sparkSession
     n = len(cols)
-    fcols = [f"c{i}" for i in range(n)]
-    q = queries.select(F.col(qkey).cast("long").alias("_qk"),
-                       *[F.col(f"`{c}`").cast("double").alias(f) for c, f in zip(cols, fcols)])
-    d = donors.select(F.col(dkey).cast("long").alias("_dk"),
-                      *[F.col(f"`{c}`").cast("double").alias(f) for c, f in zip(cols, fcols)])
+    q, d, fcols = _sides(queries, donors, qkey, dkey, cols)
     schema = ("_qk long, _f int, _dk long, _dist double, _v double" if per_feature
               else "_qk long, _dk long, _dist double")
     empty = _empty(schema)
@@ -191,8 +302,19 @@ def wide_candidates(queries: DataFrame, donors: DataFrame, qkey: str, dkey: str,
                                           "_v": D[has[di], f]}))
         return pd.concat(rows, ignore_index=True) if rows else empty
 
-    gq, gd = block_pairs(q, d, receiver_block_rows, donor_block_rows)
-    return gq.cogroup(gd).applyInPandas(fn, schema)
+    cells = _donor_cells(d, fcols, donor_block_rows or DONOR_BLOCK_ROWS)
+    go = _visits(q, _Boxes(cells, fcols), fcols, k + exclude_self, per_feature)
+    load = go.groupBy("_spot", "_pat").count().collect()  # one row per cell
+    # receivers per group: enough groups for every core, but not below a sub-block
+    many = sum(r["count"] for r in load) // (2 * spark.sparkContext.defaultParallelism)
+    rows = min(receiver_block_rows or RECEIVER_BLOCK_ROWS, max(SUB_BLOCK, many))
+    parts = [(r["_spot"], r["_pat"], math.ceil(r["count"] / rows)) for r in load]
+    split = spark.createDataFrame(parts, "_spot int, _pat string, _m int")
+    whole = F.xxhash64("_qk", *fcols)
+    key, groups = ["_spot", "_pat", "_sub"], max(1, sum(p[2] for p in parts))
+    left = go.join(split, ["_spot", "_pat"]).withColumn("_sub", F.pmod(whole, F.col("_m")).cast("int")).drop("_m")
+    right = cells.join(split, ["_spot", "_pat"]).withColumn("_sub", F.explode(F.sequence(F.lit(0), F.col("_m") - 1))).drop("_m")
+    return left.repartition(groups, *key).groupBy(*key).cogroup(right.repartition(groups, *key).groupBy(*key)).applyInPandas(fn, schema)
 
 
 def grouped_distance_sums(df: DataFrame, key: str, group: str, cols: list[str],

@@ -243,21 +243,31 @@ def _smote_input(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _smote_sql() -> str:
-    return sql_with(["csplit", "cscaled"], """
-SELECT Churn, synthetic, CAST(n AS BIGINT) AS n_rows FROM (
-  SELECT Churn, 0 AS synthetic, count(*) AS n FROM tr GROUP BY Churn
-  UNION ALL SELECT (SELECT Churn FROM cnt ORDER BY n, Churn LIMIT 1), 1,
-    (SELECT max(n) FROM cnt) - (SELECT min(n) FROM cnt))""",
-                    extra="""tr AS (SELECT s.CustomerID, c.Churn FROM cscaled s JOIN csplit c ON c.CustomerID = s.CustomerID
-  WHERE c.split = 'train'),
-cnt AS (SELECT Churn, count(*) AS n FROM tr GROUP BY Churn)""")
+    ss = " + ".join(f"(a.{qi(c)} - b.{qi(c)}) * (a.{qi(c)} - b.{qi(c)})" for c in CF)
+    real = ", ".join(f"{r6(qi(c))} AS {qi(c)}" for c in CF)
+    made = ", ".join(f"{r6(f'x.{qi(c)} + g.u * (z.{qi(c)} - x.{qi(c)})')} AS {qi(c)}" for c in CF)
+    return sql_with(["csplit", "cscaled"], f"""
+SELECT CustomerID, {real}, CAST(Churn AS BIGINT) AS Churn, CAST(0 AS BIGINT) AS synthetic FROM tr
+UNION ALL
+SELECT CAST(NULL AS BIGINT), {made}, CAST(x.Churn AS BIGINT), CAST(1 AS BIGINT)
+FROM gen g JOIN nn ON nn.src = g.src AND nn.j = g.j JOIN mino x ON x.CustomerID = g.src JOIN mino z ON z.CustomerID = nn.nb""",
+                    extra=f"""tr AS (SELECT s.*, c.Churn FROM cscaled s JOIN csplit c ON c.CustomerID = s.CustomerID WHERE c.split = 'train'),
+cnt AS (SELECT Churn, count(*) AS n FROM tr GROUP BY Churn),
+lim AS (SELECT min(n) AS n_min, max(n) - min(n) AS need, least(5, min(n) - 1) AS kk FROM cnt),
+mino AS (SELECT * FROM tr WHERE Churn = (SELECT Churn FROM cnt ORDER BY n, Churn LIMIT 1)),
+ranked AS (SELECT CustomerID, row_number() OVER (ORDER BY (CustomerID * 7919 + 42) % 10007, CustomerID) - 1 AS pos FROM mino),
+gen AS (SELECT r.CustomerID AS src, (i.range * 31 + 42) % l.kk + 1 AS j, ((i.range * 7919 + 42 * 13 + 7) % 10007) / CAST(10007 AS DOUBLE) AS u
+  FROM range(1000000) i, lim l, ranked r WHERE i.range < l.need AND r.pos = i.range % l.n_min),
+nn AS (SELECT a.CustomerID AS src, b.CustomerID AS nb, row_number() OVER (PARTITION BY a.CustomerID
+    ORDER BY sqrt(({ss}) * CAST({len(CF)} AS DOUBLE) / {len(CF)}), b.CustomerID) AS j
+  FROM mino a JOIN mino b ON a.CustomerID <> b.CustomerID)""")
 
 
 @register("r05_smote", _smote_sql())
 def q_r05(spark: SparkSession, sf: str) -> DataFrame:
-    """Class counts after SMOTE of the training split (synthetic rows apart)."""
+    """The training split with its synthetic minority rows (key null)."""
     out = R.smote(_smote_input(spark, sf), "Churn", CF, "CustomerID", k=5, seed=42)
-    return out.groupBy("Churn", "synthetic").agg(F.count(F.lit(1)).alias("n_rows"))
+    return rd(out.withColumns({"Churn": F.col("Churn").cast("bigint"), "synthetic": F.col("synthetic").cast("bigint")}))
 
 
 # --- M --------------------------------------------------------------------------------------

@@ -230,3 +230,23 @@ def test_knn_candidates_bounded_under_ties(spark, monkeypatch):
     nn = J.knn_join(recv, donors, "k", "k", ["a", "b"], 3).collect()
     for q in range(1000, 1005):
         assert sorted((r["rank"], r.nn_k) for r in nn if r.k == q) == [(1, 0), (2, 1), (3, 2)]
+
+
+def test_knn_cells_prune(spark, monkeypatch):
+    """Clustered rows: few cells are visited, and the neighbours are still exact."""
+    from custlens.operators import knn_wide
+    monkeypatch.setattr(knn_wide, "DONOR_BLOCK_ROWS", 40)
+    rnd = np.random.default_rng(8)
+    centres = rnd.normal(0, 50, (12, 3))
+    X = centres[rnd.integers(0, 12, 900)] + rnd.normal(0, 1, (900, 3))
+    rows = [(i, *map(float, x)) for i, x in enumerate(X)]
+    df = spark.createDataFrame(rows, "k long, a double, b double, c double")
+    cols = ["a", "b", "c"]
+    assert knn_wide.visit_share(df, df, "k", "k", cols, 4) < 0.35
+    got = {}
+    for r in J.knn_join(df, df, "k", "k", cols, 3, exclude_self=True).collect():
+        got.setdefault(r.k, []).append((r["rank"], r.nn_k))
+    for i in range(900):
+        d = np.sqrt(((X - X[i]) ** 2).sum(1))
+        d[i] = np.inf
+        assert [k for _, k in sorted(got[i])] == np.argsort(d, kind="stable")[:3].tolist()
