@@ -73,11 +73,14 @@ class WordMemo:
     different piece goes through the library once, and the pieces' ids are
     joined.  ``spaced`` keeps the space at the head of its piece (byte-level
     files); a space next to other white space then leaves the text whole, as
-    white-space runs are tokens there.  ``cap`` bounds the memory: beyond it the
-    memory starts anew.
+    white-space runs are tokens there.  A piece that ends in a full stop or comma
+    after a letter is its letters' ids and the mark's own, as both files part
+    letters from marks.  Files that lower-case (``spaced`` false) get A-Z lower-cased
+    before, but not next to combining marks, with which letters compose first.
+    ``cap`` bounds the memory: beyond it the memory starts anew.
     """
 
-    def __init__(self, path: str, spaced: bool, cap: int = 500_000):
+    def __init__(self, path: str, spaced: bool, cap: int = 800_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import re
 
@@ -87,10 +90,17 @@ class WordMemo:
         self.spaced, self.cap, self.memo = spaced, cap, {}
         #: New pieces are encoded many at a time with this token between them; pieces that hold a 0 go alone.
         [self.mark] = self.tok.encode(" 0", add_special_tokens=False).ids
+        self.marks = {c: self._ids(f"a{c}")[len(self._ids("a")):] for c in ".,"}
         self.mixed = re.compile(r"\s | \s").search
 
+    def _ids(self, text: str) -> bytes:
+        return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
+
     def pieces(self, text: str) -> list[str]:
         if not self.spaced:
+            raw = text.encode()
+            if b"\xcc" not in raw and b"\xcd" not in raw:
+                text = raw.lower().decode()
             return text.split(" ")
         if self.mixed(text):
             return [text]
@@ -106,10 +116,17 @@ class WordMemo:
         if len(self.memo) > self.cap:
             self.memo.clear()
         memo = self.memo
-        plain, odd = [], []
-        for w in seen:
-            if w not in memo:
-                (odd if "0" in w or w[-1:].isspace() or not w.strip() or (self.spaced and w[0] != " ") else plain).append(w)
+        plain, odd, marked = [], [], []
+        bare: set[str] = set()
+        for w in seen.difference(memo):
+            if w[-1:] in self.marks and w[-2:-1].isalpha():
+                marked.append(w)
+                if w[:-1] not in memo and w[:-1] not in seen:
+                    bare.add(w[:-1])
+            else:
+                bare.add(w)
+        for w in bare:
+            (odd if "0" in w or w[-1:].isspace() or not w.strip() or (self.spaced and w[0] != " ") else plain).append(w)
         for w, e in zip(odd, self.tok.encode_batch_fast(odd, add_special_tokens=False)):
             memo[w] = array("I", e.ids).tobytes()
         many = [plain[i:i + 256] for i in range(0, len(plain), 256)]
@@ -120,6 +137,8 @@ class WordMemo:
             for w, end in zip(words, ends, strict=True):
                 memo[w] = raw[4 * at:4 * end]
                 at = end + 1
+        for w in marked:
+            memo[w] = memo[w[:-1]] + self.marks[w[-1]]
         return [b"".join(map(memo.__getitem__, p)) for p in cut]
 
 
