@@ -14,6 +14,7 @@ sorted together with one largest value per bin, and the first of each bin stays.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -96,32 +97,42 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, text (null: empty), mark (hash of text) and bins."""
+    """doc_id, fingerprint and bins of each text (null: empty)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    return rows.select("doc_id", "text", F.xxhash64("text").alias("mark"), fingerprint_bins(F.col("text")).alias("bins"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint_bins(text).alias("bins"))
+    return rows.select("doc_id", packed(F.col("bins")).alias("fingerprint"), "bins")
+
+
+#: Key of a row: doc_id, whether it is null, and the text's hash.
+KEY = ["id", "none", "mark"]
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """KEY and text (null: empty)."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    doc = F.col("doc_id").cast("long")
+    return docs.select(F.coalesce(doc, F.lit(0).cast("long")).alias("id"), doc.isNull().alias("none"), text.alias("text")).withColumn("mark", F.xxhash64("text"))
 
 
 def followers(docs: DataFrame) -> DataFrame:
-    """doc_id, mark, need (a third of the text, rounded down) and the doc_id and mark
+    """KEY, need (a third of the text, rounded down) and next_id, next_none, next_mark
     of the next document by descending doc_id; the first follows the last.
 
     Keys alone are sorted by range; the partitions' first rows, one each, close the
     gaps between partitions.
     """
     n = shuffle_partitions(docs.sparkSession)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keys = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), F.floor(F.length(text) / 3).cast("int").alias("need"))
-    keys = keys.groupBy("doc_id", "mark").agg(F.max("need").alias("need"))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("mark").asc()]
+    keys = _keyed(docs).select(*KEY, F.floor(F.length("text") / 3).cast("int").alias("need"))
+    keys = keys.groupBy(*KEY).agg(F.max("need").alias("need"))
+    order = [F.col("none").asc(), F.col("id").desc(), F.col("mark").asc()]
     keys = keys.repartitionByRange(n, *order).withColumn("spot", F.spark_partition_id())
     w = Window.partitionBy("spot").orderBy(*order)
-    rows = keys.select("*", F.lead(F.struct("doc_id", "mark")).over(w).alias("next"), F.row_number().over(w).alias("at"))
-    heads = rows.filter("at = 1").select("spot", F.struct("doc_id", "mark").alias("head"))
+    rows = keys.select("*", F.lead(F.struct(*KEY)).over(w).alias("next"), F.row_number().over(w).alias("at"))
+    heads = rows.filter("at = 1").select("spot", F.struct(*KEY).alias("head"))
     every = Window.orderBy("spot")
     ahead = heads.select("spot", F.coalesce(F.lead("head").over(every), F.first("head").over(every)).alias("ahead"))
     rows = rows.join(F.broadcast(ahead), "spot").withColumn("next", F.coalesce("next", "ahead"))
-    return rows.select("doc_id", "mark", "need", F.col("next.doc_id").alias("next_id"), F.col("next.mark").alias("next_mark"))
+    return rows.select(*KEY, "need", *[F.col(f"next.{k}").alias(f"next_{k}") for k in KEY])
 
 
 def compare_with_edits(docs: DataFrame) -> DataFrame:
@@ -135,18 +146,18 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
     repeat doc_id and text have one place in the order and are returned each.
     Only doc_id and text are read; an empty table gives an empty one.
     """
-    rows = fingerprints(docs)
-    places = followers(docs)
-    ahead = rows.select(F.col("doc_id").alias("next_id"), F.col("mark").alias("next_mark"), "text", "bins")
-    n, a = places.alias("n"), ahead.alias("a")
-    tails = n.join(a, F.col("n.next_id").eqNullSafe(F.col("a.next_id")) & (F.col("n.next_mark") == F.col("a.next_mark")))
-    tails = tails.select(F.col("n.doc_id").alias("of_id"), F.col("n.mark").alias("of_mark"), F.struct(F.left(F.col("a.text"), F.col("n.need")).alias("tail"), F.col("a.bins").alias("next_bins")).alias("t"))
-    tails = tails.groupBy("of_id", "of_mark").agg(F.first("t").alias("t")).alias("t")
-    r = rows.alias("r")
-    both = r.join(tails, F.col("r.doc_id").eqNullSafe(F.col("t.of_id")) & (F.col("r.mark") == F.col("t.of_mark")))
+    # both joins take the same columns by the same key, so the texts are shuffled
+    # once; each fingerprint is made where its text is
+    rows = _keyed(docs)
+    n, a, r = followers(docs).alias("n"), rows.alias("a"), rows.alias("r")
+    tails = a.join(n, reduce(lambda x, y: x & y, [F.col(f"a.{k}") == F.col(f"n.next_{k}") for k in KEY]))
+    tails = tails.select(*[F.col(f"n.{k}").alias(k) for k in KEY],
+                         F.struct(F.left(F.col("a.text"), F.col("n.need")).alias("tail"), fingerprint_bins(F.col("a.text")).alias("next_bins")).alias("t"))
+    tails = tails.groupBy(*KEY).agg(F.first("t").alias("t")).alias("t")
+    both = r.join(tails, reduce(lambda x, y: x & y, [F.col(f"r.{k}") == F.col(f"t.{k}") for k in KEY]))
     size = F.length("r.text")
     edited = F.concat(F.left(F.col("r.text"), size - F.floor(size / 3).cast("int")), F.col("t.t.tail"))
-    out = both.select("r.doc_id", size.cast("long").alias("n_chars"), F.col("r.bins").alias("bins"), F.col("t.t.next_bins").alias("next_bins"),
+    out = both.select(F.when(~F.col("r.none"), F.col("r.id")).alias("doc_id"), size.cast("long").alias("n_chars"), fingerprint_bins(F.col("r.text")).alias("bins"), F.col("t.t.next_bins").alias("next_bins"),
                       let(edited, lambda e: F.struct(F.sha2(e, 256).alias("sha"), fingerprint_bins(e).alias("bins"))).alias("e"))
     return out.select("doc_id", "n_chars", F.col("e.sha").alias("edited_sha256"), packed(F.col("bins")).alias("fingerprint"), packed(F.col("e.bins")).alias("edited_fingerprint"),
                       likeness(F.col("bins"), F.col("e.bins")).alias("near_edited"), likeness(F.col("bins"), F.col("next_bins")).alias("near_next"))
