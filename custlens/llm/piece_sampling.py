@@ -38,7 +38,7 @@ ALPHA = 0.5
 class Lattices:
     """Filtered lattices of the words met so far; beyond ``cap`` words they start anew."""
 
-    def __init__(self, path: str, alpha: float = ALPHA, cap: int = 300_000):
+    def __init__(self, path: str, alpha: float = ALPHA, cap: int = 200_000):
         import sentencepiece
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.alpha, self.cap = alpha, cap
@@ -82,8 +82,9 @@ class Lattices:
         self.sizes: list[int] = []
         self.nodes = 0
         self.firsts: list[int] = []
-        # per arc: node it enters plus its upper share, nodes it spans, place and number of its ids
-        self.tables = [np.zeros(0, t) for t in (np.float64, np.int16, np.int32, np.int8)]
+        # per arc: upper end of its share, nodes it spans, place and number of its ids; per node: its first arc
+        self.tables = [np.zeros(0, t) for t in (np.float32, np.int16, np.int32, np.int8)]
+        self.arcs = np.zeros(0, np.int32)
         self.flat = np.zeros(0, np.int32)
 
     def add(self, words: list[str]) -> None:
@@ -137,7 +138,9 @@ class Lattices:
             c[np.concatenate([first[1:], [j - i]]) - 1] = 1.0
             share[i:j] = np.clip(c, 0.0, 1.0)
         order = np.argsort(node, kind="stable")
-        new = [(self.nodes + node + share)[order], span[order], (place + len(self.flat))[order], n[order]]
+        new = [share[order], span[order], (place + len(self.flat))[order], n[order]]
+        first = len(self.tables[0]) + np.searchsorted(node[order], np.arange(len(chars) + len(words)))
+        self.arcs = np.concatenate([self.arcs, first.astype(np.int32)])
         self.tables = [np.concatenate([t, x.astype(t.dtype)]) for t, x in zip(self.tables, new)]
         self.flat = np.concatenate([self.flat, ids.astype(np.int32)])
         base = len(self.sizes)
@@ -158,15 +161,15 @@ class Lattices:
             self._start()
         cut = [self.split(t) if t else [] for t in texts]
         seen = set().union(*cut)
-        new = sorted(w for w in seen if w not in self.words)
-        if new:
-            self.add(new)
+        new = list(seen.difference(self.words))
+        for i in range(0, len(new), 20_000):
+            self.add(new[i:i + 20_000])
         number, count = [], [len(own) for own in cut]
         for own in cut:
             number += map(self.words.__getitem__, own)
         if not number:
             return [np.zeros(0, np.int32) for _ in texts]
-        cum, span, place, size = self.tables
+        share, span, place, size = self.tables
         number = np.array(number, np.int64)
         first = np.array(self.firsts, np.int64)[number]
         node = first + np.array(self.sizes, np.int64)[number]
@@ -177,7 +180,11 @@ class Lattices:
         while len(live):
             state[live] = mix(state[live] + np.uint64(0x632BE59BD9B4E019))
             u = (state[live] >> np.uint64(12)).astype(np.float64) * 2.0**-52
-            a = np.searchsorted(cum, node[live] + u, "right")
+            a = self.arcs[node[live]]
+            past = np.flatnonzero(share[a] <= u)
+            while len(past):  # the last arc's share ends at 1
+                a[past] += 1
+                past = past[share[a[past]] <= u[past]]
             steps.append((live, a))
             node[live] -= span[a]
             live = live[node[live] > first[live]]
@@ -195,7 +202,7 @@ class Lattices:
     def decode(self, ids: np.ndarray) -> str:
         """The text that was encoded: the first piece's leading space is the encoder's own."""
         raw = self.raw
-        return b"".join([raw[k] for k in ids.tolist()]).decode()[1:]
+        return b"".join(map(raw.__getitem__, ids.tolist())).decode()[1:]
 
 
 _LATTICES: dict[tuple[str, float], Lattices] = {}
