@@ -4,16 +4,20 @@
    equal keys) and a MinHash signature of TREES x DEPTH values.  Equal sets are
    one class from here on, named by its smallest doc_id.
 2. Each tree is an order of the classes: sorted by DEPTH values of the
-   signature.  In the sorted order, runs of classes share a prefix.  A class is
-   paired with the one before it if they share LEAST values, and, region by
-   region, with a head of its run: at depth LEAST, and deeper where the deeper
-   prefix has another head.  Heads form a tree of FAN branches in a long run, so
-   no class is the partner of a whole region however large that is, no region is
-   gathered in one task and none is cut.  Pairs whose sketches (one byte of
-   SKETCH values) are far from the threshold go.
+   signature.  In the sorted order, runs of classes share a prefix of LEAST
+   values.  In a run of SMALL classes or fewer each is paired with each.  In a
+   longer run a class is paired, region by region, with the one before it, with a
+   head of its run (heads form a tree of FAN branches) and with the run's hub, the
+   class nearest to the most frequent values: the original of a star of copies.
+   Pairs whose sketches (one byte of SKETCH values) are far from the threshold go.
 3. The best pair of each class is confirmed on the full shingle sets; connected
    components follow; then every other pair that joins two components is
    confirmed too.  A pair inside one component can change nothing.
+4. The classes of long runs that still hold several components, and of runs that
+   a partition's edge cuts, are joined exactly: two sets of similarity 0.75 share
+   a shingle among the rarest of each (prefix filter).  A shingle of many classes
+   is dealt out in blocks.  What joins two components is confirmed.  So no run is
+   cut and none is gathered in one task.
 """
 
 from __future__ import annotations
@@ -30,6 +34,9 @@ from custlens.llm.wordhash import mix, shingle_sets
 from custlens.session import materialise_table
 
 TREES, DEPTH, LEAST, FAN, SKETCH = 16, 6, 2, 64, 64
+#: Classes of a run that are all compared; rows of a block in the exact join; tasks that
+#: a key's rows are dealt to; pairs of a class that go to one task; slots of shingle counts.
+SMALL, BLOCK, SALTS, HUB, SLOTS = 64, 256, 16, 256, 1 << 22
 #: 4.5 standard deviations of a 64-value estimate under 0.75.
 NEAR = 0.5
 _K = TREES * DEPTH
@@ -120,7 +127,23 @@ def run_heads(new: np.ndarray) -> np.ndarray:
     return start + place - place // step % FAN * step
 
 
+def hubs(new: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of runs longer than SMALL and, for each, the row of its run whose
+    sketch is nearest to the run's most frequent values."""
+    starts = np.flatnonzero(new)
+    ends = np.append(starts[1:], len(new))
+    rows, hub = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    long = ends - starts > SMALL
+    for i, j in zip(starts[long].tolist(), ends[long].tolist()):
+        usual = np.array([np.bincount(c, minlength=256).argmax() for c in sketch[i:j].T])
+        rows.append(np.arange(i, j))
+        hub.append(np.full(j - i, i + (sketch[i:j] == usual).sum(1).argmax()))
+    return np.concatenate(rows), np.concatenate(hub)
+
+
 def _pairs(trees: DataFrame) -> DataFrame:
+    """Pairs (edge null), the first and last row (edge 0 and 1), and the members of
+    runs that were not compared whole (edge 2, b the run)."""
     schema = "a long, b long, est float, edge int, spot int, sketch binary"
     types = arrow_types(schema)
 
@@ -142,7 +165,20 @@ def _pairs(trees: DataFrame) -> DataFrame:
             child.append(at)
             parent.append(head[at])
             last = head
+            at, hub = hubs(new[depth], sketch)
+            child.append(at[at != hub])
+            parent.append(hub[at != hub])
+        first = new[LEAST]
+        run_of = np.cumsum(first) - 1
+        size = np.bincount(run_of)[run_of]
+        place = np.arange(len(ids)) - np.flatnonzero(first)[run_of]
+        short = np.flatnonzero((size <= SMALL) & (place > 1))
+        for step in range(2, SMALL):
+            short = short[place[short] >= step]
+            child.append(short)
+            parent.append(short - step)
         child, parent = np.concatenate(child), np.concatenate(parent)
+        child, parent = np.maximum(child, parent), np.minimum(child, parent)
         code = np.unique(child * len(ids) + parent)
         child, parent = code // len(ids), code % len(ids)
         for i in range(0, len(child), 20_000):
@@ -152,6 +188,12 @@ def _pairs(trees: DataFrame) -> DataFrame:
             a, b = ids[c[ok]], ids[p[ok]]
             n = len(a)
             yield as_batch([np.minimum(a, b), np.maximum(a, b), est[ok], [None] * n, [None] * n, [None] * n], types)
+        # a run at the partition's edge may go on in the next one
+        at = np.flatnonzero((size > SMALL) | (run_of == 0) | (run_of == run_of[-1]))
+        for i in range(0, len(at), 20_000):
+            m = at[i:i + 20_000]
+            none = [None] * len(m)
+            yield as_batch([ids[m], v[0][m] * TREES + tree[m], none, [2] * len(m), none, none], types)
         spot = TaskContext.get().partitionId()
         yield as_batch([ids[[0, -1]], ids[[0, -1]], [1.0, 1.0], [0, 1], [spot, spot], [sketch[0].tobytes(), sketch[-1].tobytes()]], types)
 
@@ -162,8 +204,9 @@ def _write(df: DataFrame, name: str) -> DataFrame:
     return materialise_table(df, f"forest-{name}")
 
 
-def candidate_pairs(classes: DataFrame) -> DataFrame:
-    """a, b (a < b) and the estimate; ``classes``: id and signature."""
+def candidate_pairs(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """a, b (a < b) and the estimate; id and run of the members of runs that were
+    not compared whole.  ``classes``: id and signature."""
     spark = classes.sparkSession
     n = max(shuffle_partitions(spark), classes.count() * TREES // 1_000_000)
     order = ["tree", *[f"v{k}" for k in range(DEPTH // 2)], "id"]
@@ -171,7 +214,7 @@ def candidate_pairs(classes: DataFrame) -> DataFrame:
     got = _write(_pairs(trees), "pairs")
     # the first and last row of each partition: two rows per partition
     w = Window.orderBy("spot", "edge")
-    ends = got.filter(F.col("edge").isNotNull()).select(
+    ends = got.filter("edge < 2").select(
         "spot", "edge", "a", "sketch", F.lag("a").over(w).alias("b"), F.lag("sketch").over(w).alias("other"))
     ends = ends.filter((F.col("edge") == 0) & (F.col("a") != F.col("b")))
     same = F.lit(0)
@@ -179,7 +222,8 @@ def candidate_pairs(classes: DataFrame) -> DataFrame:
         same = same + (F.substring("sketch", k, 1) == F.substring("other", k, 1)).cast("int")
     ends = ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (same / F.lit(float(SKETCH))).cast("float").alias("est"))
     pairs = got.filter(F.col("edge").isNull()).select("a", "b", "est").union(ends.filter(F.col("est") >= NEAR))
-    return _write(pairs.groupBy("a", "b").agg(F.max("est").alias("est")), "candidates")
+    members = got.filter("edge = 2").select(F.col("a").alias("id"), F.col("b").alias("run"))
+    return _write(pairs.groupBy("a", "b").agg(F.max("est").alias("est")), "candidates"), members
 
 
 #: Bits of the filter that keeps the texts of unpaired classes out of the shuffle: 16
@@ -211,8 +255,16 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs of similarity 0.75 and more: 100 * common >= 75 * all."""
-    both = pairs.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
-    both = both.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    both = counted = _write(pairs.select("a", "b"), "unconfirmed")
+    for key, name in (("a", "x"), ("b", "y")):
+        # the pairs of a class of many are dealt out, with a copy of its set for each part
+        many = counted.groupBy(key).count().filter(F.col("count") > HUB)
+        many = F.broadcast(many.select(key, F.ceil(F.col("count") / HUB).cast("int").alias("parts")))
+        parts = F.coalesce("parts", F.lit(1))
+        both = both.join(many, key, "left").withColumn("part", F.pmod(F.xxhash64("a", "b"), parts).cast("int")).drop("parts")
+        own = sets.select(F.col("id").alias(key), F.col("shingles").alias(name)).join(many, key, "left")
+        own = own.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+        both = both.join(own, [key, "part"]).drop("part")
     types = arrow_types("a long, b long")
 
     def run(batches):
@@ -232,6 +284,74 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return map_arrow(both.select("a", "b", "x", "y"), run, "a long, b long")
 
 
+def _dealt_join(rows: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """``rows`` (with id) joined to ``few`` on ``key``, a frequent key in SALTS tasks."""
+    few = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(few, [key, "salt"]).drop("salt")
+
+
+def crowded(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """id, component of the classes in runs of several components."""
+    members = members.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    runs = members.groupBy("run").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+    return _dealt_join(members, runs.select("run"), "run").select("id", "component").distinct()
+
+
+def _counts(sets: DataFrame) -> np.ndarray:
+    """log2 of the number of shingles in each of SLOTS slots; only the order by which
+    the rare go first depends on it."""
+    types = arrow_types("slot int, n long")
+
+    def run(batches):
+        counts = np.zeros(SLOTS, np.int64)
+        for b in batches:
+            if b.num_rows:
+                slots, n = np.unique(np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint64) & np.uint64(SLOTS - 1), return_counts=True)
+                counts[slots.astype(np.int64)] += n
+        at = np.flatnonzero(counts)
+        for i in range(0, len(at), 100_000):
+            yield as_batch([at[i:i + 100_000], counts[at[i:i + 100_000]]], types)
+
+    # at most SLOTS rows of a slot and a byte
+    got = map_arrow(sets.select("shingles"), run, "slot int, n long").groupBy("slot").agg(F.ceil(F.log2(F.sum("n"))).cast("byte").alias("n")).filter("n > 0").toArrow()
+    out = np.zeros(SLOTS, np.uint8)
+    out[got.column(0).to_numpy()] = got.column(1).to_numpy()
+    return out
+
+
+def exact_pairs(sets: DataFrame) -> DataFrame:
+    """a, b (a < b) of different components: every pair of similarity 0.75 and more,
+    and some others.  ``sets``: id, component, shingles.
+
+    Of two sets that share c = 3 (n + m) / 7 shingles or more, in any one order of
+    all shingles, the first n - c + 1 and m - c + 1 meet; c is 6/7 of the smaller
+    set and 3/4 of the larger at least.  The order is rare first.
+    """
+    counts = _counts(sets)
+    schema = "h long, id long, component long, n int, at int"
+    types = arrow_types(schema)
+
+    def run(batches):
+        for b in batches:
+            for i, c, raw in zip(*(x.to_pylist() for x in b.columns)):
+                h = np.frombuffer(raw, np.uint64)
+                k = len(h) - -(-3 * len(h) // 4) + 1
+                own = h[np.argsort(counts[(h & np.uint64(SLOTS - 1)).astype(np.int64)], kind="stable")[:k]]
+                yield as_batch([own.view(np.int64), np.full(k, i), np.full(k, c), np.full(k, len(h)), np.arange(k)], types)
+
+    rows = _write(map_arrow(sets.select("id", "component", "shingles"), run, schema), "rare")
+    shared = rows.groupBy("h").agg(F.count("*").alias("c"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+    rows = _dealt_join(rows, shared.select("h", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "h")
+    rows = _write(rows.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int")), "shared")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    x = rows.filter("7 * (n - at) >= 6 * n").select("h", F.col("block").alias("i"), every.alias("j"), F.col("id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("at").alias("ax"))
+    y = rows.select("h", every.alias("i"), F.col("block").alias("j"), F.col("id").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("at").alias("ay"))
+    # the first shingle in common leaves no more than the rest of both
+    near = F.expr("cx <> cy AND (nx < ny OR nx = ny AND x < y) AND 4 * nx >= 3 * ny AND 7 * least(nx - ax, ny - ay) >= 3 * (nx + ny)")
+    met = x.join(y, ["h", "i", "j"]).filter(near)
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """id, component (its smallest id) for every id in ``links`` (a, b): large-star
     and small-star in turn; each round is written and read."""
@@ -268,8 +388,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = _write(sketches(docs), "sketches")
     known = rows.filter(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
     classes = _write(known.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature")), "classes")
-    pairs = candidate_pairs(classes.select("id", "signature"))
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    pairs, members = candidate_pairs(classes.select("id", "signature"))
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).union(members.select("id")).distinct()
     sets = _write(_sets(docs, _write(ids, "paired")), "sets")
     # each class's best pair, ties by hash so that no partner is favoured
     seen = pairs.select(F.col("a").alias("id"), "a", "b", "est").union(pairs.select(F.col("b").alias("id"), "a", "b", "est"))
@@ -283,7 +403,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rest = rest.join(a, "a", "left").join(b, "b", "left")
     rest = rest.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     more = _write(_confirm(rest, sets), "confirmed")
-    comp = components(first.union(more))
+    links = first.union(more)
+    comp = components(links)
+    left = _write(crowded(members, comp), "crowded")
+    if not left.isEmpty():
+        exact = _write(_confirm(exact_pairs(_write(sets.join(left, "id"), "crowded-sets")), sets), "confirmed")
+        comp = components(links.union(exact))
     home = _write(classes.select("set_key", "id").join(comp, "id", "left").select("set_key", F.coalesce("component", "id").alias("c")), "homes")
     out = rows.select("doc_id", "n_shingles", "set_key").join(home, "set_key", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))

@@ -87,3 +87,54 @@ def test_run_heads():
         at = head[at]
     assert set(at.tolist()) == {0, 10}
     assert np.bincount(head).max() < 64 * 3
+
+
+def edited(rnd, base, places, own):
+    out = list(base)
+    for k in rnd.choice(len(base) // 5, places, replace=False):
+        out[5 * k + 2] = f"{own}_{k}"
+    return " ".join(out)
+
+
+@pytest.mark.parametrize("parts", [1, 9])
+def test_star_of_copies(spark, parts):
+    """Copies like the original, at 0.76, but unlike one another, at 0.6; a second star in the same template."""
+    rnd = np.random.default_rng(7)
+    base = [f"w{k}" for k in range(1500)]
+    other = base[:1100] + [f"v{k}" for k in range(400)]
+    rows = [(5000, " ".join(base)), (5001, " ".join(other))]
+    rows += [(d, edited(rnd, base, 40, f"x{d}")) for d in range(400)]
+    rows += [(1000 + d, edited(rnd, other, 40, f"z{d}")) for d in range(90)]
+    want = brute(rows)
+    assert len({c for _, c in want.values()}) == 2
+    assert result(L.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts))) == want
+
+
+def test_near_copies_within_a_template(spark):
+    """Texts of one template, at 0.6 to one another; some have a near copy of their own at 0.76 and more."""
+    rnd = np.random.default_rng(8)
+    template = [f"w{k}" for k in range(225)]
+    rows = []
+    for d in range(500):
+        own = template + [f"y{d}_{k}" for k in range(75)]
+        rows.append((d, " ".join(own)))
+        if d % 4 == 0:
+            rows.append((1000 + d, edited(rnd, own, 8, f"x{d}")))
+    want = brute(rows)
+    assert len({c for _, c in want.values()}) == 500
+    assert result(L.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))) == want
+
+
+def test_exact_pairs_of_a_long_list(spark):
+    """More classes of one shingle than a block holds."""
+    import pyarrow as pa
+
+    from custlens.llm.wordhash import shingle_sets
+    rnd = np.random.default_rng(9)
+    base = [f"w{k}" for k in range(400)]
+    rows = [(d, edited(rnd, base, 5 if d % 2 else 12, f"x{d}")) for d in range(700)]
+    sets = spark.createDataFrame([(d, d, s.tobytes()) for (d, _), s in zip(rows, shingle_sets(pa.array([t for _, t in rows])))], "id long, component long, shingles binary")
+    got = {(r["a"], r["b"]) for r in L.exact_pairs(sets).collect()}
+    own = [shingles(t) for _, t in rows]
+    true = {(i, j) for i in range(0, 700, 7) for j in range(i + 1, 700) if 100 * len(own[i] & own[j]) >= 75 * len(own[i] | own[j])}
+    assert true and true <= got and all(a < b for a, b in got)
