@@ -4,10 +4,12 @@ A page becomes a list of blocks, each with the root-to-leaf path of its open
 elements (name and class).  Per path the blocks' text length, punctuation and
 link text are added up; text and punctuation per block are the path's two
 ratios.  Both are smoothed over neighbouring blocks, fused by their product and
-held against a threshold.  The content is the container that most text of the
-paths over the threshold shares (an ``article`` or ``main`` element where there is
-one), with every block in it whose path is not boilerplate by name or made of
-links.  So a short paragraph or heading inside the article stays.
+held against a threshold.  All paths over the threshold are content, and so is
+the lowest container that they share, with every block in it whose path is not
+boilerplate by name or made of links.  So a short paragraph or heading between
+them stays.  Where they share the page's body only, it is the container of each,
+and the headings of the elements around it.  An ``article`` or ``main`` element,
+where there is one, overrides the ratios: it is the container.
 """
 
 from __future__ import annotations
@@ -197,16 +199,25 @@ def extract_text(html: str) -> str:
                 return path[:k + 1]
         return path[:-1] if len(path) > 1 and path[-1].partition(".")[0] not in ("div", "section", "td", "body") else path
 
-    weight: dict[tuple[str, ...], float] = defaultdict(float)
-    for path, text, _ in blocks:
-        if scores[path] >= OVER and path not in menus:
-            weight[holder(path)] += len(text)
-    named = {p: w for p, w in weight.items() if p and p[-1].partition(".")[0] in ("article", "main")}
-    if not named:
-        # an article without a path over the threshold (a heading alone) still is the article
-        named = {holder(p): 1.0 for p, _, _ in blocks if holder(p) and holder(p)[-1].partition(".")[0] in ("article", "main")}
-    best = set(named) or ({max(weight, key=weight.get)} if weight else set())
-    keep = [text for path, text, _ in blocks if path not in menus and any(path[:len(b)] == b for b in best)]
+    def named(path: tuple[str, ...]) -> bool:
+        return bool(path) and path[-1].partition(".")[0] in ("article", "main")
+
+    content = {p for p in scores if scores[p] >= OVER and p not in menus}
+    # an article without a path over the threshold (a heading alone) still is the article
+    best = {h for h in map(holder, content) if named(h)} or {h for h in map(holder, scores) if named(h)}
+    heads: set[tuple[str, ...]] = set()
+    if not best and content:
+        best = set(map(holder, content))
+        shared = next(path[:k] for path in best for k in range(len(path), -1, -1) if all(b[:k] == path[:k] for b in best))
+        if any(label.partition(".")[0] not in ("html", "body") for label in shared):
+            best = {shared}
+        heads = {b[:k] for b in best for k in range(len(b) + 1)}
+        best |= content
+
+    def within(path: tuple[str, ...]) -> bool:
+        return any(path[:k] in best for k in range(len(path) + 1)) or path[-1].partition(".")[0] in HEADINGS and path[:-1] in heads
+
+    keep = [text for path, text, _ in blocks if path not in menus and (path and within(path) or () in best)]
     return "\n".join(keep)
 
 

@@ -79,3 +79,23 @@ def test_odd_rows(spark):
     got = H.extract_pages(df).collect()
     assert sorted(r["n_chars"] for r in got) == [0, 0, 1, 1, 5, 1_199_999]
     assert H.extract_pages(df.limit(0)).collect() == []
+
+
+LONG = "The text, as it stands here. It goes on, and on; and then it ends."
+
+
+def test_sections_of_other_labels_all_stay():
+    parts = "".join(f"<section id=s{k} class=c{k}><h2>Part {k}</h2><p>{LONG} {k}</p><p>{LONG * (k + 1)}</p></section>" for k in range(4))
+    want = "\n".join(f"Part {k}\n{LONG} {k}\n{LONG * (k + 1)}" for k in range(4))
+    menu = "<div class=menu><a href=x>A, b.</a></div><div class=x><ul><li><a href=a>One story, read on.</a></ul></div>"
+    for around in ("<body>{}</body>", "<body><div class=page>{}</div></body>", "{}"):
+        assert H.extract_text(around.format(menu + "<h1>Title</h1>" + parts + "<footer>Foot, here.</footer>")) == "Title\n" + want
+    divs = "".join(f"<div class=d{k}>{LONG} {k}</div>" for k in range(3))
+    assert H.extract_text(f"<body>{divs}</body>") == "\n".join(f"{LONG} {k}" for k in range(3))
+
+
+def test_lists_and_quotes_heavier_than_paragraphs():
+    for tag, item in (("ul", "li"), ("blockquote", "p"), ("table", "td")):
+        inner = "".join(f"<{item}>{LONG} {k}</{item}>" for k in range(5))
+        html = f"<body><div class=text><p>{LONG}</p><{tag}>{inner}</{tag}><p>End, now.</p></div><p><a href=x>Go, on.</a></p></body>"
+        assert H.extract_text(html) == "\n".join([LONG, *[f"{LONG} {k}" for k in range(5)], "End, now."]), tag
