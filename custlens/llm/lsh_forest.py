@@ -340,14 +340,20 @@ def exact_pairs(sets: DataFrame) -> DataFrame:
                 yield as_batch([own.view(np.int64), np.full(k, i), np.full(k, c), np.full(k, len(h)), np.arange(k)], types)
 
     rows = _write(map_arrow(sets.select("id", "component", "shingles"), run, schema), "rare")
-    shared = rows.groupBy("h").agg(F.count("*").alias("c"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    rows = _dealt_join(rows, shared.select("h", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "h")
-    rows = _write(rows.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int")), "shared")
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    x = rows.filter("7 * (n - at) >= 6 * n").select("h", F.col("block").alias("i"), every.alias("j"), F.col("id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("at").alias("ax"))
-    y = rows.select("h", every.alias("i"), F.col("block").alias("j"), F.col("id").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("at").alias("ay"))
+    # rows of the component that most rows of a shingle are of never meet one another
+    shared = rows.groupBy("h", "component").count().groupBy("h").agg(
+        F.sum("count").alias("c"), F.max(F.struct("count", "component")).alias("most"), F.count("*").alias("components")).filter("components > 1")
+    shared = shared.select("h", F.col("most.component").alias("main"), F.ceil(F.col("c") / BLOCK).cast("int").alias("all"),
+                           F.ceil((F.col("c") - F.col("most.count")) / BLOCK).cast("int").alias("others"))
+    rows = _write(_dealt_join(rows, shared, "h"), "shared")
+    hashed = F.xxhash64("id", F.lit(1))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    x = rows.filter("component <> main").select("h", every("all").alias("i"), F.pmod(hashed, F.col("others")).cast("int").alias("j"),
+                                                F.col("id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("at").alias("ax"))
+    y = rows.select("h", F.pmod(hashed, F.col("all")).cast("int").alias("i"), every("others").alias("j"),
+                    F.col("id").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("at").alias("ay"), "main")
     # the first shingle in common leaves no more than the rest of both
-    near = F.expr("cx <> cy AND (nx < ny OR nx = ny AND x < y) AND 4 * nx >= 3 * ny AND 7 * least(nx - ax, ny - ay) >= 3 * (nx + ny)")
+    near = F.expr("cx <> cy AND (cy = main OR x < y) AND 7 * least(nx - ax, ny - ay) >= 3 * (nx + ny)")
     met = x.join(y, ["h", "i", "j"]).filter(near)
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
