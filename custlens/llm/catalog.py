@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from custlens.llm import sql
 from custlens.llm.common import read_table
 from custlens.session import scratch_path
 
@@ -79,9 +80,15 @@ def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op11_glr_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from custlens.llm.dialogue_repair import damage, repair_conversations
+    return repair_conversations(damage(read_table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_coder, op2_tag_paths, op3_shuffle_shards, op4_oph_minhash, op5_decision_list, op6_piece_sampling, op7_weak_toxicity, op8_anchor_pii, op9_hilbert_pack, op10_lsh_forest)
+    for f in (op1_token_coder, op2_tag_paths, op3_shuffle_shards, op4_oph_minhash, op5_decision_list, op6_piece_sampling, op7_weak_toxicity, op8_anchor_pii, op9_hilbert_pack, op10_lsh_forest,
+              op11_glr_repair)
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op11_glr_repair": sql.OP11}

@@ -11,8 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch.  Texts can be long, so batches stay short.
-ARROW_ROWS = 500
+#: Rows and bytes of one Arrow batch at most (one row at least).  Texts can be long, so
+#: batches stay short.
+ARROW_ROWS, ARROW_BYTES = 500, 32 << 20
 
 #: White space between words: space and U+0009 to U+000D.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -30,9 +31,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
         return 200
 
 
+def partitions_for(df: DataFrame, text: str, each: int = 64 << 20) -> int:
+    """Partitions of about ``each`` bytes of the column's text, the session's number at least."""
+    size = df.agg(F.sum(F.octet_length(F.col(text).cast("string")).cast("long") + 64)).first()[0] or 0
+    return max(shuffle_partitions(df.sparkSession), -(-size // each))
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
               schema: str) -> DataFrame:
     """``mapInArrow`` over short batches."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     return df.mapInArrow(fn, schema)
 
