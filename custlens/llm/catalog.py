@@ -85,10 +85,17 @@ def op11_glr_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_conversations(damage(read_table(spark, sf_dir, "conversations")))
 
 
+def op12_rank_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from custlens.llm.rank_profiles import identify, learn
+    docs = read_table(spark, sf_dir, "documents")
+    profiles = learn(docs.select("doc_id", "text", "lang"))
+    return identify(docs.select("doc_id", "text"), profiles).select("doc_id", "held_out", "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_token_coder, op2_tag_paths, op3_shuffle_shards, op4_oph_minhash, op5_decision_list, op6_piece_sampling, op7_weak_toxicity, op8_anchor_pii, op9_hilbert_pack, op10_lsh_forest,
-              op11_glr_repair)
+              op11_glr_repair, op12_rank_profiles)
 }
 
 ORACLE: dict[str, str] = {"op11_glr_repair": sql.OP11}
