@@ -92,10 +92,15 @@ def op12_rank_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", "text"), profiles).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op13_trie_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from custlens.llm.spelling_groups import misspell, spelling_variants
+    return spelling_variants(read_table(spark, sf_dir, "documents"), misspell)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_token_coder, op2_tag_paths, op3_shuffle_shards, op4_oph_minhash, op5_decision_list, op6_piece_sampling, op7_weak_toxicity, op8_anchor_pii, op9_hilbert_pack, op10_lsh_forest,
-              op11_glr_repair, op12_rank_profiles)
+              op11_glr_repair, op12_rank_profiles, op13_trie_pairs)
 }
 
-ORACLE: dict[str, str] = {"op11_glr_repair": sql.OP11}
+ORACLE: dict[str, str] = {"op11_glr_repair": sql.OP11, "op13_trie_pairs": sql.OP13}

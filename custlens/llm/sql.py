@@ -92,3 +92,34 @@ SELECT e.conv_id, coalesce(c.gaps, 0) AS gaps, coalesce(c.blank, 0) AS blank, co
        coalesce(c.illegal, 0) AS illegal, e.cost, e.audit, sha256(coalesce(x.whole, '')) AS repaired_sha256
 FROM ends e LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN texts x ON x.conv_id IS NOT DISTINCT FROM e.conv_id
 """
+
+#: Words with a letter cut out meet by hash join; the counted letters stand between \x01s.
+OP13 = f"""
+WITH RECURSIVE {_CRC},
+runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), ' ') AS id, run, count(*) AS n FROM (
+    SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]{{7,}}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents)
+  GROUP BY ALL),
+hashed AS (SELECT run, n, {_crc32("id || ':' || run")} AS h FROM runs, crc_table),
+words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+cut AS (SELECT word, n, i, substr(word, 1, i - 1) AS head, substr(word, i + 1) AS tail FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS other, b.n FROM cut a JOIN cut b ON a.i = b.i AND a.head = b.head AND a.tail = b.tail AND a.word <> b.word
+  UNION
+  SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.head || a.tail = b.word
+  UNION
+  SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.head || a.tail = b.word),
+best AS (SELECT word, count(*) AS n_near, max(n) AS form_n, arg_min(other, {{'n': -n, 'w': other}}) AS form FROM near GROUP BY word),
+forms AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.form_n >= 10 * w.n THEN b.form END AS form, CASE WHEN b.form_n >= 10 * w.n THEN b.form_n END AS form_n
+  FROM words w LEFT JOIN best b USING (word)),
+chains AS (
+  SELECT word, word AS last FROM forms
+  UNION ALL
+  SELECT c.word, f.form FROM chains c JOIN forms f ON f.word = c.last WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, c.last AS root, f.n, f.n_near, f.form_n
+FROM forms f JOIN chains c USING (word) JOIN forms e ON e.word = c.last AND e.form IS NULL
+"""
