@@ -103,7 +103,7 @@ def find_spans(text: str) -> list[tuple[int, int, str]]:
             if at >= done["ip"] and at >= run_end:
                 m = _IP.match(text, at)
                 if m:
-                    add("ip", at, m.end(), all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")))
+                    add("ip", at, m.end(), all(len(p) <= 3 and int(p or "0") <= 255 for p in (q.lstrip("0") for q in m[0].split("."))))
                     run_end = m.end()
                 else:
                     run_end = _RUN.match(text, at).end()

@@ -45,22 +45,6 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
-def map_text(df: DataFrame, each: Callable, schema: str, keep: list[str], text: str = "text") -> DataFrame:
-    """Columns ``keep`` as they are, then the columns that ``each`` makes of a
-    batch of texts (null: empty).  ``each`` gets a list of str and returns one
-    list or Arrow array per further column of ``schema``."""
-    n = len(keep)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                got = each([t or "" for t in b.column(n).to_pylist()])
-                yield as_batch([*b.columns[:n], *got], types)
-
-    types = arrow_types(schema)
-    return map_arrow(df.select(*keep, F.col(text).cast("string").alias("__text")), run, schema)
-
-
 def arrow_types(schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -82,8 +66,9 @@ class WordMemo:
     joined.  ``spaced`` keeps the space at the head of its piece (byte-level
     files); a space next to other white space then leaves the text whole, as
     white-space runs are tokens there.  A piece that ends in a full stop or comma
-    after a letter is its letters' ids and the mark's own, as both files part
-    letters from marks.  Files that lower-case (``spaced`` false) get A-Z lower-cased
+    after a character that the file's normalizer leaves a letter at the end is its
+    letters' ids and the mark's own, as both files part letters from marks.  (U+0130
+    becomes an i and a combining dot, which would go with the mark.)  Files that lower-case (``spaced`` false) get A-Z lower-cased
     before, but not next to combining marks, with which letters compose first.
     ``cap`` bounds the memory: beyond it the memory starts anew.
     """
@@ -99,11 +84,17 @@ class WordMemo:
         #: New pieces are encoded many at a time with this token between them; pieces that hold a 0 go alone.
         [self.mark] = self.tok.encode(" 0", add_special_tokens=False).ids
         self.marks = {c: self._ids(f"a{c}")[len(self._ids("a")):] for c in ".,"}
+        self.letters: dict[str, bool] = {"": False}
         self.mixed = re.compile(r"\s | \s").search
 
     def _ids(self, text: str) -> bytes:
         return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def ends_in_letter(self, c: str) -> bool:
+        if c not in self.letters:
+            self.letters[c] = (self.tok.normalizer.normalize_str(c) if self.tok.normalizer else c)[-1:].isalpha()
+        return self.letters[c]
+
     def pieces(self, text: str) -> list[str]:
         if not self.spaced:
             raw = text.encode()
@@ -127,7 +118,7 @@ class WordMemo:
         plain, odd, marked = [], [], []
         bare: set[str] = set()
         for w in seen.difference(memo):
-            if w[-1:] in self.marks and w[-2:-1].isalpha():
+            if w[-1:] in self.marks and self.ends_in_letter(w[-2:-1]):
                 marked.append(w)
                 if w[:-1] not in memo and w[:-1] not in seen:
                     bare.add(w[:-1])

@@ -64,3 +64,13 @@ def test_odd_rows(spark):
     assert A.find_personal_data(df.limit(0)).collect() == []
     new = A.redact_documents(df)
     assert new.columns == df.columns and sorted((r["text"] or "")[-7:] for r in new.collect()) == ["", "", "[EMAIL]", "[EMAIL]", "[EMAIL]"]
+
+
+def test_very_long_runs_of_digits(spark):
+    zeros = "0" * 5000
+    assert A.find_spans(zeros + "1.2.3.4") == [(0, 5007, "ip")]
+    assert A.find_spans("1." + zeros + "2.3." + zeros + "4") == [(0, 10_007, "ip")]
+    assert [s for s in A.find_spans("9" * 6000 + ".1.1.1") if s[2] == "ip"] == [] and A.find_spans("+" + "1" * 5000) == []
+    docs = spark.createDataFrame([(1, zeros + "1.2.3.4"), (2, "9" * 5000)], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_ip"] for r in A.find_personal_data(docs).collect()} == {1: 1, 2: 0}
+    assert {r["doc_id"]: r["text"] for r in A.redact_documents(docs).collect()}[1] == "[IP]"

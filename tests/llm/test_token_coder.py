@@ -35,8 +35,14 @@ def test_predictable_ids_are_small_and_damage_is_seen():
         C.encode_record(np.array([70_000]))
 
 
+def test_letters_that_become_marks():
+    for memo in MEMOS:
+        for t in ["DERGİSİ.", "KEDİ,", "a İ. b", "e\u0301.", "é.", "i\u0307,", "\u0958.", "\ufb2a,", "ß.", "ǰ."]:
+            assert memo.encode([t])[0] == np.array(memo.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 @settings(max_examples=400, deadline=None)
-@given(st.lists(st.text(alphabet="ab'sAé0 5.,\n\t  \x1c\x85<|>☃", max_size=30), max_size=5))
+@given(st.lists(st.text(alphabet="ab'sAéİI\u0301\u0307\u0327\u0958\ufb2aß0 5.,\n\t  \x1c\x85<|>☃", max_size=30), max_size=5))
 def test_words_one_by_one_equal_the_whole_text(texts):
     for memo in MEMOS:
         for t, got in zip(texts, memo.encode(texts)):
