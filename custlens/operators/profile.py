@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from custlens.functions.scalars import round_even as _re
 from pyspark.sql import types as T
 
+from custlens.operators.gram import pairwise_moments
 from custlens.operators.quantiles import exact_quantiles
 from custlens.operators.ranking import running_sums
 from custlens.operators.schema import (
@@ -215,29 +216,29 @@ def rate_comparison(df: DataFrame, pred, target: str = "Churn") -> DataFrame:
                   F.avg(y).alias("overall_rate"))
 
 
+def _correlations(df: DataFrame, cols: list[str]) -> DataFrame:
+    """i, j, corr of all ordered pairs of places in ``cols``."""
+    m = pairwise_moments(df, cols)
+    r = F.col("cov") / F.sqrt(F.col("vi") * F.col("vj"))
+    r = F.when((F.col("n") > 1) & (F.col("vi") > 0) & (F.col("vj") > 0), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.nanvl(r, F.lit(None)))))
+    return m.select("i", "j", F.nullif(r, F.lit(float("nan"))).alias("corr"))
+
+
+def _named(pairs: DataFrame, cols: list[str]) -> DataFrame:
+    names = F.array(*[F.lit(c) for c in cols])
+    return pairs.select(F.get(names, F.col("i")).alias("feature_1"), F.get(names, F.col("j")).alias("feature_2"), "corr")
+
+
 def corr_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Pearson, pairwise-complete, all pairs computed in one aggregation
-    (upper triangle) and mirrored."""
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    row = df.agg(*[F.corr(_q(cols[i]).cast("double"), _q(cols[j]).cast("double")).alias(f"r{i}_{j}")
-                   for i, j in pairs]).first()
-    out = []
-    for i, j in pairs:
-        r = row[f"r{i}_{j}"]
-        r = None if r is None or (isinstance(r, float) and math.isnan(r)) else r
-        out.append((cols[i], cols[j], r))
-        if i != j:
-            out.append((cols[j], cols[i], r))
-    return df.sparkSession.createDataFrame(out, "feature_1 string, feature_2 string, corr double")
+    """Pearson, pairwise-complete, every ordered pair, from one scan that adds up
+    a Gram matrix (``operators/gram.py``).  A constant column (or one constant where the
+    other is present) has null correlations, and so have fewer than two rows."""
+    return _named(_correlations(df, cols), cols)
 
 
 def high_corr_pairs(df: DataFrame, cols: list[str], threshold: float = 0.8) -> DataFrame:
     """Upper-triangle pairs with |r| > threshold (column order)."""
-    order = {c: i for i, c in enumerate(cols)}
-    m = corr_matrix(df, cols)
-    idx = F.create_map(*[x for c, i in order.items() for x in (F.lit(c), F.lit(i))])
-    return m.where((F.element_at(idx, F.col("feature_1")) < F.element_at(idx, F.col("feature_2")))
-                   & (F.abs("corr") > threshold))
+    return _named(_correlations(df, cols).where((F.col("i") < F.col("j")) & (F.abs("corr") > threshold)), cols)
 
 
 def distinct_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:

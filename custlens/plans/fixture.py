@@ -36,6 +36,12 @@ CUSTOMER_COLUMNS = [
     "PreferredTimeOfDay", "CustomerType", "Country", "Region", "Gender",
     "FavoriteSeason", "Churn",
 ]
+TEXT_COLUMNS = [
+    "NewsletterSubscribed", "RegistrationDate", "LastLoginIP", "AgeCategory", "SpendingCategory",
+    "LoyaltyLevel", "ChurnRiskCategory", "BasketSizeCategory", "PreferredTimeOfDay", "CustomerType",
+    "Country", "Region", "Gender", "FavoriteSeason",
+]
+NUMERIC_COLUMNS = [c for c in CUSTOMER_COLUMNS if c not in TEXT_COLUMNS]
 
 
 def _cycle(k: Column, labels: list) -> Column:

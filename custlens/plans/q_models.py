@@ -588,6 +588,7 @@ def q_g04(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("g05_cross_val_r2")
 def q_g05(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows without a target are in no fold."""
     tr = spend_split(spark, sf).where("split = 'train'").drop("split")
     m = spend_model(spark, sf)
     x = m.scaler.apply(M.knn_impute_apply(m.imputer, tr.select("CustomerID", "MonetaryTotal", *[
@@ -595,6 +596,22 @@ def q_g05(spark: SparkSession, sf: str) -> DataFrame:
     return G.cross_val_r2(spark, x, m.features, "MonetaryTotal")
 
 
+#: One feature, so that SQL's regr_* fit the same lines.
+_G05B = sql_with(["proc"], f"""
+SELECT t.fold, {r6("1 - sum((MonetaryTotal - (l.b0 + l.b * Frequency)) * (MonetaryTotal - (l.b0 + l.b * Frequency))) / (var_pop(MonetaryTotal) * count(*))")} AS r2
+FROM folded t JOIN lines l ON l.fold = t.fold GROUP BY t.fold""", extra="""
+folded AS (SELECT MonetaryTotal, CAST(Frequency AS DOUBLE) AS Frequency, CAST((row_number() OVER (ORDER BY (CustomerID * 7919 + 42) % 10007, CustomerID) - 1) % 5 AS BIGINT) AS fold
+  FROM proc WHERE MonetaryTotal IS NOT NULL AND Frequency IS NOT NULL),
+lines AS (SELECT f.fold, regr_slope(t.MonetaryTotal, t.Frequency) AS b, regr_intercept(t.MonetaryTotal, t.Frequency) AS b0
+  FROM (SELECT DISTINCT fold FROM folded) f JOIN folded t ON t.fold <> f.fold GROUP BY f.fold)""")
+
+
+@register("g05b_cross_val_r2_one", _G05B)
+def q_g05b(spark: SparkSession, sf: str) -> DataFrame:
+    """G05 on one feature: MonetaryTotal on Frequency."""
+    return rd(G.cross_val_r2(spark, processed(spark, sf), ["Frequency"], "MonetaryTotal"))
+
+
 @register("g06_target_stats", sql_with(["proc"], f"""SELECT {r6('avg(MonetaryTotal)')} AS mean, {r6('stddev_samp(MonetaryTotal)')} AS std,
   {r6('min(MonetaryTotal)')} AS min, {r6('max(MonetaryTotal)')} AS max FROM proc"""))
 def q_g06(spark: SparkSession, sf: str) -> DataFrame:
@@ -603,19 +620,21 @@ def q_g06(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- O --------------------------------------------------------------------------------------------
 
-def artefacts(spark: SparkSession, sf: str, models: bool = True) -> O.Artefacts:
-    """Stored state for scoring: with the trained models, the fitted k-means and
-    its labels; without, the fixed centroids that SQL can replay."""
+def artefacts(spark: SparkSession, sf: str, models: tuple[str, ...] = ("churn", "spend", "segment")) -> O.Artefacts:
+    """Stored state for scoring, with the models asked for and no other: "segment" is the
+    fitted k-means with its labels, without it the fixed centroids that SQL can replay."""
     def build():
         proc = processed(spark, sf)
         prep, _ = cluster_fit(spark, sf)
         types = {f.name: f.dataType for f in proc.schema.fields}
         base = (proc.columns, preprocessed(spark, sf).vocab, prep)
-        if not models:
-            return O.Artefacts(*base, C.FIXED_CENTROIDS, C.FIXED_CENTROID_COLS, segment_labels_cached(spark, sf), types=types)
+        churn = churn_model(spark, sf) if "churn" in models else None
+        spend = spend_model(spark, sf) if "spend" in models else None
+        if "segment" not in models:
+            return O.Artefacts(*base, C.FIXED_CENTROIDS, C.FIXED_CENTROID_COLS, segment_labels_cached(spark, sf), churn, spend, types)
         seg = fitted_segments(spark, sf)
         centres = [[float(v) for v in c] for c in kmeans_model(spark, sf).clusterCenters()]
-        return O.Artefacts(*base, centres, CF, segment_labels(spark, seg), churn_model(spark, sf), spend_model(spark, sf), types)
+        return O.Artefacts(*base, centres, CF, segment_labels(spark, seg), churn, spend, types)
     return cached_object(spark, f"artefacts-{models}", sf, build)
 
 
@@ -626,12 +645,12 @@ def _raw_all(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("o01_score_churn")
 def q_o01(spark: SparkSession, sf: str) -> DataFrame:
-    return O.score_churn(_raw_all(spark, sf), artefacts(spark, sf))
+    return O.score_churn(_raw_all(spark, sf), artefacts(spark, sf, ("churn",)))
 
 
 @register("o02_score_spend")
 def q_o02(spark: SparkSession, sf: str) -> DataFrame:
-    return O.score_spend(_raw_all(spark, sf), artefacts(spark, sf))
+    return O.score_spend(_raw_all(spark, sf), artefacts(spark, sf, ("spend",)))
 
 
 @register("o03_score_segment", sql_with(["clabels"], """SELECT r.CustomerID, r.cluster AS cluster_id,
@@ -643,7 +662,7 @@ ra AS (SELECT CustomerID, CASE WHEN d0 <= d1 AND d0 <= d2 AND d0 <= d3 THEN 0 WH
         for j, (m, r, f) in enumerate(C.FIXED_CENTROIDS)) + " FROM rscaled))"))
 def q_o03(spark: SparkSession, sf: str) -> DataFrame:
     """Segment of every processed customer from the stored preparation."""
-    return O.score_segment(processed(spark, sf), artefacts(spark, sf, models=False))
+    return O.score_segment(processed(spark, sf), artefacts(spark, sf, ()))
 
 
 @register("o04_score_all")

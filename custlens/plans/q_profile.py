@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from custlens.operators import profile as A
 from custlens.operators.sampling import stratified_split
 from custlens.plans.catalog import customers, processed, rd, register, scaled_cached
-from custlens.plans.fixture import CUSTOMER_COLUMNS, sql_with
-from custlens.plans.sqlgen import qi
+from custlens.operators.schema import numeric_columns
+from custlens.plans.fixture import CUSTOMER_COLUMNS, NUMERIC_COLUMNS, sql_with
+from custlens.plans.sqlgen import PROC_COLUMNS, qi
 
 R6 = "round_even({}, 6)"
 
@@ -181,9 +182,6 @@ def q_a17(spark: SparkSession, sf: str) -> DataFrame:
     return rd(A.rate_comparison(customers(spark, sf), F.col("MonetaryTotal") < 0))
 
 
-_A18 = ["Recency", "Frequency", "MonetaryTotal", "Age", "SatisfactionScore", "ReturnRatio"]
-
-
 def _corr_sql(cols: list[str], src: str, upper_only: bool, threshold: float | None = None) -> str:
     pairs = [(i, j) for i in range(len(cols)) for j in range(len(cols)) if (i < j if upper_only else True)]
     aggs = ", ".join(f"corr(CAST({qi(cols[min(i, j)])} AS DOUBLE), CAST({qi(cols[max(i, j)])} AS DOUBLE)) AS r_{i}_{j}"
@@ -194,20 +192,18 @@ def _corr_sql(cols: list[str], src: str, upper_only: bool, threshold: float | No
     return f"SELECT feature_1, feature_2, {r6('CASE WHEN isnan(corr) THEN NULL ELSE corr END')} AS corr FROM ({body}){where}"
 
 
-@register("a18_corr_matrix", sql_with(["cust"], _corr_sql(_A18, "cust", False)))
+@register("a18_corr_matrix", sql_with(["cust"], _corr_sql(NUMERIC_COLUMNS, "cust", False)))
 def q_a18(spark: SparkSession, sf: str) -> DataFrame:
-    return rd(A.corr_matrix(customers(spark, sf), _A18))
-
-
-_A19 = ["Recency", "Frequency", "MonetaryTotal", "MonetaryAvg", "MonetaryStd", "MonetaryMin", "MonetaryMax",
-        "CancelledTransactions", "TotalTransactions", "TotalQuantity", "UniqueProducts", "ReturnRatio",
-        "CustomerTenureDays", "FirstPurchaseDaysAgo", "AvgDaysBetweenPurchases", "Age", "SupportTicketsCount",
-        "SatisfactionScore", "AvgBasketValue", "Churn"]
+    """All numeric columns."""
+    c = customers(spark, sf)
+    return rd(A.corr_matrix(c, numeric_columns(c)))
 
 
-@register("a19_high_corr_pairs", sql_with(["proc"], _corr_sql(_A19, "proc", True, 0.8)))
+@register("a19_high_corr_pairs", sql_with(["proc"], _corr_sql(PROC_COLUMNS, "proc", True, 0.8)))
 def q_a19(spark: SparkSession, sf: str) -> DataFrame:
-    return rd(A.high_corr_pairs(processed(spark, sf), _A19, 0.8))
+    """All numeric columns of the processed table, which has no others."""
+    p = processed(spark, sf)
+    return rd(A.high_corr_pairs(p, numeric_columns(p), 0.8))
 
 
 @register("a20_distinct_counts", sql_with(["cust"], " UNION ALL ".join(
