@@ -8,8 +8,11 @@ scalars read back from a global aggregate.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -346,36 +349,60 @@ def split_balance(df: DataFrame, split: str = "split", target: str = "Churn") ->
                                  F.avg(F.col(target).cast("double")).alias("positive_rate"))
 
 
+#: Points whose kernels a task evaluates at a time.
+KDE_BLOCK = 128
+
+
 def kde_grid(df: DataFrame, x: str, y: str, by: str, n: int = 80) -> DataFrame:
     """2-D Gaussian KDE (Scott bandwidth, full covariance) per class,
-    evaluated on one n x n grid spanning all rows.  Each point contributes to
-    every cell of the fixed-size grid (linear in the rows) and the sums are
-    combined map-side per (class, cell)."""
+    evaluated on one n x n grid spanning all rows.
+
+    A task adds the kernels of its points into one dense n x n accumulator per
+    class and emits classes x n x n rows at its end, however many points it
+    has; those are added up by cell.  Points without a class or a coordinate
+    do not count.  A class whose covariance is singular (or of one point) has
+    null densities.  No point: no row."""
     spark = df.sparkSession
-    X, Y = F.col(x).cast("double"), F.col(y).cast("double")
-    pts = df.select(F.col(by).cast("long").alias(by), X.alias("px"), Y.alias("py")) \
-        .where(F.col("px").isNotNull() & F.col("py").isNotNull())
-    g = pts.agg(F.min("px"), F.max("px"), F.min("py"), F.max("py")).first()
-    x0, x1, y0, y1 = g[0], g[1], g[2], g[3]
-    st = pts.groupBy(by).agg(
-        F.count(F.lit(1)).alias("n"), F.var_samp("px").alias("vx"),
-        F.var_samp("py").alias("vy"), F.covar_samp("px", "py").alias("cxy")).collect()  # one row per class
-    params = []
+    pts = df.select(F.col(by).cast("long").alias("c"), F.col(x).cast("double").alias("px"), F.col(y).cast("double").alias("py")) \
+        .where(F.col("c").isNotNull() & F.col("px").isNotNull() & F.col("py").isNotNull())
+    st = pts.groupBy("c").agg(
+        F.count(F.lit(1)).alias("n"), F.var_samp("px").alias("vx"), F.var_samp("py").alias("vy"), F.covar_samp("px", "py").alias("cxy"),
+        F.min("px").alias("x0"), F.max("px").alias("x1"), F.min("py").alias("y0"), F.max("py").alias("y1")).collect()  # one row per class
+    if not st:
+        return spark.createDataFrame([], f"{by} long, ix long, iy long, gx double, gy double, density double")
+    (x0, x1), (y0, y1) = [(min(r[f"{v}0"] for r in st), max(r[f"{v}1"] for r in st)) for v in "xy"]
+    params = {}
     for r in st:
         f2 = r["n"] ** (-2.0 / 6.0)
-        a, b, d = r["vx"] * f2, r["cxy"] * f2, r["vy"] * f2
+        a, b, d = ((r[v] or 0.0) * f2 for v in ("vx", "cxy", "vy"))
         det = a * d - b * b
-        params.append((r[by], d / det, -b / det, a / det, 1.0 / (2 * math.pi * math.sqrt(det) * r["n"])))
-    p = spark.createDataFrame(params, f"{by} long, ia double, ib double, id double, norm double")
-    cell = F.explode(F.sequence(F.lit(0), F.lit(n * n - 1))).alias("cell")
-    cells = p.select("*", cell).select(
-        by, "ia", "ib", "id", "norm",
-        (F.col("cell") % n).cast("bigint").alias("ix"), (F.col("cell") / n).cast("bigint").alias("iy"))
-    cells = cells.select("*", (F.lit(x0) + F.lit(x1 - x0) * F.col("ix") / F.lit(n - 1)).alias("gx"),
-                         (F.lit(y0) + F.lit(y1 - y0) * F.col("iy") / F.lit(n - 1)).alias("gy"))
-    j = pts.join(cells, by)   # AQE broadcasts the cells where they are small
-    dx, dy = F.col("gx") - F.col("px"), F.col("gy") - F.col("py")
-    qf = F.col("ia") * dx * dx + 2 * F.col("ib") * dx * dy + F.col("id") * dy * dy
-    return (j.groupBy(by, "ix", "iy", "gx", "gy", "norm")
-             .agg(F.sum(F.exp(-0.5 * qf)).alias("_s"))
-             .select(by, "ix", "iy", "gx", "gy", (F.col("_s") * F.col("norm")).alias("density")))
+        params[r["c"]] = (d / det, -b / det, a / det, 1.0 / (2 * math.pi * math.sqrt(det) * r["n"])) if r["n"] > 1 and det > 0 else None
+    at = np.arange(n)
+    gx, gy = x0 + (x1 - x0) * at / (n - 1), y0 + (y1 - y0) * at / (n - 1)
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            c, px, py = (v.to_numpy() for v in batch.columns)
+            for k in np.unique(c).tolist():
+                if params.get(k) is None:
+                    continue
+                ia, ib, id_, _ = params[k]
+                sums = held.setdefault(k, np.zeros((n, n)))
+                own = np.flatnonzero(c == k)
+                for i in range(0, len(own), KDE_BLOCK):
+                    dx = gx[None, :] - px[own[i:i + KDE_BLOCK], None]
+                    dy = gy[None, :] - py[own[i:i + KDE_BLOCK], None]
+                    q = (ia * dx * dx)[:, None, :] + 2 * ib * dx[:, None, :] * dy[:, :, None] + (id_ * dy * dy)[:, :, None]
+                    sums += np.exp(-0.5 * q).sum(0)
+        iy, ix = np.divmod(np.arange(n * n), n)
+        for k, sums in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n * n, k)), pa.array(ix), pa.array(iy), pa.array(sums.ravel())], names=["c", "ix", "iy", "s"])
+
+    sums = pts.mapInArrow(add_up, "c long, ix long, iy long, s double").groupBy("c", "ix", "iy").agg(F.sum("s").alias("s"))
+    classes = spark.createDataFrame([(k, v[3] if v else None) for k, v in params.items()], "c long, norm double")
+    cells = classes.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("ix")).select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("iy"))
+    cells = cells.select("c", "norm", F.col("ix").cast("long").alias("ix"), F.col("iy").cast("long").alias("iy"))
+    return cells.join(sums, ["c", "ix", "iy"], "left").select(
+        F.col("c").alias(by), "ix", "iy", (F.lit(x0) + F.lit(x1 - x0) * F.col("ix") / F.lit(n - 1)).alias("gx"),
+        (F.lit(y0) + F.lit(y1 - y0) * F.col("iy") / F.lit(n - 1)).alias("gy"), (F.col("s") * F.col("norm")).alias("density"))

@@ -91,3 +91,23 @@ def test_iqr_zero_scale_and_box(spark):
     assert fit.scale["x"] == 1.0 and fit.center["x"] == 1.0
     b = A.box_stats(df, "x").first()
     assert b.n_fliers == 1 and b.whisker_high == 1.0
+
+
+def test_kde_grid_equals_the_sum_of_kernels(spark):
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    rows = [(int(k % 2), *map(float, r.normal(size=2) * [1, 3] + k % 2)) for k in range(301)]
+    rows += [(5, 1.0, 1.0), (5, 2.0, 2.0), (6, 0.0, 0.0), (None, 9.0, 9.0), (1, None, 2.0)]  # a singular class, one point
+    df = spark.createDataFrame(rows, "g long, x double, y double").repartition(6)
+    got = A.kde_grid(df, "x", "y", "g", 12).toPandas()
+    assert len(got) == 4 * 144
+    for g in (0, 1):
+        p = np.array([(x, y) for k, x, y in rows if k == g and x is not None])
+        cov = np.cov(p.T) * len(p) ** (-2 / 6)
+        own = got[got.g == g]
+        d = own[["gx", "gy"]].to_numpy()[:, None, :] - p[None]
+        want = np.exp(-0.5 * np.einsum("ijk,kl,ijl->ij", d, np.linalg.inv(cov), d)).sum(1) / (2 * np.pi * np.sqrt(np.linalg.det(cov)) * len(p))
+        assert np.allclose(own.density, want, rtol=1e-9)
+    assert got[got.g >= 5].density.isna().all()
+    assert A.kde_grid(df.where("false"), "x", "y", "g", 12).collect() == []
