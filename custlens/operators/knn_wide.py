@@ -1,15 +1,19 @@
 """Exact k-nearest candidates by pruned cells, and pairwise distance sums in blocks.
 
-k nearest: donors are laid out in cells.  A cell holds donors of one presence
-pattern that are neighbours on a Z-order curve over the features that part them
-best, at most about ``DONOR_BLOCK_ROWS``; its bounding box is kept.  From the
-boxes alone every receiver has, per cell, a lower and an upper bound of its
-distances to the cell's donors; the k-th smallest upper bound, counted in donors,
-bounds its k-th neighbour, and only cells whose lower bound is not above it are
-visited.  A receiver row is copied once per visited cell, the receivers of a
-crowded cell are split, and receivers and donors are co-grouped by cell: nothing
-passes through the driver but the boxes (one row per cell), no pair rows are
-materialised, and no group grows with the data.  Inside a group the distances are
+k nearest: donors are laid out in cells of at most about ``DONOR_BLOCK_ROWS``, sorted
+by presence pattern and a Z-order curve over the features that part them best, so
+there are donors / 4 096 cells whatever the patterns.  A cell's box has, per feature,
+the bounds of the values that are there and whether some or all donors have it; a
+distance to any of its donors is bounded over every pattern the flags allow.
+``FAN_OUT`` cells in a row are a region with a box of its own.  Regions' boxes (one row
+per 4 million donors) pass through the driver: from them every receiver has a lower
+and an upper bound per region, the k-th smallest upper bound, counted in donors,
+bounds its k-th neighbour, and it visits the regions whose lower bound is not above
+that.  The cells' boxes stay a table: receivers meet those of a region in a co-group,
+are bounded again there, and the smallest of a receiver's bounds decides which cells
+it visits.  A receiver row is copied once per visited cell, the receivers of a
+crowded cell are split, and receivers and donors are co-grouped by cell: no pair rows
+are materialised, and no group grows with the data.  Inside a group the distances are
 computed with numpy, a sub-block of receivers at a time, and only each receiver's
 k best candidates in (distance, donor key) order (per missing feature for
 imputation) leave the task.
@@ -24,10 +28,12 @@ arithmetic as the SQL oracle, so ties and values agree exactly.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from custlens.operators.ranking import bucket_of
@@ -35,6 +41,7 @@ from custlens.session import materialise_table
 
 RECEIVER_BLOCK_ROWS = 4_096    # receivers per co-group (upper bound, hash-balanced)
 DONOR_BLOCK_ROWS = 4_096       # donors per cell; four times as many per block of a block pair
+FAN_OUT = 1_024                # cells per region
 CURVE_FEATURES, CURVE_BITS = 4, 4
 BOUND_CELLS = 2_000_000        # receivers x cells x features whose bounds are computed at a time
 SUB_BLOCK = 256                # receivers per numpy distance block inside a group
@@ -151,7 +158,7 @@ def _features(pdf: pd.DataFrame, fcols: list[str]) -> np.ndarray:
 
 
 def _donor_cells(d: DataFrame, fcols: list[str], rows: int) -> DataFrame:
-    """``d`` with its cell (_spot, _pat), written once so that the cells stay."""
+    """``d`` with its cell (_spot), written once so that the cells stay."""
     probs = [k / (1 << CURVE_BITS) for k in range(1, 1 << CURVE_BITS)]
     st = d.agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(f"n_{c}") for c in fcols],
                *[F.percentile_approx(c, probs, 1000).alias(f"e_{c}") for c in fcols]).first()
@@ -165,78 +172,149 @@ def _donor_cells(d: DataFrame, fcols: list[str], rows: int) -> DataFrame:
     pattern = F.concat(*[F.when(F.col(c).isNull(), "0").otherwise("1") for c in fcols])
     spots = max(1, math.ceil(st["n"] / rows))
     laid = d.withColumns({"_pat": pattern, "_z": code}).repartitionByRange(spots, "_pat", "_z", "_dk")
-    return materialise_table(laid.withColumn("_spot", F.spark_partition_id()).drop("_z"), "donor-cells")
+    return materialise_table(laid.withColumn("_spot", F.spark_partition_id()).drop("_z", "_pat"), "donor-cells")
+
+
+def _cell_boxes(cells: DataFrame, fcols: list[str]) -> DataFrame:
+    """One row per cell: _spot, _region, donors, and per feature the donors that have it
+    and their bounds."""
+    per = [f(c).alias(f"{name}_{c}") for c in fcols for name, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]
+    got = cells.groupBy("_spot").agg(F.count(F.lit(1)).alias("n"), *per)
+    return materialise_table(got.withColumn("_region", (F.col("_spot") / FAN_OUT).cast("int")), "cell-boxes")
+
+
+def _region_boxes(boxes: DataFrame, fcols: list[str]) -> pd.DataFrame:
+    per = [f(f"{name}_{c}").alias(f"{name}_{c}") for c in fcols for name, f in (("n", F.sum), ("lo", F.min), ("hi", F.max))]
+    return boxes.groupBy("_region").agg(F.sum("n").alias("n"), *per).orderBy("_region").toPandas()  # one row per FAN_OUT cells
 
 
 class _Boxes:
-    """Bounding boxes of the cells, and the cells that a receiver has to visit."""
-
-    def __init__(self, cells: DataFrame, fcols: list[str]):
-        got = cells.groupBy("_spot", "_pat").agg(F.count(F.lit(1)).alias("n"), *[F.min(c).alias(f"lo_{c}") for c in fcols],
-                                                 *[F.max(c).alias(f"hi_{c}") for c in fcols]).collect()  # one row per cell
-        self.names = [(r["_spot"], r["_pat"]) for r in got]
-        self.rows = np.array([r["n"] for r in got], np.int64)
-        self.has = np.array([[x == "1" for x in r["_pat"]] for r in got], bool).reshape(len(got), len(fcols))
-        side = lambda k: np.array([[r[f"{k}_{c}"] or 0.0 for c in fcols] for r in got], np.float64).reshape(len(got), len(fcols))
-        self.lo, self.hi = side("lo"), side("hi")
-
-    def _kth(self, upper: np.ndarray, k: int) -> np.ndarray:
+    """Bounding boxes of donors, and which of them a receiver has to visit."""
+
+    def __init__(self, got: pd.DataFrame, fcols: list[str]):
+        side = lambda k: got[[f"{k}_{c}" for c in fcols]].to_numpy(np.float64, na_value=np.nan).reshape(len(got), len(fcols))
+        self.rows, self.have = got["n"].to_numpy(np.int64), side("n")
+        self.some, self.all = self.have > 0, self.have == self.rows[:, None]
+        self.lo, self.hi = np.where(self.some, side("lo"), 0.0), np.where(self.some, side("hi"), 0.0)
+
+    @staticmethod
+    def _kth(upper: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
         """Per receiver the upper bound within which k donors lie; inf if there are fewer."""
         order = np.argsort(upper, axis=1)
-        enough = np.cumsum(np.where(np.isinf(np.take_along_axis(upper, order, 1)), 0, self.rows[order]), axis=1) >= k
+        sorted_ = np.take_along_axis(upper, order, 1)
+        enough = np.cumsum(np.where(np.isinf(sorted_), 0, rows[order]), axis=1) >= k
         at = enough.argmax(axis=1)
-        bound = np.take_along_axis(upper, np.take_along_axis(order, at[:, None], 1), 1)[:, 0]
-        return np.where(enough.any(axis=1), bound, np.inf)
-
-    def visits(self, q: np.ndarray, k: int, per_feature: bool) -> tuple[np.ndarray, np.ndarray]:
-        """(receiver, cell) pairs to visit; ``q`` has NaN for absent features."""
-        n, m = q.shape[1], len(self.names)
+        return np.where(enough.any(axis=1), np.take_along_axis(sorted_, at[:, None], 1)[:, 0], np.inf)
+
+    @staticmethod
+    def _mean_bound(sure: np.ndarray, n_sure: np.ndarray, maybe: np.ndarray, sign: float) -> np.ndarray:
+        """The smallest (sign 1) or largest (-1) mean over the sure squares and any of those
+        that may count (NaN: none): the best choice is a run of the sorted ones."""
+        out = np.where(n_sure > 0, sure / np.maximum(n_sure, 1), np.inf * sign)
+        ranked = np.sort(sign * maybe, axis=2)           # NaN last
+        total, pick = sure, np.minimum if sign > 0 else np.maximum
+        for j in range(ranked.shape[2]):
+            there = ~np.isnan(ranked[:, :, j])
+            if not there.any():
+                break
+            total = total + np.where(there, sign * ranked[:, :, j], 0.0)
+            out = np.where(there, pick(out, total / (n_sure + j + 1)), out)
+        return out
+
+    def bounds(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Lower and upper bounds (receivers x boxes) of the squared distances to a box's
+        donors, and whether every donor of the box has a feature in common."""
+        n, qm = x.shape[1], ~np.isnan(x)
+        x = np.where(qm, x, 0.0)
+        shape = (len(x), len(self.rows))
+        near, far, n_sure = np.zeros(shape), np.zeros(shape), np.zeros(shape)
+        open_ = [f for f in range(n) if (self.some[:, f] & ~self.all[:, f]).any()]
+        near_maybe, far_maybe = np.full((*shape, len(open_)), np.nan), np.full((*shape, len(open_)), np.nan)
+        for f in range(n):
+            a, b = self.lo[None, :, f] - x[:, f, None], x[:, f, None] - self.hi[None, :, f]
+            close, wide = np.maximum(np.maximum(a, b), 0.0) ** 2, np.maximum(np.abs(a), np.abs(b)) ** 2
+            sure = qm[:, f, None] & self.all[None, :, f]
+            near += np.where(sure, close, 0.0)
+            far += np.where(sure, wide, 0.0)
+            n_sure += sure
+            if f in open_:
+                maybe = qm[:, f, None] & (self.some & ~self.all)[None, :, f]
+                near_maybe[:, :, open_.index(f)] = np.where(maybe, close, np.nan)
+                far_maybe[:, :, open_.index(f)] = np.where(maybe, wide, np.nan)
+        low = self._mean_bound(near, n_sure, near_maybe, 1.0) * n * (1 - 1e-9)   # inf: nothing in common
+        up = np.where(n_sure > 0, self._mean_bound(far, n_sure, far_maybe, -1.0) * n * (1 + 1e-9), np.inf)
+        return low, up, n_sure > 0
+
+    def visits(self, q: np.ndarray, k: int, per_feature: bool, known: np.ndarray | None = None) -> Iterator[tuple]:
+        """Blocks of (receivers, boxes to visit, lower bounds, and per wanted feature the
+        bound that let the box in, NaN where that feature did not); ``q`` has NaN for absent
+        features, ``known`` has bounds (receivers x wanted) from elsewhere."""
+        n, m = q.shape[1], len(self.rows)
+        wanted = range(n) if per_feature else [None]
         step = max(1, BOUND_CELLS // max(1, m * n))
-        out = []
         for i in range(0, len(q), step):
             x = q[i:i + step]
-            qm = ~np.isnan(x)
-            x = np.where(qm, x, 0.0)
-            common = qm.astype(np.float64) @ self.has.T.astype(np.float64)
-            low, up = np.zeros(common.shape), np.zeros(common.shape)
-            for f in range(n):
-                both = qm[:, f, None] & self.has[None, :, f]
-                a, b = self.lo[None, :, f] - x[:, f, None], x[:, f, None] - self.hi[None, :, f]
-                low += np.where(both, np.maximum(np.maximum(a, b), 0.0) ** 2, 0.0)
-                up += np.where(both, np.maximum(np.abs(a), np.abs(b)) ** 2, 0.0)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                low, up = low * n / common * (1 - 1e-9), up * n / common * (1 + 1e-9)
-            valid = common > 0
-            up[~valid] = np.inf
-            if not per_feature:
-                go = valid & (low <= self._kth(up, k)[:, None])
-            else:
-                go = np.zeros(valid.shape, bool)
-                for f in range(n):
-                    at = np.flatnonzero(~qm[:, f])
-                    if len(at):
-                        u = np.where(self.has[None, :, f], up[at], np.inf)
-                        go[at] |= valid[at] & self.has[None, :, f] & (low[at] <= self._kth(u, k)[:, None])
-            r, c = np.nonzero(go)
-            out.append((r + i, c))
-        return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
-
-
-def _visits(q: DataFrame, boxes: _Boxes, fcols: list[str], k: int, per_feature: bool) -> DataFrame:
-    schema = "_spot int, _pat string, _qk long, " + ", ".join(f"{c} double" for c in fcols)
-    spot, pat = np.array([s for s, _ in boxes.names], np.int32), np.array([p for _, p in boxes.names], object)
-
-    def run(frames):
+            low, up, _ = self.bounds(x)
+            bound = np.full((len(x), m, len(wanted)), np.nan)
+            for j, f in enumerate(wanted):
+                at = np.arange(len(x)) if f is None else np.flatnonzero(np.isnan(x[:, f]))
+                has = np.ones(m, bool) if f is None else self.some[:, f]
+                if len(at) and m:
+                    kth = self._kth(np.where(has[None, :], up[at], np.inf), (self.rows if f is None else self.have[:, f]).astype(np.int64), k)
+                    if known is not None:
+                        kth = np.fmin(kth, known[i:i + step][at, j])
+                    go = has[None, :] & np.isfinite(low[at]) & (low[at] <= kth[:, None])
+                    bound[at, :, j] = np.where(go, kth[:, None], np.nan)
+            r, c = np.nonzero(~np.isnan(bound).all(2))
+            yield r + i, c, low[r, c], bound[r, c]
+
+
+def _visits(q: DataFrame, boxes: DataFrame, fcols: list[str], k: int, per_feature: bool) -> DataFrame:
+    """_spot, _qk and features: a receiver for each cell it visits."""
+    upper = _region_boxes(boxes, fcols)
+    regions, numbers = _Boxes(upper, fcols), upper["_region"].to_numpy(np.int32)
+    known = [f"b{j}" for j in range(len(fcols) if per_feature else 1)]
+    doubles = lambda names: "".join(f", {c} double" for c in names)
+
+    def copies(pdf: pd.DataFrame, found, place: str, ids: np.ndarray):
+        """Rows of ``pdf`` per visit, with the box's id, the lower bound and the bounds."""
+        for r, c, low, bound in found:
+            for i in range(0, len(r), 50_000):
+                out = pdf[["_qk", *fcols]].iloc[r[i:i + 50_000]].reset_index(drop=True)
+                out.insert(0, place, ids[c[i:i + 50_000]])
+                out["low"] = low[i:i + 50_000]
+                yield pd.concat([out, pd.DataFrame(bound[i:i + 50_000], columns=known)], axis=1)
+
+    def to_regions(frames):
         for pdf in frames:
-            if len(pdf) and len(boxes.names):
-                r, c = boxes.visits(_features(pdf, fcols), k, per_feature)
-                for i in range(0, len(r), 50_000):
-                    out = pdf.iloc[r[i:i + 50_000]].reset_index(drop=True)
-                    out.insert(0, "_spot", spot[c[i:i + 50_000]])
-                    out.insert(1, "_pat", pat[c[i:i + 50_000]])
-                    yield out
+            if len(pdf) and len(numbers):
+                yield from copies(pdf, regions.visits(_features(pdf, fcols), k, per_feature), "_region", numbers)
 
-    return materialise_table(q.select("_qk", *fcols).mapInPandas(run, schema), "visits")
+    schema = "_spot int, _qk long" + doubles([*fcols, "low", *known])
+    empty = _empty(schema)
+
+    def to_cells(qpdf: pd.DataFrame, bpdf: pd.DataFrame) -> pd.DataFrame:
+        if qpdf.empty or bpdf.empty:
+            return empty
+        found = _Boxes(bpdf, fcols).visits(_features(qpdf, fcols), k, per_feature, qpdf[known].to_numpy(np.float64, na_value=np.nan))
+        made = list(copies(qpdf, found, "_spot", bpdf["_spot"].to_numpy(np.int32)))
+        return pd.concat(made, ignore_index=True) if made else empty
+
+    go = materialise_table(q.select("_qk", *fcols).mapInPandas(to_regions, "_region int, _qk long" + doubles([*fcols, "low", *known])), "region-visits")
+    # the receivers of a region are split, its boxes copied to each part
+    parts = [(r["_region"], math.ceil(r["count"] / RECEIVER_BLOCK_ROWS)) for r in go.groupBy("_region").count().collect()]  # one row per region
+    split = q.sparkSession.createDataFrame(parts, "_region int, _m int")
+    left = go.join(split, "_region").withColumn("_sub", F.pmod(F.xxhash64("_qk", *fcols), F.col("_m")).cast("int")).drop("_m")
+    right = boxes.join(split, "_region").withColumn("_sub", F.explode(F.sequence(F.lit(0), F.col("_m") - 1))).drop("_m")
+    groups = max(1, sum(m for _, m in parts))
+    key = ["_region", "_sub"]
+    met = left.repartition(groups, *key).groupBy(*key).cogroup(right.repartition(groups, *key).groupBy(*key)).applyInPandas(to_cells, schema)
+    if len(numbers) > 1:
+        # the smallest bound that a receiver got in any region holds in all
+        w = Window.partitionBy("_qk", *fcols)
+        best = met.withColumns({f"m{c}": F.min(F.nanvl(c, F.lit(None))).over(w) for c in known})
+        met = best.where(reduce(lambda a, b: a | b, [F.nanvl(c, F.lit(None)).isNotNull() & (F.col("low") <= F.col(f"m{c}")) for c in known]))
+    return materialise_table(met.select("_spot", "_qk", *fcols), "visits")
 
 
 def visit_share(queries: DataFrame, donors: DataFrame, qkey: str, dkey: str, cols: list[str], k: int,
@@ -244,10 +322,9 @@ def visit_share(queries: DataFrame, donors: DataFrame, qkey: str, dkey: str, col
     """Share of the (receiver, donor) pairs whose cells are visited."""
     q, d, fcols = _sides(queries, donors, qkey, dkey, cols)
     cells = _donor_cells(d, fcols, DONOR_BLOCK_ROWS)
-    boxes = _Boxes(cells, fcols)
-    rows = dict(zip(boxes.names, boxes.rows.tolist()))
-    seen = _visits(q, boxes, fcols, k, per_feature).groupBy("_spot", "_pat").count().collect()
-    return sum(r["count"] * rows[r["_spot"], r["_pat"]] for r in seen) / max(1, q.count() * sum(rows.values()))
+    boxes = _cell_boxes(cells, fcols)
+    seen = _visits(q, boxes, fcols, k, per_feature).groupBy("_spot").count().join(boxes.select("_spot", "n"), "_spot")
+    return (seen.agg(F.sum(F.col("count") * F.col("n"))).first()[0] or 0) / max(1, q.count() * cells.count())
 
 
 def _sides(queries: DataFrame, donors: DataFrame, qkey: str, dkey: str, cols: list[str]) -> tuple[DataFrame, DataFrame, list[str]]:
@@ -303,17 +380,16 @@ def wide_candidates(queries: DataFrame, donors: DataFrame, qkey: str, dkey: str,
         return pd.concat(rows, ignore_index=True) if rows else empty
 
     cells = _donor_cells(d, fcols, donor_block_rows or DONOR_BLOCK_ROWS)
-    go = _visits(q, _Boxes(cells, fcols), fcols, k + exclude_self, per_feature)
-    load = go.groupBy("_spot", "_pat").count().collect()  # one row per cell
+    go = _visits(q, _cell_boxes(cells, fcols), fcols, k + exclude_self, per_feature)
+    load = go.groupBy("_spot").count()
     # receivers per group: enough groups for every core, but not below a sub-block
-    many = sum(r["count"] for r in load) // (2 * spark.sparkContext.defaultParallelism)
+    many = (load.agg(F.sum("count")).first()[0] or 0) // (2 * spark.sparkContext.defaultParallelism)
     rows = min(receiver_block_rows or RECEIVER_BLOCK_ROWS, max(SUB_BLOCK, many))
-    parts = [(r["_spot"], r["_pat"], math.ceil(r["count"] / rows)) for r in load]
-    split = spark.createDataFrame(parts, "_spot int, _pat string, _m int")
+    split = materialise_table(load.select("_spot", F.ceil(F.col("count") / rows).cast("int").alias("_m")), "visit-parts")
     whole = F.xxhash64("_qk", *fcols)
-    key, groups = ["_spot", "_pat", "_sub"], max(1, sum(p[2] for p in parts))
-    left = go.join(split, ["_spot", "_pat"]).withColumn("_sub", F.pmod(whole, F.col("_m")).cast("int")).drop("_m")
-    right = cells.join(split, ["_spot", "_pat"]).withColumn("_sub", F.explode(F.sequence(F.lit(0), F.col("_m") - 1))).drop("_m")
+    key, groups = ["_spot", "_sub"], max(1, split.agg(F.sum("_m")).first()[0] or 0)
+    left = go.join(split, "_spot").withColumn("_sub", F.pmod(whole, F.col("_m")).cast("int")).drop("_m")
+    right = cells.join(split, "_spot").withColumn("_sub", F.explode(F.sequence(F.lit(0), F.col("_m") - 1))).drop("_m")
     return left.repartition(groups, *key).groupBy(*key).cogroup(right.repartition(groups, *key).groupBy(*key)).applyInPandas(fn, schema)
 
 

@@ -250,3 +250,46 @@ def test_knn_cells_prune(spark, monkeypatch):
         d = np.sqrt(((X - X[i]) ** 2).sum(1))
         d[i] = np.inf
         assert [k for _, k in sorted(got[i])] == np.argsort(d, kind="stable")[:3].tolist()
+
+
+def test_knn_cells_span_presence_patterns(spark, monkeypatch):
+    """Nearly every row has a presence pattern of its own: cells stay as few as rows / cell
+    size, several regions are bounded in two steps, and everything stays exact."""
+    from custlens.operators import knn_wide
+    monkeypatch.setattr(knn_wide, "DONOR_BLOCK_ROWS", 12)
+    monkeypatch.setattr(knn_wide, "FAN_OUT", 3)
+    random.seed(21)
+    n = 9
+    rows = [tuple([key] + [None if random.random() < 0.4 else float(random.randint(0, 9)) for _ in range(n)]) for key in range(180)]
+    rows += [tuple([500] + [None] * n), tuple([501] + [None] * (n - 1) + [3.0])]
+    cols = [f"x{i}" for i in range(n)]
+    df = spark.createDataFrame(rows, "k long, " + ", ".join(f"{c} double" for c in cols)).repartition(4)
+    assert len({tuple(v is None for v in r[1:]) for r in rows}) > 100
+    _, d, fcols = knn_wide._sides(df, df, "k", "k", cols)
+    boxes = knn_wide._cell_boxes(knn_wide._donor_cells(d, fcols, 12), fcols).select("_spot", "_region", "n").collect()
+    assert sum(b["n"] for b in boxes) == len(rows) and len(boxes) <= -(-len(rows) // 12) and len({b["_region"] for b in boxes}) > 3
+    got = {r["k"]: [r[c] for c in cols] for r in M.knn_impute_apply(M.knn_impute_fit(df, cols, "k", k=4), df).collect()}
+    for key, vals in _brute_impute(rows, 4).items():
+        assert np.allclose(got[key], vals, rtol=0, atol=1e-12), key
+    near = {}
+    for r in J.knn_join(df, df, "k", "k", cols, 3, exclude_self=True).collect():
+        near.setdefault(r.k, []).append((r["rank"], r.nn_k))
+    for q in rows:
+        want = []
+        for o in rows:
+            both = [(a - b) ** 2 for a, b in zip(q[1:], o[1:]) if a is not None and b is not None]
+            if both and o[0] != q[0]:
+                want.append(((sum(both) * n / len(both)) ** 0.5, o[0]))
+        assert [k for _, k in sorted(near.get(q[0], []))] == [k for _, k in sorted(want)[:3]], q[0]
+
+
+def test_knn_regions_prune(spark, monkeypatch):
+    """With several regions the clustered rows of ``test_knn_cells_prune`` still visit few cells."""
+    from custlens.operators import knn_wide
+    monkeypatch.setattr(knn_wide, "DONOR_BLOCK_ROWS", 40)
+    monkeypatch.setattr(knn_wide, "FAN_OUT", 4)
+    rnd = np.random.default_rng(8)
+    centres = rnd.normal(0, 50, (12, 3))
+    X = centres[rnd.integers(0, 12, 900)] + rnd.normal(0, 1, (900, 3))
+    df = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(X)], "k long, a double, b double, c double")
+    assert knn_wide.visit_share(df, df, "k", "k", ["a", "b", "c"], 4) < 0.35
