@@ -191,17 +191,21 @@ def kmeans_predict(model, df: DataFrame, cols: list[str], out: str = "cluster")
 
 
 def k_sweep(spark: SparkSession, df: DataFrame, cols: list[str], ks=range(2, 9), seed: int = 42,
-            n_init: int = 10) -> DataFrame:
-    """Inertia and squared-Euclidean silhouette of the best of ``n_init``
-    restarts per k."""
-    vec = VectorAssembler(inputCols=cols, outputCol="_features").transform(df).select("_features").cache()
+            n_init: int = 10, eps: float = 0.05) -> DataFrame:
+    """Per k the inertia of the best of ``n_init`` restarts, its Euclidean silhouette
+    with the bounds it is certain to lie between (``operators/silhouette.py``), and the
+    squared-Euclidean one."""
+    from custlens.operators.silhouette import silhouette_bounds
+    vec = VectorAssembler(inputCols=cols, outputCol="_features").transform(df).select("_features", *cols).cache()
     ev = ClusteringEvaluator(featuresCol="_features", predictionCol="_p")
     rows = []
     for k in ks:
-        m = kmeans_fit(df, cols, k, n_init, seed, parallelism=8).setPredictionCol("_p")
-        rows.append((k, float(m.summary.trainingCost), float(ev.evaluate(m.transform(vec)))))
+        m = kmeans_fit(df, cols, k, n_init, seed, parallelism=8).setPredictionCol("_p").setFeaturesCol("_features")
+        labelled = m.transform(vec)
+        s = silhouette_bounds(labelled, cols, "_p", eps).first()
+        rows.append((k, float(m.summary.trainingCost), s["silhouette"], s["low"], s["high"], float(ev.evaluate(labelled))))
     vec.unpersist()
-    return spark.createDataFrame(rows, "k long, inertia double, silhouette_sq double")
+    return spark.createDataFrame(rows, "k long, inertia double, silhouette double, silhouette_low double, silhouette_high double, silhouette_sq double")
 
 
 # --- C11: segment report (flagship) -------------------------------------------------

@@ -33,7 +33,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from custlens.operators.ranking import bucket_of
@@ -157,8 +157,9 @@ def _features(pdf: pd.DataFrame, fcols: list[str]) -> np.ndarray:
     return pdf[fcols].to_numpy(np.float64, na_value=np.nan)
 
 
-def _donor_cells(d: DataFrame, fcols: list[str], rows: int) -> DataFrame:
-    """``d`` with its cell (_spot), written once so that the cells stay."""
+def curve_place(d: DataFrame, fcols: list[str]) -> tuple[int, Column]:
+    """Rows of ``d``, and each row's place on a Z-order curve over the CURVE_FEATURES that
+    part the rows best."""
     probs = [k / (1 << CURVE_BITS) for k in range(1, 1 << CURVE_BITS)]
     st = d.agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(f"n_{c}") for c in fcols],
                *[F.percentile_approx(c, probs, 1000).alias(f"e_{c}") for c in fcols]).first()
@@ -169,9 +170,14 @@ def _donor_cells(d: DataFrame, fcols: list[str], rows: int) -> DataFrame:
         for c in best:
             own = F.shiftright(F.coalesce(bucket_of(F.col(c), edges[c]), F.lit(0).cast("long")), bit).bitwiseAND(F.lit(1).cast("long"))
             code = code * 2 + own
+    return st["n"], code
+
+
+def _donor_cells(d: DataFrame, fcols: list[str], rows: int) -> DataFrame:
+    """``d`` with its cell (_spot), written once so that the cells stay."""
+    n, code = curve_place(d, fcols)
     pattern = F.concat(*[F.when(F.col(c).isNull(), "0").otherwise("1") for c in fcols])
-    spots = max(1, math.ceil(st["n"] / rows))
-    laid = d.withColumns({"_pat": pattern, "_z": code}).repartitionByRange(spots, "_pat", "_z", "_dk")
+    laid = d.withColumns({"_pat": pattern, "_z": code}).repartitionByRange(max(1, math.ceil(n / rows)), "_pat", "_z", "_dk")
     return materialise_table(laid.withColumn("_spot", F.spark_partition_id()).drop("_z", "_pat"), "donor-cells")
 
 

@@ -472,6 +472,14 @@ def q_c05(spark: SparkSession, sf: str) -> DataFrame:
     return rd(C.silhouette_exact(_assigned_points(spark, sf), _KCOLS, "CustomerID"))
 
 
+@register("c05c_silhouette_bounds")
+def q_c05c(spark: SparkSession, sf: str) -> DataFrame:
+    """The Euclidean silhouette over all clustering features, between certified bounds."""
+    from custlens.operators.silhouette import silhouette_bounds
+    points = C.assign(scaled_cached(spark, sf), C.FIXED_CENTROIDS, C.FIXED_CENTROID_COLS)
+    return silhouette_bounds(points, CF)
+
+
 @register("c05b_silhouette_sq", sql_with(["pts"], f"""SELECT {r6('avg(CASE WHEN nown <= 1 THEN 0 ELSE (b - a) / greatest(a, b) END)')} AS silhouette_sq
 FROM (SELECT k, max(CASE WHEN sc = c THEN d * n / greatest(n - 1, 1) END) AS a, min(CASE WHEN sc <> c THEN d END) AS b,
              max(CASE WHEN sc = c THEN n END) AS nown FROM (
