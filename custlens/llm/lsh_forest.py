@@ -4,20 +4,23 @@
    equal keys) and a MinHash signature of TREES x DEPTH values.  Equal sets are
    one class from here on, named by its smallest doc_id.
 2. Each tree is an order of the classes: sorted by DEPTH values of the
-   signature.  In the sorted order, runs of classes share a prefix of LEAST
-   values.  In a run of SMALL classes or fewer each is paired with each.  In a
-   longer run a class is paired, region by region, with the one before it, with a
-   head of its run (heads form a tree of FAN branches) and with the run's hub, the
-   class nearest to the most frequent values: the original of a star of copies.
+   signature.  In the sorted order, runs of classes share a prefix of LEAST values.
+   A class is paired with the one before it, with which it shares the longest
+   prefix; with a head of its region (heads form a tree of FAN branches), the region
+   being as deep as still holds REGION classes; and in a run of more than CROWD with
+   the run's hub, the class nearest to the most frequent values: the original of a
+   star of copies.  So a class has three pairs a tree, whatever its run's length.
    Pairs whose sketches (one byte of SKETCH values) are far from the threshold go.
 3. The best pair of each class is confirmed on the full shingle sets; connected
    components follow; then every other pair that joins two components is
    confirmed too.  A pair inside one component can change nothing.
-4. The classes of long runs that still hold several components, and of runs that
-   a partition's edge cuts, are joined exactly: two sets of similarity 0.75 share
-   a shingle among the rarest of each (prefix filter).  A shingle of many classes
-   is dealt out in blocks.  What joins two components is confirmed.  So no run is
-   cut and none is gathered in one task.
+4. What the pairs leave open is decided exactly: the classes of runs that still hold
+   several components are joined by rare shingles, as two sets of similarity 0.75
+   share a shingle among the rarest of each (prefix filter).  A shingle of many
+   classes is dealt out in blocks.  What joins two components is confirmed.  In a run
+   of SMALL classes or fewer, which one task compares, a class goes there only if its
+   sketch is near another's; in longer runs, and in those that a partition's edge
+   cuts, every class does.  So no run is cut and none is gathered in one task.
 """
 
 from __future__ import annotations
@@ -34,9 +37,12 @@ from custlens.llm.wordhash import mix, shingle_sets
 from custlens.session import materialise_table
 
 TREES, DEPTH, LEAST, FAN, SKETCH = 16, 6, 2, 64, 64
-#: Classes of a run that are all compared; rows of a block in the exact join; tasks that
-#: a key's rows are dealt to; pairs of a class that go to one task; slots of shingle counts.
-SMALL, BLOCK, SALTS, HUB, SLOTS = 64, 256, 16, 256, 1 << 22
+#: Classes of a region that a head stands for, at least; of a run that has a hub, more than;
+#: of a run whose sketches one task compares each with each.
+REGION, CROWD, SMALL = 8, 16, 64
+#: Rows of a block in the exact join; tasks that a key's rows are dealt to; pairs of a class
+#: that go to one task; slots of shingle counts and shingle sets that one task counts.
+BLOCK, SALTS, HUB, SLOTS, COUNTED = 256, 16, 256, 1 << 22, 50_000
 #: 4.5 standard deviations of a 64-value estimate under 0.75.
 NEAR = 0.5
 _K = TREES * DEPTH
@@ -128,12 +134,12 @@ def run_heads(new: np.ndarray) -> np.ndarray:
 
 
 def hubs(new: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The rows of runs longer than SMALL and, for each, the row of its run whose
+    """The rows of runs longer than CROWD and, for each, the row of its run whose
     sketch is nearest to the run's most frequent values."""
     starts = np.flatnonzero(new)
     ends = np.append(starts[1:], len(new))
     rows, hub = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    long = ends - starts > SMALL
+    long = ends - starts > CROWD
     for i, j in zip(starts[long].tolist(), ends[long].tolist()):
         usual = np.array([np.bincount(c, minlength=256).argmax() for c in sketch[i:j].T])
         rows.append(np.arange(i, j))
@@ -142,8 +148,8 @@ def hubs(new: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pairs(trees: DataFrame) -> DataFrame:
-    """Pairs (edge null), the first and last row (edge 0 and 1), and the members of
-    runs that were not compared whole (edge 2, b the run)."""
+    """Pairs (edge null), the first and last row (edge 0 and 1), and the classes that
+    pairs may leave open (edge 2, b the run)."""
     schema = "a long, b long, est float, edge int, spot int, sketch binary"
     types = arrow_types(schema)
 
@@ -156,40 +162,38 @@ def _pairs(trees: DataFrame) -> DataFrame:
         tree, *v, ids = (t.column(k).to_numpy() for k in range(DEPTH // 2 + 2))
         sketch = np.frombuffer(b"".join(t.column(DEPTH // 2 + 2).to_pylist()), np.uint8).reshape(-1, SKETCH)
         new = _prefix_changes(tree, v)
-        at = np.flatnonzero(~new[LEAST])
-        child, parent = [at], [at - 1]
-        last = np.arange(len(ids))
-        for depth in range(LEAST, DEPTH + 1):
-            head = run_heads(new[depth])
-            at = np.flatnonzero((head != np.arange(len(ids))) & (head != last))
-            child.append(at)
-            parent.append(head[at])
-            last = head
-            at, hub = hubs(new[depth], sketch)
-            child.append(at[at != hub])
-            parent.append(hub[at != hub])
+        here = np.arange(len(ids))
         first = new[LEAST]
         run_of = np.cumsum(first) - 1
         size = np.bincount(run_of)[run_of]
-        place = np.arange(len(ids)) - np.flatnonzero(first)[run_of]
-        short = np.flatnonzero((size <= SMALL) & (place > 1))
-        for step in range(2, SMALL):
-            short = short[place[short] >= step]
-            child.append(short)
-            parent.append(short - step)
-        child, parent = np.concatenate(child), np.concatenate(parent)
+        # the head of the deepest region that is large enough
+        head = run_heads(first)
+        for depth in range(LEAST + 1, DEPTH + 1):
+            region = np.cumsum(new[depth]) - 1
+            head = np.where(np.bincount(region)[region] >= REGION, run_heads(new[depth]), head)
+        at = np.flatnonzero(~first)
+        own, hub = hubs(first, sketch)
+        child, parent = np.concatenate([at, here, own]), np.concatenate([at - 1, head, hub])
         child, parent = np.maximum(child, parent), np.minimum(child, parent)
-        code = np.unique(child * len(ids) + parent)
-        child, parent = code // len(ids), code % len(ids)
-        for i in range(0, len(child), 20_000):
-            c, p = child[i:i + 20_000], parent[i:i + 20_000]
+        code = np.unique((child * len(ids) + parent)[child != parent])
+        for i in range(0, len(code), 20_000):
+            c, p = code[i:i + 20_000] // len(ids), code[i:i + 20_000] % len(ids)
             est = (sketch[c] == sketch[p]).mean(1).astype(np.float32)
             ok = (est >= NEAR) & (ids[c] != ids[p])
             a, b = ids[c[ok]], ids[p[ok]]
             n = len(a)
             yield as_batch([np.minimum(a, b), np.maximum(a, b), est[ok], [None] * n, [None] * n, [None] * n], types)
         # a run at the partition's edge may go on in the next one
-        at = np.flatnonzero((size > SMALL) | (run_of == 0) | (run_of == run_of[-1]))
+        open_ = (size > SMALL) | (run_of == 0) | (run_of == run_of[-1])
+        place = here - np.flatnonzero(first)[run_of]
+        short = np.flatnonzero(~open_ & (place > 0))
+        for step in range(1, SMALL):
+            short = short[place[short] >= step]
+            for i in range(0, len(short), 20_000):
+                c = short[i:i + 20_000]
+                near = c[((sketch[c] == sketch[c - step]).mean(1) >= NEAR) & (ids[c] != ids[c - step])]
+                open_[near] = open_[near - step] = True
+        at = np.flatnonzero(open_)
         for i in range(0, len(at), 20_000):
             m = at[i:i + 20_000]
             none = [None] * len(m)
@@ -205,8 +209,8 @@ def _write(df: DataFrame, name: str) -> DataFrame:
 
 
 def candidate_pairs(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """a, b (a < b) and the estimate; id and run of the members of runs that were
-    not compared whole.  ``classes``: id and signature."""
+    """a, b (a < b) and the estimate; id and run of the classes that pairs may leave
+    open.  ``classes``: id and signature."""
     spark = classes.sparkSession
     n = max(shuffle_partitions(spark), classes.count() * TREES // 1_000_000)
     order = ["tree", *[f"v{k}" for k in range(DEPTH // 2)], "id"]
@@ -259,7 +263,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     for key, name in (("a", "x"), ("b", "y")):
         # the pairs of a class of many are dealt out, with a copy of its set for each part
         many = counted.groupBy(key).count().filter(F.col("count") > HUB)
-        many = F.broadcast(many.select(key, F.ceil(F.col("count") / HUB).cast("int").alias("parts")))
+        many = many.select(key, F.ceil(F.col("count") / HUB).cast("int").alias("parts"))
         parts = F.coalesce("parts", F.lit(1))
         both = both.join(many, key, "left").withColumn("part", F.pmod(F.xxhash64("a", "b"), parts).cast("int")).drop("parts")
         own = sets.select(F.col("id").alias(key), F.col("shingles").alias(name)).join(many, key, "left")
@@ -312,8 +316,10 @@ def _counts(sets: DataFrame) -> np.ndarray:
         for i in range(0, len(at), 100_000):
             yield as_batch([at[i:i + 100_000], counts[at[i:i + 100_000]]], types)
 
-    # at most SLOTS rows of a slot and a byte
-    got = map_arrow(sets.select("shingles"), run, "slot int, n long").groupBy("slot").agg(F.ceil(F.log2(F.sum("n"))).cast("byte").alias("n")).filter("n > 0").toArrow()
+    # few large tasks: each adds up all it reads before it emits a row per slot.  At most
+    # SLOTS rows of a slot and a byte reach the driver
+    tasks = -(-sets.count() // COUNTED) or 1
+    got = map_arrow(sets.select("shingles").coalesce(tasks), run, "slot int, n long").groupBy("slot").agg(F.ceil(F.log2(F.sum("n"))).cast("byte").alias("n")).filter("n > 0").toArrow()
     out = np.zeros(SLOTS, np.uint8)
     out[got.column(0).to_numpy()] = got.column(1).to_numpy()
     return out
