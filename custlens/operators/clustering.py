@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from custlens.functions.scalars import round_even as _re
 
 from custlens.functions import scalars as S
+from custlens.operators.kmeans_batch import KMeansRun, best_run, kmeans_runs
 
 # Segment names given to clusters by descending mean spend.
 BASE_LABELS = ["VIP", "Fidele", "Occasionnel", "A Risque"]
@@ -166,45 +164,29 @@ def churn_by_cluster(df: DataFrame, cluster: str = "cluster", target: str = "Chu
 
 
 def kmeans_fit(df: DataFrame, cols: list[str], k: int = 4, n_init: int = 10, seed: int = 42,
-               max_iter: int = 300, parallelism: int = 4):
-    """Seeded k-means restarts; the lowest training cost wins (ties: the
-    earliest seed).  Restarts are independent Spark jobs submitted from a
-    small thread pool, as CrossValidator does with its ``parallelism``."""
-    from concurrent.futures import ThreadPoolExecutor
-    vec = VectorAssembler(inputCols=cols, outputCol="_features").transform(df).select("_features")
-    vec = vec.cache()
+               max_iter: int = 300) -> KMeansRun:
+    """Seeded k-means restarts, all advanced by one pass over the rows at a time
+    (``operators/kmeans_batch.py``); the lowest cost wins (ties: the earliest seed)."""
+    return best_run(kmeans_runs(df, cols, [(k, seed + i) for i in range(n_init)], max_iter))
 
-    def fit(i: int):
-        return KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="_features",
-                      initMode="k-means||").fit(vec)
 
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        models = list(pool.map(fit, range(n_init)))
-    vec.unpersist()
-    return min(enumerate(models), key=lambda im: (im[1].summary.trainingCost, im[0]))[1]
-
-
-def kmeans_predict(model, df: DataFrame, cols: list[str], out: str = "cluster") -> DataFrame:
-    vec = VectorAssembler(inputCols=cols, outputCol="_features").transform(df)
-    return model.setFeaturesCol("_features").setPredictionCol(out).transform(vec).drop("_features") \
-        .withColumn(out, F.col(out).cast("bigint"))
+def kmeans_predict(model: KMeansRun, df: DataFrame, cols: list[str], out: str = "cluster") -> DataFrame:
+    return assign(df, model.centre_lists(), cols, out).drop("dist2")
 
 
 def k_sweep(spark: SparkSession, df: DataFrame, cols: list[str], ks=range(2, 9), seed: int = 42,
             n_init: int = 10, eps: float = 0.05) -> DataFrame:
-    """Per k the inertia of the best of ``n_init`` restarts, its Euclidean silhouette
-    with the bounds it is certain to lie between (``operators/silhouette.py``), and the
-    squared-Euclidean one."""
+    """Per k the inertia of the best of ``n_init`` restarts (the restarts of every k
+    share their passes over the rows), its Euclidean silhouette with the bounds it is
+    certain to lie between (``operators/silhouette.py``), and the squared-Euclidean one."""
     from custlens.operators.silhouette import silhouette_bounds
-    vec = VectorAssembler(inputCols=cols, outputCol="_features").transform(df).select("_features", *cols).cache()
-    ev = ClusteringEvaluator(featuresCol="_features", predictionCol="_p")
+    every = kmeans_runs(df, cols, [(k, seed + i) for k in ks for i in range(n_init)])
     rows = []
     for k in ks:
-        m = kmeans_fit(df, cols, k, n_init, seed, parallelism=8).setPredictionCol("_p").setFeaturesCol("_features")
-        labelled = m.transform(vec)
-        s = silhouette_bounds(labelled, cols, "_p", eps).first()
-        rows.append((k, float(m.summary.trainingCost), s["silhouette"], s["low"], s["high"], float(ev.evaluate(labelled))))
-    vec.unpersist()
+        m = best_run([r for r in every if r.k == k])
+        labelled = kmeans_predict(m, df.select(*cols), cols)
+        s = silhouette_bounds(labelled, cols, "cluster", eps).first()
+        rows.append((k, m.cost, s["silhouette"], s["low"], s["high"], silhouette_sq(labelled, cols).first()[0]))
     return spark.createDataFrame(rows, "k long, inertia double, silhouette double, silhouette_low double, silhouette_high double, silhouette_sq double")
 
 

@@ -423,7 +423,7 @@ def kmeans_model(spark: SparkSession, sf: str):
 def q_c01(spark: SparkSession, sf: str) -> DataFrame:
     """Best of 20 seeded k-means runs (k = 4) on the nine scaled features."""
     m = kmeans_model(spark, sf)
-    rows = [(i, *[float(v) for v in ctr], float(m.summary.trainingCost)) for i, ctr in enumerate(m.clusterCenters())]
+    rows = [(i, *[float(v) for v in ctr], m.cost) for i, ctr in enumerate(m.centre_lists())]
     return spark.createDataFrame(rows, "cluster long, " + ", ".join(f"{c} double" for c in CF) + ", training_cost double")
 
 
@@ -641,7 +641,7 @@ def artefacts(spark: SparkSession, sf: str, models: tuple[str, ...] = ("churn",
         if "segment" not in models:
             return O.Artefacts(*base, C.FIXED_CENTROIDS, C.FIXED_CENTROID_COLS, segment_labels_cached(spark, sf), churn, spend, types)
         seg = fitted_segments(spark, sf)
-        centres = [[float(v) for v in c] for c in kmeans_model(spark, sf).clusterCenters()]
+        centres = kmeans_model(spark, sf).centre_lists()
         return O.Artefacts(*base, centres, CF, segment_labels(spark, seg), churn, spend, types)
     return cached_object(spark, f"artefacts-{models}", sf, build)
 
