@@ -257,7 +257,7 @@ lim AS (SELECT min(n) AS n_min, max(n) - min(n) AS need, least(5, min(n) - 1) AS
 mino AS (SELECT * FROM tr WHERE Churn = (SELECT Churn FROM cnt ORDER BY n, Churn LIMIT 1)),
 ranked AS (SELECT CustomerID, row_number() OVER (ORDER BY (CustomerID * 7919 + 42) % 10007, CustomerID) - 1 AS pos FROM mino),
 gen AS (SELECT r.CustomerID AS src, (i.range * 31 + 42) % l.kk + 1 AS j, ((i.range * 7919 + 42 * 13 + 7) % 10007) / CAST(10007 AS DOUBLE) AS u
-  FROM range(1000000) i, lim l, ranked r WHERE i.range < l.need AND r.pos = i.range % l.n_min),
+  FROM (SELECT unnest(range(need)) AS range FROM lim) i, lim l, ranked r WHERE r.pos = i.range % l.n_min),
 nn AS (SELECT a.CustomerID AS src, b.CustomerID AS nb, row_number() OVER (PARTITION BY a.CustomerID
     ORDER BY sqrt(({ss}) * CAST({len(CF)} AS DOUBLE) / {len(CF)}), b.CustomerID) AS j
   FROM mino a JOIN mino b ON a.CustomerID <> b.CustomerID)""")

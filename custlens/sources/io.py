@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import time
+import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark.errors import AnalysisException
@@ -101,23 +103,45 @@ def load_or_build_features(spark: SparkSession, path: str,
 # --- S06: fitted-artefact store --------------------------------------------
 
 def save_artefacts(spark: SparkSession, directory: str, params: dict[str, DataFrame],
-                   models: dict | None = None, meta: dict | None = None) -> None:
+                   models: dict | None = None, meta: dict | None = None) -> str:
     """Parameters are small DataFrames written as Parquet; Spark ML models go
-    through their own writers; lists/maps go into a one-row JSON table."""
+    through their own writers; lists/maps go into a one-row JSON table.
+
+    Everything is written to a folder of its own, ``versions/<version>``; one row
+    appended to ``manifest`` at the end makes it the current one.  A save that
+    breaks off leaves the store as it was, and a reader of an older version keeps
+    it: versions are not changed or removed.  Returns the version."""
+    version = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    place = f"{directory}/versions/{version}"
     for name, df in params.items():
-        write_table(df, f"{directory}/params/{name}")
+        write_table(df, f"{place}/params/{name}")
     for name, model in (models or {}).items():
-        model.write().overwrite().save(f"{directory}/models/{name}")
+        model.write().overwrite().save(f"{place}/models/{name}")
     if meta is not None:
         m = spark.createDataFrame([(json.dumps(meta, sort_keys=True),)], "meta string")
-        write_table(m.coalesce(1), f"{directory}/meta", fmt="json")
+        write_table(m.coalesce(1), f"{place}/meta", fmt="json")
+    content = spark.createDataFrame([(version, sorted(params), sorted(models or {}), meta is not None)], "version string, params array<string>, models array<string>, meta boolean")
+    write_table(content.coalesce(1), f"{directory}/manifest", mode="append")
+    return version
+
+
+def current_version(spark: SparkSession, directory: str) -> str:
+    """The last version that was saved whole."""
+    manifest = _try_read(spark, f"{directory}/manifest")
+    version = manifest.agg(F.max("version")).first()[0] if manifest is not None else None
+    if version is None:
+        raise FileNotFoundError(f"{directory} holds no committed artefacts")
+    return version
 
 
 def load_artefacts(spark: SparkSession, directory: str, params: Iterable[str] = (),
-                   models: dict | None = None) -> tuple[dict, dict, dict]:
-    p = {n: read_table(spark, f"{directory}/params/{n}") for n in params}
-    mods = {n: loader.load(f"{directory}/models/{n}") for n, loader in (models or {}).items()}
-    meta_df = _try_read(spark, f"{directory}/meta", fmt="json")
+                   models: dict | None = None, version: str | None = None) -> tuple[dict, dict, dict]:
+    """Parameters, models (name -> loader) and meta of ``version``, the current one by
+    default.  Two loads that belong together name the version of the first."""
+    place = f"{directory}/versions/{version or current_version(spark, directory)}"
+    p = {n: read_table(spark, f"{place}/params/{n}") for n in params}
+    mods = {n: loader.load(f"{place}/models/{n}") for n, loader in (models or {}).items()}
+    meta_df = _try_read(spark, f"{place}/meta", fmt="json")
     meta = json.loads(meta_df.first()["meta"]) if meta_df is not None else {}
     return p, mods, meta
 

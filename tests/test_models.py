@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from custlens.operators import clustering as C
@@ -204,6 +205,31 @@ def test_pca_ratios_and_artefact_roundtrip(spark, tmp_path):
     assert back.center == sc.center and back.scale == sc.scale
 
 
+def test_artefact_store_is_committed(spark, tmp_path):
+    """A save that breaks in the middle leaves the last whole state; a version stays readable."""
+    from custlens.sources import io
+    d = str(tmp_path / "store")
+
+    def state(v):
+        return {"a": spark.createDataFrame([(v,)], "v long"), "b": spark.createDataFrame([(v + 1,)], "v long")}
+
+    def read(version=None):
+        p, _, meta = io.load_artefacts(spark, d, ["a", "b"], version=version)
+        return p["a"].first()[0], p["b"].first()[0], meta["v"]
+
+    with pytest.raises(FileNotFoundError):
+        read()
+    first = io.save_artefacts(spark, d, state(1), meta={"v": 1})
+    assert read() == (1, 2, 1)
+    broken = state(7)
+    broken["b"] = broken["b"].select(F.raise_error(F.lit("disk is gone")).cast("long").alias("v"))
+    with pytest.raises(Exception, match="disk is gone"):
+        io.save_artefacts(spark, d, broken, meta={"v": 7})
+    assert read() == (1, 2, 1)
+    io.save_artefacts(spark, d, state(3), meta={"v": 3})
+    assert read() == (3, 4, 3) and read(first) == (1, 2, 1)
+
+
 def test_block_counts_bounds():
     from custlens.operators.knn_wide import SUB_BLOCK, _block_counts
     for groups in (16, 16_000):                               # local, and a very large cluster
