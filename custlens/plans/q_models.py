@@ -19,7 +19,7 @@ from custlens.operators import scoring as O
 from custlens.operators.schema import numeric_columns
 from custlens.plans.catalog import (cached_object, cluster_fit, customers, preprocessed, processed, rd, register,
                                     scaled_cached, scored, segment_labels, segment_labels_cached, segments_cached, spend_standin)
-from custlens.plans.fixture import register_cte, sql_with
+from custlens.plans.fixture import NUMERIC_COLUMNS, register_cte, sql_with
 from custlens.plans.q_scalar import auc_sql
 from custlens.plans.sqlgen import CF, LOGC, PROC_COLUMNS, knn_impute_ctes, qi, sel_rounded
 from custlens.plans.q_tables import PROC_D
@@ -284,7 +284,7 @@ def q_m01(spark: SparkSession, sf: str) -> DataFrame:
     return rd(M.knn_impute_apply(M.knn_impute_fit(x, _M01, "CustomerID"), x))
 
 
-_M02 = ["Recency", "Frequency", "MonetaryTotal"]
+_M02 = [c for c in NUMERIC_COLUMNS if c != "CustomerID"]
 
 
 @register("m02_robust_scale", sql_with(["cust"], "SELECT CustomerID, " + ", ".join(
@@ -310,13 +310,13 @@ def q_m03(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("m04_scaling_check", sql_with(["cust"], f"""SELECT {r6('avg(v)')} AS global_mean, {r6('stddev_pop(v)')} AS global_std
-  FROM (SELECT unnest([Recency, Frequency, MonetaryTotal]) AS v FROM ({_M03_SQL}))"""))
+  FROM (SELECT unnest([{', '.join(_M02)}]) AS v FROM ({_M03_SQL}))"""))
 def q_m04(spark: SparkSession, sf: str) -> DataFrame:
     c = customers(spark, sf).select("CustomerID", *_M02)
     return rd(M.scaling_check(M.standard_fit(c, _M02).apply(c), _M02))
 
 
-_M05 = ["MonetaryTotal", "TotalQuantity"]
+_M05 = _M02
 
 
 @register("m05_winsorize", sql_with(["cust"], "SELECT CustomerID, " + ", ".join(
@@ -328,17 +328,29 @@ def q_m05(spark: SparkSession, sf: str) -> DataFrame:
     return rd(M.winsorize_fit(c, _M05).apply(c))
 
 
-@register("m06_pca_explained", sql_with(["cust"], f"""SELECT CAST(1 AS BIGINT) AS component, {r6('l1 / (a + d)')} AS explained_variance_ratio FROM e
-  UNION ALL SELECT CAST(2 AS BIGINT), {r6('l2 / (a + d)')} FROM e""", extra="""e0 AS (SELECT var_samp(CAST(Recency AS DOUBLE)) AS a,
+#: Covariance matrix [a b; b d] of two features and its eigenvalues.
+_TWO_EIGENVALUES = """e0 AS (SELECT var_samp(CAST(Recency AS DOUBLE)) AS a,
   covar_samp(CAST(Recency AS DOUBLE), CAST(Frequency AS DOUBLE)) AS b, var_samp(CAST(Frequency AS DOUBLE)) AS d FROM cust),
 e AS (SELECT a, d, (a + d) / 2 + sqrt(((a - d) / 2) * ((a - d) / 2) + b * b) AS l1,
-  (a + d) / 2 - sqrt(((a - d) / 2) * ((a - d) / 2) + b * b) AS l2 FROM e0)"""))
+  (a + d) / 2 - sqrt(((a - d) / 2) * ((a - d) / 2) + b * b) AS l2 FROM e0)"""
+
+
+@register("m06_pca_explained", sql_with(["cust"], f"""SELECT CAST(1 AS BIGINT) AS component, {r6('l1 / (a + d)')} AS explained_variance_ratio FROM e
+  UNION ALL SELECT CAST(2 AS BIGINT), {r6('l2 / (a + d)')} FROM e""", extra=_TWO_EIGENVALUES))
 def q_m06(spark: SparkSession, sf: str) -> DataFrame:
     """PCA of two features: explained-variance ratios (closed form in the oracle)."""
     c = customers(spark, sf).select(F.col("Recency").cast("double"), F.col("Frequency").cast("double"))
     return rd(M.pca_fit(c, ["Recency", "Frequency"]).explained(spark))
 
 
+@register("w02b_components_for_two", sql_with(["cust"], "SELECT " + ", ".join(
+    f"CAST(CASE WHEN l1 / (a + d) >= {t} THEN 1 ELSE 2 END AS BIGINT) AS n_components_{round(100 * t)}" for t in (0.7, 0.8, 0.9, 0.95)) + " FROM e", extra=_TWO_EIGENVALUES))
+def q_w02b(spark: SparkSession, sf: str) -> DataFrame:
+    """W02 on the two features of M06, whose eigenvalues SQL has in closed form."""
+    c = customers(spark, sf).select(F.col("Recency").cast("double"), F.col("Frequency").cast("double"))
+    return M.components_for(M.pca_fit(c, ["Recency", "Frequency"]).explained(spark), [0.7, 0.8, 0.9, 0.95])
+
+
 def _k_for(spark: SparkSession, sf: str, t: float = 0.9) -> int:
     return int(M.components_for(pca_full(spark, sf).explained(spark), [t]).first()[0])
 

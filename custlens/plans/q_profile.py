@@ -69,9 +69,6 @@ def q_a07(spark: SparkSession, sf: str) -> DataFrame:
     return A.crosstab_pct(customers(spark, sf), "Gender", "Churn", [0, 1])
 
 
-_A08 = ["Recency", "Frequency", "MonetaryTotal", "Age", "ReturnRatio"]
-
-
 def _describe_sql(cols: list[str], src: str) -> str:
     parts = [f"""SELECT '{c}' AS feature, CAST(count({qi(c)}) AS BIGINT) AS count, {r6(f'avg({qi(c)})')} AS mean,
   {r6(f'stddev_samp({qi(c)})')} AS std, {r6(f'CAST(min({qi(c)}) AS DOUBLE)')} AS min,
@@ -80,9 +77,10 @@ def _describe_sql(cols: list[str], src: str) -> str:
     return " UNION ALL ".join(parts)
 
 
-@register("a08_describe", sql_with(["cust"], _describe_sql(_A08, "cust")))
+@register("a08_describe", sql_with(["cust"], _describe_sql(NUMERIC_COLUMNS, "cust")))
 def q_a08(spark: SparkSession, sf: str) -> DataFrame:
-    return rd(A.describe_exact(customers(spark, sf), _A08))
+    c = customers(spark, sf)
+    return rd(A.describe_exact(c, numeric_columns(c)))
 
 
 _PS = [0.01, 0.25, 0.5, 0.75, 0.99]
@@ -90,17 +88,15 @@ _PS = [0.01, 0.25, 0.5, 0.75, 0.99]
 
 @register("a09_quantiles", sql_with(["cust"], " UNION ALL ".join(
     f"SELECT '{c}' AS feature, CAST({p} AS DOUBLE) AS p, {r6(f'quantile_cont({c}, {p})')} AS value FROM cust"
-    for c in ["MonetaryTotal", "Age"] for p in _PS)))
+    for c in NUMERIC_COLUMNS for p in _PS)))
 def q_a09(spark: SparkSession, sf: str) -> DataFrame:
-    return rd(A.quantiles(customers(spark, sf), ["MonetaryTotal", "Age"], _PS))
-
-
-_A10 = ["Recency", "Frequency", "MonetaryTotal", "TotalQuantity"]
+    c = customers(spark, sf)
+    return rd(A.quantiles(c, numeric_columns(c), _PS))
 
 
 def _iqr_sql() -> str:
     parts = []
-    for c in _A10:
+    for c in NUMERIC_COLUMNS:
         parts.append(f"""SELECT '{c}' AS feature, q1, q3, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi,
   (SELECT count_if({c} < b.q1 - 1.5 * (b.q3 - b.q1) OR {c} > b.q3 + 1.5 * (b.q3 - b.q1)) FROM cust) AS n,
   (SELECT count(*) FROM cust) AS t
@@ -113,7 +109,8 @@ def _iqr_sql() -> str:
 
 @register("a10_iqr_outliers", _iqr_sql())
 def q_a10(spark: SparkSession, sf: str) -> DataFrame:
-    return A.iqr_outliers(customers(spark, sf), _A10)
+    c = customers(spark, sf)
+    return A.iqr_outliers(c, numeric_columns(c))
 
 
 def _null_union(cols: list[str], src: str) -> str:
