@@ -366,13 +366,32 @@ SEGMENT_DISPLAY = {
     "Occasionnel": "Clients Occasionnels",
     "A Risque": "Clients à Risque",
 }
+DEFAULT_DISPLAY = "Inconnu"
+
+# Churn level shown per segment label.
+SEGMENT_CHURN_LEVEL = {
+    "VIP": "Très faible",
+    "Fidele": "Faible",
+    "Occasionnel": "Modéré",
+    "A Risque": "Élevé",
+}
+DEFAULT_CHURN_LEVEL = "-"
+
+
+def _looked_up(label: Column | str, texts: dict[str, str], default: str) -> Column:
+    label = F.col(label) if isinstance(label, str) else label
+    lut = F.create_map(*[x for k, v in texts.items() for x in (F.lit(k), F.lit(v))])
+    return F.coalesce(F.element_at(lut, label), F.lit(default))
 
 
 def action_for(label: Column | str) -> Column:
     """recommended action per segment label."""
-    label = F.col(label) if isinstance(label, str) else label
-    lut = F.create_map(*[x for k, v in SEGMENT_ACTIONS.items() for x in (F.lit(k), F.lit(v))])
-    return F.coalesce(F.element_at(lut, label), F.lit(DEFAULT_ACTION))
+    return _looked_up(label, SEGMENT_ACTIONS, DEFAULT_ACTION)
+
+
+def churn_level(label: Column | str) -> Column:
+    """C11: churn level shown per segment label."""
+    return _looked_up(label, SEGMENT_CHURN_LEVEL, DEFAULT_CHURN_LEVEL)
 
 
 # Advice per predicted churn label.
@@ -390,9 +409,7 @@ def churn_advice(pred: Column | str) -> Column:
 
 
 def display_name(label: Column | str) -> Column:
-    label = F.col(label) if isinstance(label, str) else label
-    lut = F.create_map(*[x for k, v in SEGMENT_DISPLAY.items() for x in (F.lit(k), F.lit(v))])
-    return F.coalesce(F.element_at(lut, label), F.lit("Inconnu"))
+    return _looked_up(label, SEGMENT_DISPLAY, DEFAULT_DISPLAY)
 
 
 def verdict_r2(r2: Column) -> Column:

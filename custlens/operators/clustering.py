@@ -224,4 +224,9 @@ def segment_report(assigned: DataFrame, labels: DataFrame, cluster: str = "clust
         F.format_string("%d clients (%s%%)", n, S.fmt_fixed(share, 1)).alias("size_text"),
         F.concat(S.fmt_fixed(churn_pct, 1), F.lit("%")).alias("churn_text"),
         F.concat(S.fmt_fixed(z("sat"), 2), F.lit("/5")).alias("satisfaction_text"),
+        F.concat(S.fmt_fixed(z("freq"), 1), F.lit(" achats")).alias("frequency_text"),
+        F.concat(S.fmt_fixed(z("mon"), 0), F.lit(" €")).alias("monetary_text"),
+        F.concat(S.fmt_fixed(z("ten"), 0), F.lit(" jours")).alias("tenure_text"),
+        F.concat(F.lit("Priorité : "), F.col("label")).alias("badge"),
+        S.churn_level("label").alias("churn_level"),
     )

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from custlens.functions import scalars as S
 from custlens.functions.scalars import round_even as _re
 
 from custlens.operators import clustering as C
@@ -144,25 +145,31 @@ def segment_labels(spark: SparkSession, seg: DataFrame, k: int = 4) -> DataFrame
 # C11 flagship: segment report
 # ---------------------------------------------------------------------------
 
-_SEG_REPORT_SQL = sql_with(["clabels"], """
+def _mean(c: str) -> str:
+    return f"coalesce(round_even(g.{c}, 2), 0)"
+
+
+def _printed(e: str, d: int) -> str:
+    return f"printf('%.{d}f', round_even({e}, {d}))"
+
+
+_SHARE = "round_even(coalesce(g.n, 0) * CAST(100 AS DOUBLE) / t.total, 1)"
+_CHURN_PCT = f"round_even({_mean('churn')} * CAST(100 AS DOUBLE), 1)"
+
+_SEG_REPORT_SQL = sql_with(["clabels"], f"""
 SELECT l.cluster AS cluster_id, l.label,
-  CASE l.label WHEN 'VIP' THEN 'Clients VIP / Fidèles' WHEN 'Fidele' THEN 'Clients Fidèles'
-    WHEN 'Occasionnel' THEN 'Clients Occasionnels' WHEN 'A Risque' THEN 'Clients à Risque' ELSE 'Inconnu' END AS segment_name,
-  CAST(coalesce(g.n, 0) AS BIGINT) AS n_clients,
-  round_even(coalesce(g.n, 0) * CAST(100 AS DOUBLE) / t.total, 1)::DOUBLE AS share_pct,
-  round_even(coalesce(round_even(g.churn, 2), 0) * CAST(100 AS DOUBLE), 1)::DOUBLE AS churn_pct,
-  coalesce(round_even(g.freq, 2), 0)::DOUBLE AS frequency,
-  coalesce(round_even(g.mon, 2), 0)::DOUBLE AS monetary,
-  coalesce(round_even(g.ten, 2), 0)::DOUBLE AS tenure_days,
-  coalesce(round_even(g.sat, 2), 0)::DOUBLE AS satisfaction,
-  CASE l.label WHEN 'VIP' THEN 'Fidélisation et programmes de récompenses premium.'
-    WHEN 'Fidele' THEN 'Campagnes de rétention et cross-selling.'
-    WHEN 'Occasionnel' THEN 'Stimuler la fréquence d''achat avec promotions.'
-    WHEN 'A Risque' THEN 'Actions de réactivation et analyse des causes de churn.'
-    ELSE 'Actions marketing spécifiques à définir.' END AS action,
-  printf('%d clients (%s%%)', CAST(coalesce(g.n, 0) AS BIGINT), printf('%.1f', round_even(coalesce(g.n, 0) * CAST(100 AS DOUBLE) / t.total, 1))) AS size_text,
-  printf('%.1f', round_even(coalesce(round_even(g.churn, 2), 0) * CAST(100 AS DOUBLE), 1)) || '%' AS churn_text,
-  printf('%.2f', coalesce(round_even(g.sat, 2), 0)) || '/5' AS satisfaction_text
+  {sqlgen.sql_lookup("l.label", S.SEGMENT_DISPLAY, S.DEFAULT_DISPLAY)} AS segment_name,
+  CAST(coalesce(g.n, 0) AS BIGINT) AS n_clients, {_SHARE}::DOUBLE AS share_pct, {_CHURN_PCT}::DOUBLE AS churn_pct,
+  {_mean("freq")}::DOUBLE AS frequency, {_mean("mon")}::DOUBLE AS monetary, {_mean("ten")}::DOUBLE AS tenure_days, {_mean("sat")}::DOUBLE AS satisfaction,
+  {sqlgen.sql_lookup("l.label", S.SEGMENT_ACTIONS, S.DEFAULT_ACTION)} AS action,
+  printf('%d clients (%s%%)', CAST(coalesce(g.n, 0) AS BIGINT), printf('%.1f', {_SHARE})) AS size_text,
+  printf('%.1f', {_CHURN_PCT}) || '%' AS churn_text,
+  printf('%.2f', {_mean("sat")}) || '/5' AS satisfaction_text,
+  {_printed(_mean("freq"), 1)} || ' achats' AS frequency_text,
+  {_printed(_mean("mon"), 0)} || ' €' AS monetary_text,
+  {_printed(_mean("ten"), 0)} || ' jours' AS tenure_text,
+  'Priorité : ' || l.label AS badge,
+  {sqlgen.sql_lookup("l.label", S.SEGMENT_CHURN_LEVEL, S.DEFAULT_CHURN_LEVEL)} AS churn_level
 FROM clabels l
 LEFT JOIN (SELECT cluster, count(*) AS n, avg(Frequency) AS freq, avg(MonetaryTotal) AS mon,
                   avg(CustomerTenureDays) AS ten, avg(SatisfactionScore) AS sat,

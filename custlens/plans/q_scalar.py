@@ -13,7 +13,7 @@ from custlens.operators import regress as G
 from custlens.plans.catalog import (customers, processed, rd, register, scored, segments_cached,
                                     segment_labels_cached, spend_standin)
 from custlens.plans.fixture import register_cte, sql_with
-from custlens.plans.sqlgen import (ONE_HOT_VOCAB_TESTDATA, lit, qi, sql_first_octet, sql_ip_private,
+from custlens.plans.sqlgen import (ONE_HOT_VOCAB_TESTDATA, lit, qi, sql_first_octet, sql_ip_private, sql_lookup,
                                    sql_ordinal, sql_parse_date)
 from custlens.sources.io import testdata
 
@@ -172,11 +172,7 @@ def q_f17(spark: SparkSession, sf: str) -> DataFrame:
                     S.churn_label("pred", long=True).alias("churn_text"))
 
 
-_ACTION_SQL = ("CASE label WHEN 'VIP' THEN 'Fidélisation et programmes de récompenses premium.' "
-               "WHEN 'Fidele' THEN 'Campagnes de rétention et cross-selling.' "
-               "WHEN 'Occasionnel' THEN 'Stimuler la fréquence d''achat avec promotions.' "
-               "WHEN 'A Risque' THEN 'Actions de réactivation et analyse des causes de churn.' "
-               "ELSE 'Actions marketing spécifiques à définir.' END")
+_ACTION_SQL = sql_lookup("label", S.SEGMENT_ACTIONS, S.DEFAULT_ACTION)
 
 
 @register("f18b_churn_advice", sql_with(["scored"], "SELECT CustomerID, CASE WHEN p >= 0.5 THEN '" + " | ".join(S.CHURN_ADVICE[1]).replace("'", "''")

@@ -46,6 +46,11 @@ def qi(c: str) -> str:
     return '"' + c + '"'
 
 
+def sql_lookup(c: str, texts: dict[str, str], default: str) -> str:
+    """The text of ``texts`` for a label, as the operators look it up."""
+    return f"CASE {c} " + " ".join(f"WHEN {lit(k)} THEN {lit(v)}" for k, v in texts.items()) + f" ELSE {lit(default)} END"
+
+
 _OCT = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IPV4_SQL_RE = rf"^{_OCT}(\.{_OCT}){{3}}$"
 

@@ -188,6 +188,8 @@ def test_segment_report_empty_cluster(spark):
     rep = {r.label: r for r in C.segment_report(seg, labels).collect()}
     assert rep["A Risque"].n_clients == 0 and rep["A Risque"].monetary == 0.0
     assert rep["VIP"].size_text == "1 clients (100.0%)" and rep["VIP"].satisfaction_text == "3.00/5"
+    assert (rep["VIP"].frequency_text, rep["VIP"].monetary_text, rep["VIP"].tenure_text) == ("2.0 achats", "10 €", "5 jours")
+    assert rep["A Risque"].badge == "Priorité : A Risque" and rep["A Risque"].churn_level == "Élevé"
 
 
 def test_pca_ratios_and_artefact_roundtrip(spark, tmp_path):
