@@ -35,3 +35,14 @@ def test_odd_rows(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, slot int")
     check(df.drop("slot"), S.shuffled_shards(df, shards=3).collect(), 3)
     assert S.shuffled_shards(df.limit(0)).collect() == []
+
+
+def test_one_doc_id_on_a_third_of_all_rows(spark):
+    from pyspark.sql import functions as F
+    hot = spark.range(1000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("same " * 40).alias("text"), F.lit(1).alias("bucket"), F.col("id").alias("hash"))
+    null = spark.range(1000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"), F.lit(2).alias("bucket"), F.col("id").alias("hash"))
+    rest = spark.range(1000).select((F.col("id") + 10).alias("doc_id"), F.lit(None).cast("string").alias("text"), F.lit(3).alias("bucket"), F.col("id").alias("hash"))
+    df = hot.unionByName(null).unionByName(rest)
+    buckets = S._scattered(df, "own", 64, 20, 8_000).groupBy("own").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64).alias("n")).collect()
+    assert max(r["n"] for r in buckets) < 24_000
+    check(df, S.shuffled_shards(df, bucket_bytes=8_000).collect())
