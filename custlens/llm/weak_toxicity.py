@@ -1,11 +1,13 @@
 """Toxicity by weak supervision.
 
-Voters are lexicons and patterns: a fixed list of insults per language, lists
-mined from labelled rows (whole words and word heads that toxic texts hold far
-more often), split by hash into several voters, and shouting patterns.  A
-generative label model with two coins per voter gets, by expectation
-maximisation, each voter's rate of votes on toxic and on clean texts; voters
-that still agree beyond that are correlated, and their evidence is shared out.
+Voters are lexicons and patterns: a fixed list of insults per language in slices,
+lists mined from labelled rows (whole words and word heads that toxic texts hold
+far more often), split by hash into many voters, and shouting patterns: 50 in all.
+The given labels are one more voter.  A generative label model with two coins per
+voter, the labels' too, gets by expectation maximisation each voter's rate of votes
+on toxic and on clean texts; voters that still agree beyond that are correlated, and
+their evidence is shared out.  The labels start it and so say which class is toxic;
+nothing about their accuracy is given.
 Its posterior labels train a linear classifier over voters and mined features.
 
 Labels are learned only from rows whose crc32 of doc_id mod 5 is not 0.  A score
@@ -33,8 +35,10 @@ LEXICON = {
     "fr": "idiot imbécile crétin abruti ordure connard débile minable pathétique stupide dégoûtant salaud",
     "es": "idiota imbécil estúpido basura escoria patético inútil asqueroso payaso tonto cretino cabrón",
 }
-#: Labelled rows to learn from, at most; mined features, at most; voters that share them.
-SAMPLE, MINED, SPLIT = 12_000, 4_000, 3
+#: Labelled rows to learn from, at most; mined features, at most; voters that share those of a kind.
+SAMPLE, MINED, SPLIT = 12_000, 4_000, 12
+#: Slices of each language's lexicon, and patterns.
+SLICES, PATTERNS = 3, 2
 #: Bytes of the word heads that are features beside whole words.
 HEADS = (4, 5)
 _WORD_BREAK = np.ones(256, bool)
@@ -57,12 +61,14 @@ def _features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(h), np.concatenate(kind), np.concatenate(doc)
 
 
-def _lexicon_hashes() -> dict[str, np.ndarray]:
-    out = {}
-    for name, words in LEXICON.items():
+def _lexicon_hashes() -> list[np.ndarray]:
+    """Word hashes of each slice of each language's lexicon."""
+    out = []
+    for words in LEXICON.values():
         data, offsets = text_bytes(pa.array([words]))
         starts, ends, _ = find_words(data, offsets)
-        out[name] = np.sort(hash_words(data, starts, ends))
+        h = hash_words(data, starts, ends)
+        out += [np.sort(h[k::SLICES]) for k in range(SLICES)]
     return out
 
 
@@ -95,16 +101,16 @@ class Model:
         h, _, doc = _features(texts)
         n = len(texts)
         lex = _lexicon_hashes()
-        mined = int(self.voter.max()) + 1 if len(self.voter) else 0
-        votes = np.zeros((n, len(lex) + 2 + mined), bool)
-        every = np.concatenate([*lex.values(), self.hashes])
+        mined = SPLIT * (1 + len(HEADS)) if len(self.voter) else 0
+        votes = np.zeros((n, len(lex) + PATTERNS + mined), bool)
+        every = np.concatenate([*lex, self.hashes])
         table = np.zeros(1 << 16, bool)
         table[(every >> np.uint64(48)).astype(np.int64)] = True
         near = np.flatnonzero(table[(h >> np.uint64(48)).astype(np.int64)])
         h, doc = h[near], doc[near]
-        for k, own in enumerate(lex.values()):
+        for k, own in enumerate(lex):
             votes[doc[np.isin(h, own)], k] = True
-        votes[:, len(lex):len(lex) + 2] = _patterns(texts)
+        votes[:, len(lex):len(lex) + PATTERNS] = _patterns(texts)
         at = np.searchsorted(self.hashes, h)
         hit = at < len(self.hashes)
         hit[hit] = self.hashes[at[hit]] == h[hit]
@@ -112,7 +118,7 @@ class Model:
             return votes, np.zeros(0, np.int64), np.zeros(0, np.int64)
         code = np.unique(doc[hit] * len(self.hashes) + at[hit])
         doc, at = code // len(self.hashes), code % len(self.hashes)
-        votes[doc, len(lex) + 2 + self.voter[at]] = True
+        votes[doc, len(lex) + PATTERNS + self.voter[at]] = True
         return votes, doc, at
 
     def scores(self, texts: pa.Array) -> np.ndarray:
@@ -123,10 +129,10 @@ class Model:
 
 def label_model(votes: np.ndarray, known: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior of toxic per row, votes' rates (2 x voters: on clean, on toxic) and
-    the correlations left between voters.  ``known``: labels (0, 1) that start it
-    and go on as one more voter that is right in 19 of 20 rows."""
-    v = votes.astype(float)
-    q = np.where(known == 1, 0.95, 0.05)
+    the correlations left between voters.  ``known``: labels (0, 1); they start it and
+    are a voter whose two rates are estimated like all others'."""
+    v = np.column_stack([votes, known == 1]).astype(float)
+    q = np.where(known == 1, 0.9, 0.1)
     corr = np.eye(v.shape[1])
     for _ in range(rounds):
         prior = np.clip(q.mean(), 1e-4, 1 - 1e-4)
@@ -137,16 +143,18 @@ def label_model(votes: np.ndarray, known: np.ndarray, rounds: int = 30) -> tuple
         sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
         corr = np.clip(cov / sd[:, None] / sd, -1, 1)
         strong = np.where(np.abs(corr) > 0.1, np.abs(corr), 0.0)
+        strong[:, -1] = 0.0
         share = 1 / np.maximum(1.0, strong.sum(1))
+        share[-1] = 1.0  # people's labels do not come from the text's words
         pro = np.log(rate[1] / rate[0]) * share
         con = np.log((1 - rate[1]) / (1 - rate[0])) * share
-        z = np.log(prior / (1 - prior)) + v @ pro + (1 - v) @ con + np.where(known == 1, np.log(19), -np.log(19))
+        z = np.log(prior / (1 - prior)) + v @ pro + (1 - v) @ con
         now = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         if np.abs(now - q).max() < 1e-4:
             q = now
             break
         q = now
-    return q, rate, corr
+    return q, rate[:, :-1], corr[:-1, :-1]
 
 
 def _classifier(votes: np.ndarray, doc: np.ndarray, at: np.ndarray, n: int, target: np.ndarray, l2: float = 1e-3, rounds: int = 400) -> tuple[np.ndarray, np.ndarray, float]:
@@ -171,14 +179,16 @@ def held_out(doc_id: Column | str = "doc_id") -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from labels (doc_id, toxic 0 or 1) outside the held-out fold, of which
-    the ``sample`` rows of lowest hash are taken.  Without rows of both labels the
-    fixed lists alone decide."""
-    n_fixed = len(LEXICON)
-    plain = Model(voter_weights=np.array([4.0] * n_fixed + [0.0, 0.0]), bias=-2.0)
+    the ``sample`` doc_ids of lowest hash are taken.  A doc_id that repeats counts
+    once, with its highest label and its first text in string order.  Without rows of
+    both labels the fixed lists alone decide."""
+    n_fixed = len(LEXICON) * SLICES
+    plain = Model(voter_weights=np.array([4.0] * n_fixed + [0.0] * PATTERNS), bias=-2.0)
     some = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     some = some.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out())
-    some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    some = some.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id")
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     rows = materialise_table(rows.select("doc_id", "toxic", "text"), "toxic-sample")
     total = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(total) < 2:
