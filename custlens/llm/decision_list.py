@@ -198,11 +198,12 @@ def learn_rules(x: dict[str, np.ndarray], bad: np.ndarray, sure: float = 0.9, mo
 
 
 def fit_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule]:
-    """Learn from labels (doc_id, quality 0 or 1), of which the ``sample`` rows of
-    lowest hash are taken.  No rule without rows of both labels."""
+    """Learn from labels (doc_id, quality 0 or 1), of which the ``sample`` doc_ids of
+    lowest hash are taken.  A doc_id that repeats counts once, with its lowest label
+    and its first text in string order.  No rule without rows of both labels."""
     some = labels.select("doc_id", "quality").filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
-    some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    taken = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    some = some.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    taken = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
     rows = quality_statistics(taken, ["doc_id", "quality"]).select("quality", "doc_id", *[ratio(r).alias(r) for r in RATIOS])
     t = rows.orderBy("doc_id").toPandas()
     if not len(t) or t["quality"].nunique() < 2:
