@@ -3,20 +3,24 @@
 A page becomes a list of blocks, each with the root-to-leaf path of its open
 elements (name and class).  Per path the blocks' text length, punctuation and
 link text are added up; text and punctuation per block are the path's two
-ratios.  Both are smoothed over neighbouring blocks, fused by their product and
-held against a threshold.  All paths over the threshold are content, and so is
-the lowest container that they share, with every block in it whose path is not
-boilerplate by name or made of links.  So a short paragraph or heading between
-them stays.  Where they share the page's body only, it is the container of each,
-and the headings of the elements around it.  An ``article`` or ``main`` element,
-where there is one, overrides the ratios: it is the container.
+ratios.  Both are smoothed over neighbouring blocks, fused by their product,
+weighted where the path leads through an ``article`` or ``main`` element, and held
+against a threshold.  All paths over the threshold are content, and so is the
+lowest container that they share, widened to an ``article`` around it, with every
+block in it whose path is not boilerplate by name and which is not one of a list
+of links.  So a short paragraph or heading between them stays.  Where they share
+the page's body only, it is the container of each, and the headings of the
+elements around it.
+
+Paths are nodes of a tree that share their heads, so a page's work is in
+proportion to its length and number of blocks, however deep they are.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Hashable, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -50,19 +54,50 @@ WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "bann
          "promoted", "related", "replies", "respond", "search", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "subscription", "tags", "toolbar",
          "widget", "alert", "alertdialog", "complementary", "contentinfo"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-#: Share of the highest fused ratio that a path needs; share of link text that makes a path a menu.
-OVER, LINKS = 0.1, 0.5
+#: Elements of running text: a class is boilerplate there by its last word only, these left out ("share-price" is not).
+LEAVES, NEUTRAL = {"p", "blockquote", "pre", "li", "td", "dd", "dt", "figure", "figcaption"}, {"text", "box", "link", "links", "message", "line", "label", "note", "info", "item", "list", "block"}
+#: First words of a class that make an ``article`` a reader's comment or an advert.
+REMARKS = {"comment", "comments", "reply", "replies", "sponsored", "advert", "advertisement", "promo", "promoted"}
+#: Foreign or embedded content that an element without an end tag does not open.
+EMBEDDED = {"svg", "math", "object", "canvas", "template"}
+#: Share of the highest fused ratio that a path needs; share of link text that makes a path a menu; weight of article and main.
+OVER, LINKS, NAMED = 0.1, 0.5, 2.0
+
+
+def _said(name: str, words: str) -> bool:
+    """Whether class, id and role call the element boilerplate."""
+    if name in HEADINGS or name == "main":
+        return False
+    for token in words.split():
+        parts = _PARTS.findall(token)
+        if name == "article":
+            if parts and parts[0] in REMARKS:
+                return True
+        elif name in LEAVES:
+            while len(parts) > 1 and parts[-1] in NEUTRAL:
+                parts.pop()
+            if parts and parts[-1] in WORDS:
+                return True
+        elif WORDS.intersection(parts):
+            return True
+    return False
 
 
 class _Page:
-    """Blocks of a page: (path, text, link characters, open boilerplate)."""
+    """Blocks of a page (path node, text, link characters) and the tree of paths:
+    node 0 is the empty path; a node's parent has a smaller number."""
 
     def __init__(self, html: str):
-        self.blocks: list[tuple[tuple[str, ...], str, int]] = []
-        self.stack: list[tuple[str, str]] = []
-        self.path: tuple[str, ...] = ()
+        self.blocks: list[tuple[int, str, int]] = []
+        self.parent, self.name = [-1], [""]
+        #: Boilerplate; boilerplate but for a heading (an article's header); within article or main.
+        self.outside, self.header, self.inside = [False], [False], [False]
+        self.nodes: dict[tuple[int, str], int] = {}
+        self.stack: list[tuple[str, int]] = []
+        self.opened: Counter[str] = Counter()
         self.parts: list[str] = []
         self.links = 0
+        unclosed: set[str] = set()
         at, end = 0, len(html)
         while at < end:
             m = _MARKUP.search(html, at)
@@ -78,56 +113,82 @@ class _Page:
                 name, rest = name.lower(), m["rest"] or m["rest2"] or ""
                 if m["end"] or m["end2"]:
                     self.close(name)
-                elif name in RAW and not rest.endswith("/"):
-                    stop = re.compile(f"</{re.escape(name)}(?=[\\s/>])[^>]*>|\\Z", re.I).search(html, at)
-                    at = stop.end()
-                else:
+                elif name in RAW and not (name in EMBEDDED and (name in unclosed or rest.endswith("/"))):
+                    stop = re.compile(f"</{re.escape(name)}(?=[\\s/>])[^>]*>", re.I).search(html, at)
+                    if stop:
+                        at = stop.end()
+                    elif name in EMBEDDED:
+                        unclosed.add(name)
+                    else:
+                        break
+                elif name not in RAW:
                     self.open(name, rest)
         self.flush()
 
+    @property
+    def node(self) -> int:
+        return self.stack[-1][1] if self.stack else 0
+
     def text(self, raw: str) -> None:
         if raw:
             self.parts.append(unescape(raw) if "&" in raw else raw)
-            if any(n == "a" for n, _ in self.stack):
+            if self.opened["a"]:
                 self.links += len(raw.strip())
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.blocks.append((self.path, text, min(self.links, len(text))))
+            self.blocks.append((self.node, text, min(self.links, len(text))))
         self.parts, self.links = [], 0
 
-    def _renew(self) -> None:
-        self.path = tuple(label for n, label in self.stack if n not in INLINE)
-
     def _pop_to(self, k: int) -> None:
+        for name, _ in self.stack[k:]:
+            self.opened[name] -= 1
         del self.stack[k:]
-        self._renew()
+
+    def _child(self, name: str, words: str) -> int:
+        """The node of an element in the open one."""
+        at = self.node
+        key = (at, f"{name}.{words}")
+        if key not in self.nodes:
+            self.nodes[key] = len(self.parent)
+            self.parent.append(at)
+            self.name.append(name)
+            shell = name in ("html", "body")
+            titled = self.inside[at] and "#hidden" not in words and (name == "header" or name in ("div", "section") and WORDS.intersection(_PARTS.findall(words)) == {"header"})
+            self.header.append(self.header[at] or titled)
+            self.outside.append(self.outside[at] or not shell and not titled and (name in OUTSIDE or "#hidden" in words or bool(words) and _said(name, words)))
+            self.inside.append(self.inside[at] or name in ("article", "main"))
+        return self.nodes[key]
+
+    def boilerplate(self, node: int) -> bool:
+        return self.outside[node] or self.header[node] and self.name[node] not in HEADINGS
 
     def open(self, name: str, rest: str) -> None:
         if name in INLINE:
             if name not in VOID:
-                self.stack.append((name, name))
+                self.stack.append((name, self.node))
+                self.opened[name] += 1
             return
         self.flush()
         if name in VOID:
             return
         ended, within = ENDS.get(name, ({"p"}, {"button", "table", "object"}))
-        for k in range(len(self.stack) - 1, -1, -1):
-            n = self.stack[k][0]
-            if n in within:
-                break
-            if n in ended or n == "p":
-                del self.stack[k:]
-                if name not in ENDS or n != "p":
+        if self.opened["p"] or any(self.opened[n] for n in ended):
+            for k in range(len(self.stack) - 1, -1, -1):
+                n = self.stack[k][0]
+                if n in within:
                     break
+                if n in ended or n == "p":
+                    self._pop_to(k)
+                    if name not in ENDS or n != "p":
+                        break
         words = " ".join(next((g for g in a if g), "") for a in _ATTRIBUTE.findall(rest)) if rest else ""
         if rest and _HIDDEN.search(rest):
             words += " #hidden"
-        label = f"{name}.{' '.join(words.lower().split())}" if words else name
         if not rest.endswith("/"):
-            self.stack.append((name, label))
-        self._renew()
+            self.stack.append((name, self._child(name, " ".join(words.lower().split()))))
+            self.opened[name] += 1
 
     def close(self, name: str) -> None:
         inline = name in INLINE
@@ -135,6 +196,8 @@ class _Page:
             self.flush()
         elif name in VOID:
             return
+        if not self.opened[name]:
+            return
         for k in range(len(self.stack) - 1, -1, -1):
             n = self.stack[k][0]
             if n == name:
@@ -144,28 +207,14 @@ class _Page:
                 return
 
 
-def _boilerplate(path: tuple[str, ...]) -> bool:
-    inside = False
-    for k, label in enumerate(path):
-        name, _, words = label.partition(".")
-        if name in ("html", "body"):
-            continue
-        if name == "header" and inside and path[-1].partition(".")[0] in HEADINGS:
-            continue
-        if name in OUTSIDE or words and ("#hidden" in words or WORDS.intersection(_PARTS.findall(words)) and not (name in ("article", "main") or name in HEADINGS)):
-            return True
-        inside = inside or name in ("article", "main")
-    return False
-
-
 def _smooth(v: list[float]) -> list[float]:
     """Weights 1, 2, 1 over neighbouring blocks."""
     return [(2 * x + (v[i - 1] if i else x) + (v[i + 1] if i + 1 < len(v) else x)) / 4 for i, x in enumerate(v)]
 
 
-def path_scores(blocks: list[tuple[tuple[str, ...], str, int]]) -> dict[tuple[str, ...], float]:
+def path_scores(blocks: list[tuple[Hashable, str, int]]) -> dict[Hashable, float]:
     """Fused, smoothed ratio of each path, 1 at most."""
-    total: dict[tuple[str, ...], list[float]] = defaultdict(lambda: [0, 0, 0, 0])
+    total: dict[Hashable, list[float]] = defaultdict(lambda: [0, 0, 0, 0])
     for path, text, links in blocks:
         t = total[path]
         t[0] += 1
@@ -173,7 +222,7 @@ def path_scores(blocks: list[tuple[tuple[str, ...], str, int]]) -> dict[tuple[st
         t[2] += len(_PUNCTUATION.findall(text)) if links < len(text) else 0
     length = _smooth([total[p][1] / total[p][0] for p, _, _ in blocks])
     marks = _smooth([total[p][2] / total[p][0] for p, _, _ in blocks])
-    fused: dict[tuple[str, ...], list[float]] = defaultdict(list)
+    fused: dict[Hashable, list[float]] = defaultdict(list)
     for (path, _, _), a, b in zip(blocks, length, marks):
         fused[path].append(a * (b + 0.1))
     mean = {p: sum(v) / len(v) for p, v in fused.items()}
@@ -183,41 +232,57 @@ def path_scores(blocks: list[tuple[tuple[str, ...], str, int]]) -> dict[tuple[st
 
 def extract_text(html: str) -> str:
     """Blocks of the main text, one a line; empty if there are none."""
-    blocks = [b for b in _Page(html).blocks if not _boilerplate(b[0])]
+    page = _Page(html)
+    parent, name = page.parent, page.name
+    blocks = [b for b in page.blocks if not page.boilerplate(b[0])]
     if not blocks:
         return ""
-    scores = path_scores(blocks)
-    link_share: dict[tuple[str, ...], list[int]] = defaultdict(lambda: [0, 0])
+    scores = {p: s * (NAMED if page.inside[p] else 1) for p, s in path_scores(blocks).items()}
+    link_share: dict[int, list[int]] = defaultdict(lambda: [0, 0])
+    unlinked = set()
     for path, text, links in blocks:
         link_share[path][0] += links
         link_share[path][1] += len(text)
+        if not links and _PUNCTUATION.search(text):
+            unlinked.add(path)
     menus = {p for p, (a, b) in link_share.items() if a > LINKS * b}
-
-    def holder(path: tuple[str, ...]) -> tuple[str, ...]:
-        for k, label in enumerate(path):
-            if label.partition(".")[0] in ("article", "main"):
-                return path[:k + 1]
-        return path[:-1] if len(path) > 1 and path[-1].partition(".")[0] not in ("div", "section", "td", "body") else path
-
-    def named(path: tuple[str, ...]) -> bool:
-        return bool(path) and path[-1].partition(".")[0] in ("article", "main")
-
-    content = {p for p in scores if scores[p] >= OVER and p not in menus}
-    # an article without a path over the threshold (a heading alone) still is the article
-    best = {h for h in map(holder, content) if named(h)} or {h for h in map(holder, scores) if named(h)}
-    heads: set[tuple[str, ...]] = set()
-    if not best and content:
-        best = set(map(holder, content))
-        shared = next(path[:k] for path in best for k in range(len(path), -1, -1) if all(b[:k] == path[:k] for b in best))
-        if any(label.partition(".")[0] not in ("html", "body") for label in shared):
-            best = {shared}
-        heads = {b[:k] for b in best for k in range(len(b) + 1)}
-        best |= content
-
-    def within(path: tuple[str, ...]) -> bool:
-        return any(path[:k] in best for k in range(len(path) + 1)) or path[-1].partition(".")[0] in HEADINGS and path[:-1] in heads
-
-    keep = [text for path, text, _ in blocks if path not in menus and (path and within(path) or () in best)]
+    least = OVER * max(scores.values())
+    content = {p for p in scores if scores[p] >= least and (p not in menus or p in unlinked)}
+    if not content:
+        return ""
+    # the container of a path is the element around its last, but for elements that hold text and elements alike
+    best = {p if name[p] in ("div", "section", "td", "body", "article", "main") or parent[p] <= 0 else parent[p] for p in content}
+    below = [0] * len(parent)
+    for p in best:
+        below[p] += 1
+    for p in range(len(parent) - 1, 0, -1):
+        below[parent[p]] += below[p]
+    # of the nodes above all of them, which lie on one line, the last is the lowest
+    shared = max(p for p, n in enumerate(below) if n == len(best))
+    around = shared
+    while around > 0 and name[around] != "article":
+        around = parent[around]
+    if around > 0:
+        shared = around
+    if name[shared] not in ("", "html", "body"):
+        best = {shared}
+    heads = set()
+    for p in best:
+        while p >= 0 and p not in heads:
+            heads.add(p)
+            p = parent[p]
+    best |= content
+    within = [p in best for p in range(len(parent))]
+    for p in range(1, len(parent)):
+        within[p] = within[p] or within[parent[p]]
+
+    def headed(path: int) -> bool:
+        up = parent[path]
+        while up > 0 and name[up] in ("header", "hgroup"):
+            up = parent[up]
+        return name[path] in HEADINGS and up in heads
+
+    keep = [text for path, text, links in blocks if not (path in menus and links > LINKS * len(text)) and (within[path] or headed(path))]
     return "\n".join(keep)
 
 

@@ -99,3 +99,33 @@ def test_lists_and_quotes_heavier_than_paragraphs():
         inner = "".join(f"<{item}>{LONG} {k}</{item}>" for k in range(5))
         html = f"<body><div class=text><p>{LONG}</p><{tag}>{inner}</{tag}><p>End, now.</p></div><p><a href=x>Go, on.</a></p></body>"
         assert H.extract_text(html) == "\n".join([LONG, *[f"{LONG} {k}" for k in range(5)], "End, now."]), tag
+
+
+def test_given_pages_without_the_names(spark):
+    import re
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        other = re.sub(r"<(/?)(?:article|main)\b", r"<\1div", r["html"])
+        assert H.extract_text(other) == H.extract_text(r["html"])
+
+
+def test_names_weigh_but_do_not_override():
+    far = f"<div class=story>{''.join(f'<p>{LONG * 4} {k}</p>' for k in range(6))}</div>"
+    assert LONG * 4 + " 5" in H.extract_text(f"<body><main><p>Ok.</p></main>{far}</body>")
+    comment = f"<article class=comment><p>{LONG}</p></article>"
+    assert H.extract_text(f"<body><article class=post><h1>T</h1><p>{LONG}</p></article>{comment * 9}</body>") == f"T\n{LONG}"
+    links = "".join(f"<p><a href=x>{LONG * 3} {k}</a></p>" for k in range(5))
+    assert H.extract_text(f"<main><p>{LONG}</p>{links}<p>{LONG} End.</p></main>") == f"{LONG}\n{LONG} End."
+    assert H.extract_text(f"<article><header><h1>T</h1><p>By me.</p></header><p class=lead>Short.</p><div class=body><p>{LONG}</p><p class=share-price>Ten, or so.</p></div></article>") == f"T\nShort.\n{LONG}\nTen, or so."
+
+
+def test_raw_elements():
+    for html, want in (("<p>a</p><script src=x />code</script><p>b</p>", "a\nb"), (f"<p>a</p><svg><path d=x><p>{LONG}</p>", f"a\n{LONG}"), ("<p>a<svg/>b</p>", "ab"), ("<p>a<svg><text>x</text></svg>b</p>", "ab")):
+        assert H.extract_text(html) == want, html
+
+
+def test_deep_and_unclosed_pages_take_linear_time():
+    import time
+    for html in ("<b>x " * 100_000, "<div>x " * 50_000, "<svg>x " * 50_000, "<p>x<div>" * 30_000, "".join(f"<div class=c{k}>x, y." for k in range(30_000)), "<ul><li>x" * 20_000):
+        began = time.time()
+        assert H.extract_text(html)
+        assert time.time() - began < 5, html[:20]
