@@ -44,6 +44,20 @@ def centroids_of(df: DataFrame, cols: list[str], cluster: str = "cluster") -> Da
     return df.groupBy(cluster).agg(*[F.avg(c).alias(c) for c in cols])
 
 
+def reassign(df: DataFrame, cols: list[str], cluster: str = "cluster") -> DataFrame:
+    """One k-means step over ``cols``: the clusters' means (k rows on the driver),
+    then every row to the nearest of them, with its squared distance.  Clusters
+    keep their ids; one without members gets no mean and so no rows.  Rows
+    without a cluster do not enter a mean; a column without a value in a cluster
+    counts as 0 there."""
+    means = sorted(centroids_of(df.where(F.col(cluster).isNotNull()), cols, cluster).collect(), key=lambda r: r[cluster])
+    if not means:
+        return df.withColumn("dist2", F.lit(None).cast("double"))
+    near = assign(df.drop(cluster, "dist2"), [[float(r[c] or 0.0) for c in cols] for r in means], cols, "_place")
+    ids = F.array(*[F.lit(r[cluster]) for r in means])
+    return near.withColumn(cluster, F.get(ids, F.col("_place").cast("int"))).drop("_place")
+
+
 def silhouette_exact(df: DataFrame, cols: list[str], key: str, cluster: str = "cluster") -> DataFrame:
     """C05, Euclidean: mean of (b - a) / max(a, b); singleton clusters score 0.
 

@@ -527,6 +527,76 @@ def q_c08(spark: SparkSession, sf: str) -> DataFrame:
     return rd(C.centroids_of(_assigned_points(spark, sf), _KCOLS))
 
 
+# --- C03-C08 over all nine clustering features: the fixed clusters' means, one k-means step ---
+
+def _gap(a: str, b: str) -> str:
+    """Squared distance of two rows over the nine features."""
+    return "(" + " + ".join(f"({a}.{qi(c)} - {b}.{qi(c)}) * ({a}.{qi(c)} - {b}.{qi(c)})" for c in CF) + ")"
+
+
+def _means(prefix: str = "") -> str:
+    return ", ".join(f"avg({prefix}{qi(c)}) AS {qi(c)}" for c in CF)
+
+
+register_cte("pts9", f"""cstart AS (SELECT a.cluster, {_means("s.")} FROM cscaled s JOIN cassign a ON a.CustomerID = s.CustomerID GROUP BY a.cluster),
+pts9 AS (SELECT * FROM (SELECT s.*, e.cluster, {_gap("s", "e")} AS dist2,
+  row_number() OVER (PARTITION BY s.CustomerID ORDER BY {_gap("s", "e")}, e.cluster) AS place FROM cscaled s CROSS JOIN cstart e) WHERE place = 1),
+cen9 AS (SELECT cluster, count(*) AS n, {_means()} FROM pts9 GROUP BY cluster)""", ["cscaled", "cassign"])
+
+
+def _nine_points(spark: SparkSession, sf: str) -> DataFrame:
+    def build():
+        start = C.assign(scaled_cached(spark, sf), C.FIXED_CENTROIDS, C.FIXED_CENTROID_COLS)
+        return materialise_table(C.reassign(start, CF).select("CustomerID", *CF, "cluster", "dist2"), "nine_points")
+    return cached_object(spark, "nine_points", sf, build)
+
+
+@register("c03b_assign_nine", sql_with(["pts9"], f"SELECT CustomerID, cluster, {r6('dist2')} AS dist2 FROM pts9"))
+def q_c03b(spark: SparkSession, sf: str) -> DataFrame:
+    return rd(_nine_points(spark, sf).select("CustomerID", "cluster", "dist2"))
+
+
+@register("c04b_inertia_nine", sql_with(["pts9"], f"SELECT {r6('sum(dist2)')} AS inertia FROM pts9"))
+def q_c04b(spark: SparkSession, sf: str) -> DataFrame:
+    return rd(C.inertia(_nine_points(spark, sf)))
+
+
+@register("c05d_silhouette_nine", sql_with(["pts9"], f"""SELECT {r6('avg(coalesce(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END, 0))')} AS silhouette
+FROM pts9 LEFT JOIN (SELECT CustomerID, max(CASE WHEN qc = c THEN s / n END) AS a, min(CASE WHEN qc <> c THEN s / n END) AS b FROM (
+  SELECT p.CustomerID, p.cluster AS c, q.cluster AS qc, sum(sqrt({_gap("p", "q")})) AS s, count(*) AS n
+  FROM pts9 p JOIN pts9 q ON p.CustomerID <> q.CustomerID GROUP BY p.CustomerID, p.cluster, q.cluster) GROUP BY CustomerID) r USING (CustomerID)"""))
+def q_c05d(spark: SparkSession, sf: str) -> DataFrame:
+    return rd(C.silhouette_exact(_nine_points(spark, sf), CF, "CustomerID"))
+
+
+@register("c05e_silhouette_sq_nine", sql_with(["pts9"], f"""SELECT {r6('avg(CASE WHEN nown <= 1 THEN 0 ELSE (b - a) / greatest(a, b) END)')} AS silhouette_sq
+FROM (SELECT CustomerID, max(CASE WHEN sc = c THEN d * n / greatest(n - 1, 1) END) AS a, min(CASE WHEN sc <> c THEN d END) AS b, max(CASE WHEN sc = c THEN n END) AS nown FROM (
+  SELECT p.CustomerID, p.cluster AS c, e.cluster AS sc, e.n, {_gap("p", "e")} + w.v AS d FROM pts9 p CROSS JOIN cen9 e
+  JOIN (SELECT p.cluster, avg({_gap("p", "e")}) AS v FROM pts9 p JOIN cen9 e ON e.cluster = p.cluster GROUP BY p.cluster) w ON w.cluster = e.cluster) GROUP BY CustomerID)"""))
+def q_c05e(spark: SparkSession, sf: str) -> DataFrame:
+    return rd(C.silhouette_sq(_nine_points(spark, sf), CF))
+
+
+@register("c06b_davies_bouldin_nine", sql_with(["pts9"], f"""SELECT {r6('avg(r)')} AS davies_bouldin FROM (
+  SELECT a.cluster, max((sa.s + sb.s) / sqrt({_gap("a", "b")})) AS r FROM cen9 a JOIN cen9 b ON a.cluster <> b.cluster
+  JOIN sc9 sa ON sa.cluster = a.cluster JOIN sc9 sb ON sb.cluster = b.cluster GROUP BY a.cluster)""",
+    extra=f"sc9 AS (SELECT p.cluster, avg(sqrt({_gap('p', 'e')})) AS s FROM pts9 p JOIN cen9 e ON e.cluster = p.cluster GROUP BY p.cluster)"))
+def q_c06b(spark: SparkSession, sf: str) -> DataFrame:
+    return rd(C.davies_bouldin(_nine_points(spark, sf), CF))
+
+
+@register("c07b_calinski_harabasz_nine", sql_with(["pts9"], f"""SELECT {r6('(b.between_ss * (b.n - b.k)) / (w.within_ss * (b.k - 1))')} AS calinski_harabasz
+FROM (SELECT count(*) AS k, sum(e.n) AS n, sum(e.n * {_gap("e", "g")}) AS between_ss FROM cen9 e CROSS JOIN (SELECT {_means()} FROM pts9) g) b
+CROSS JOIN (SELECT sum({_gap("p", "e")}) AS within_ss FROM pts9 p JOIN cen9 e ON e.cluster = p.cluster) w"""))
+def q_c07b(spark: SparkSession, sf: str) -> DataFrame:
+    return rd(C.calinski_harabasz(_nine_points(spark, sf), CF))
+
+
+@register("c08b_centroids_nine", sql_with(["pts9"], "SELECT cluster, " + ", ".join(f"{r6(qi(c))} AS {qi(c)}" for c in CF) + " FROM cen9"))
+def q_c08b(spark: SparkSession, sf: str) -> DataFrame:
+    return rd(C.centroids_of(_nine_points(spark, sf), CF))
+
+
 _PROF = ["MonetaryTotal", "Recency", "Frequency", "Churn", "SatisfactionScore"]
 
 

@@ -110,3 +110,14 @@ def test_crosstab_long_equals_wide(spark):
     wide = {r.r: (r.c_1, r.c_2) for r in A.crosstab(df, "r", "c").collect()}
     long = {(r.r, r.c): r.n_rows for r in A.crosstab_long(df, "r", "c").collect()}
     assert wide == {"a": (2, 1), "b": (1, 0)} and long == {("a", 1): 2, ("a", 2): 1, ("b", 1): 1}
+
+
+def test_reassign_keeps_ids_and_handles_empty_frames(spark):
+    from custlens.operators import clustering as C
+    rows = [(1, 0.0, 0.0, 5), (2, 0.1, 0.0, 5), (3, 4.0, 4.0, 9), (4, 3.9, 4.0, 5), (5, 4.1, 4.2, 9), (6, 4.0, 4.1, None), (7, 0.0, 0.2, 5)]
+    df = spark.createDataFrame(rows, "id int, x double, y double, cluster long")
+    got = {r["id"]: r for r in C.reassign(df, ["x", "y"]).collect()}
+    assert {k: r["cluster"] for k, r in got.items()} == {1: 5, 2: 5, 3: 9, 4: 9, 5: 9, 6: 9, 7: 5}
+    assert abs(got[1]["dist2"] - (1.0**2 + 1.05**2)) < 1e-9 and set(got[1].asDict()) == {"id", "x", "y", "cluster", "dist2"}
+    none = C.reassign(df.limit(0), ["x", "y"])
+    assert none.collect() == [] and none.columns == ["id", "x", "y", "cluster", "dist2"]

@@ -12,7 +12,8 @@ FAST = ["s07_records_to_df", "p02_categorical_profile", "p11_null_sentinels", "p
         "f01_parse_mixed_date", "f05_ip_is_private", "f11_one_hot", "f14_round_even", "j06_knn_join",
         "a08_describe", "a10_iqr_outliers", "a11_missing_report", "a21_near_constant", "a23_histogram",
         "r01_stratified_split", "r03_assign_folds", "w03_roc_curve", "b06_classification_report",
-        "m10_preprocess", "m01_knn_impute", "c11_segment_report", "c05_silhouette", "o03_score_segment"]
+        "m10_preprocess", "m01_knn_impute", "c11_segment_report", "c05_silhouette", "c03b_assign_nine", "c05d_silhouette_nine", "c05e_silhouette_sq_nine", "c06b_davies_bouldin_nine",
+        "c07b_calinski_harabasz_nine", "c08b_centroids_nine", "o03_score_segment"]
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
