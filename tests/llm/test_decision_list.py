@@ -68,3 +68,13 @@ def test_odd_rows(spark):
     got = D.judge(df, []).collect()
     assert sorted((r["doc_id"] or 0, r["n_words"], r["kept"]) for r in got) == [(0, 100_000, True), (1, 0, False), (2, 0, False), (3, 10, True), (3, 10, True)]
     assert D.judge(df.limit(0), []).collect() == []
+
+
+def test_one_doc_id_on_a_third_of_all_rows(spark):
+    rows = [(d, " ".join(f"word{(d * 7 + k) % 97}" for k in range(40)), 1) for d in range(300)]
+    rows += [(d, " ".join(f"a{(d * 5 + k) % 89}# $" for k in range(40)), 0) for d in range(300, 500)]
+    once = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    docs, labels = once.select("doc_id", "text"), once.select("doc_id", "quality")
+    hot = docs.filter("doc_id = 7").selectExpr("doc_id", "text", "explode(sequence(1, 250)) as n").drop("n")
+    rules = D.fit_rules(docs, labels)
+    assert rules and rules == D.fit_rules(docs.unionByName(hot), labels.unionByName(labels.filter("doc_id = 7")))

@@ -54,3 +54,14 @@ def test_odd_rows(spark):
     assert W.score(df.limit(0), W.fit(df.limit(0), none)).collect() == []
     tiny = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (4, None)], "doc_id long, toxic int")
     assert len(W.score(df, W.fit(df, tiny)).collect()) == 6
+
+
+def test_one_doc_id_on_a_third_of_all_rows(spark):
+    rows = [(d, "calm words here " * 3 + f"w{d}", 0) for d in range(1, 400)] + [(d, f"you idiot loser scum w{d}", 1) for d in range(400, 600)]
+    once = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    docs, labels = once.select("doc_id", "text"), once.select("doc_id", "toxic")
+    hot = spark.range(300).selectExpr("cast(401 as long) as doc_id", "concat('you idiot loser scum w401', if(id = 0, '', ' z')) as text")
+    a = W.fit(docs, labels)
+    b = W.fit(docs.filter("doc_id <> 401").unionByName(hot), labels.unionByName(labels.filter("doc_id = 401")))
+    assert (a.hashes == b.hashes).all() and np.allclose(a.weights, b.weights) and a.bias == b.bias
+    assert len(a.voter_weights) >= 40
