@@ -34,12 +34,22 @@ def _back(rows: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weakly supervised classifier calls toxic go."""
+    """Documents that the weakly supervised classifier calls toxic go.
+
+    Whole texts are scored.  A null or empty text has no vote for toxic and stays;
+    copies are scored each and alike; a null doc_id is scored but never learned
+    from.  Columns named like the operator's (score, predicted, held_out) stay as
+    they are; an empty table, or labels of one kind, leave the fixed lists alone."""
     return _back(score(_rest(docs), fit(docs, read_table(spark, sf_dir, "labels"))).filter("predicted = 0"), docs)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or the learned decision list go."""
+    """Documents that fail the base rules or the learned decision list go.
+
+    Whole texts are counted.  A null or empty text has no words, fails the base rules
+    and goes; copies and rows of a null doc_id are judged each; the first rule in
+    order that holds decides.  Columns named like a statistic stay as they are; an
+    empty table, or labels of one kind, give no rules and leave the base."""
     rules = fit_rules(docs, read_table(spark, sf_dir, "labels"))
     return _back(judge(_rest(docs), rules, ["doc_id", "text", "rest"]).filter("kept"), docs)
 
@@ -51,12 +61,21 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in the texts is replaced by its kind."""
+    """Personal data in the texts is replaced by its kind.
+
+    Whole texts are searched; every row stays.  A null text stays null, an empty one
+    empty; copies are redacted each and alike; a run of overlapping spans becomes the
+    kind of its first.  n_chars follows the new text; other columns stay as they are."""
     return redact_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the training sequences, with their ids."""
+    """Pieces of the training sequences, with their ids.
+
+    Whole texts are cut freely, so a long one spans sequences.  A null or empty text
+    is its end id alone; copies are packed each; equal Hilbert keys go by doc_id (null
+    first), rows of one doc_id in the order they were read.  Of the input only doc_id and text are read; an empty table gives no
+    pieces."""
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
