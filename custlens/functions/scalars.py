@@ -315,6 +315,12 @@ def one_hot_vector(df: DataFrame, cols: list[str] | None = None, model=None):
     return model.transform(df).drop(*cols, *[f"{c}_index" for c in cols]), model
 
 
+def hot_place(vector: str) -> Column:
+    """Place of the 1 in a one-hot vector, null where it has none: the sparse
+    vector's own indices, so its width costs nothing."""
+    return F.get_json_object(F.to_json(F.struct(F.col(vector).alias("v"))), "$.v.indices[0]").cast("bigint")
+
+
 def target_encode(df: DataFrame, col: str = "Country", target: str = "Churn",
                   out: str | None = None, fit_df: DataFrame | None = None) -> DataFrame:
     """Mean target per category joined back; the source is dropped.

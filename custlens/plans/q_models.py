@@ -128,6 +128,25 @@ def q_b01(spark: SparkSession, sf: str) -> DataFrame:
     return B.predict_churn(churn_model(spark, sf), test, keep=["Churn"])
 
 
+#: Text columns with about a value per customer, beside some with few.
+_WIDE = ["RegistrationDate", "LastLoginIP", "Country", "Gender"]
+
+
+@register("b01b_train_wide")
+def q_b01b(spark: SparkSession, sf: str) -> DataFrame:
+    """Held-out predictions of a forest over prepared numeric columns and the sparse
+    one-hot vectors of text columns, two of them with a vocabulary that grows with
+    the customers."""
+    prep = churn_prep(spark, sf)
+    numeric = [c for c in prep.features if not any(c.startswith(f"{w}_") for w in _WIDE)]
+    text = customers(spark, sf).select("CustomerID", *[F.col(c).alias(f"{c}_text") for c in _WIDE])
+    wide = [f"{c}_text" for c in _WIDE]
+    test = split_rows(spark, sf).where("split = 'test'").select("CustomerID", "Churn", *[F.col(f"`{c}`").cast("double").alias(c) for c in prep.features])
+    test = prep.scaler.apply(M.knn_impute_apply(prep.imputer, test))
+    model = B.train_wide_forest(prep.rows.join(text, "CustomerID"), numeric, wide)
+    return B.predict_wide_forest(model, test.join(text, "CustomerID"), ["CustomerID", "Churn"])
+
+
 @register("b02_predict_churn")
 def q_b02(spark: SparkSession, sf: str) -> DataFrame:
     return B.predict_churn(churn_model(spark, sf), processed(spark, sf))

@@ -111,6 +111,21 @@ def q_f11(spark: SparkSession, sf: str) -> DataFrame:
     return S.one_hot(c, list(ONE_HOT_VOCAB_TESTDATA))[0]
 
 
+_WIDE = ["RegistrationDate", "LastLoginIP", "Country"]
+
+
+@register("f11b_one_hot_vector", sql_with(["cust"], " UNION ALL ".join(
+    f"""SELECT CustomerID, '{c}' AS column_name, CASE WHEN {qi(c)} IS NOT NULL THEN
+  CAST(dense_rank() OVER (ORDER BY {qi(c)} NULLS LAST) - 1 AS BIGINT) END AS place, (SELECT count(DISTINCT {qi(c)}) FROM cust) AS width FROM cust""" for c in _WIDE)))
+def q_f11b(spark: SparkSession, sf: str) -> DataFrame:
+    """The sparse one-hot vectors of wide columns, as the place of each row's 1
+    (null: no entry) and the vector's width."""
+    coded, model = S.one_hot_vector(customers(spark, sf).select("CustomerID", *_WIDE), _WIDE)
+    widths = dict(zip(_WIDE, map(len, model.stages[0].labelsArray)))
+    entry = F.array(*[F.struct(F.lit(c).alias("column_name"), S.hot_place(f"{c}_onehot").alias("place"), F.lit(widths[c]).cast("bigint").alias("width")) for c in _WIDE])
+    return coded.select("CustomerID", F.explode(entry).alias("e")).select("CustomerID", "e.*")
+
+
 # --- F12-F14 -----------------------------------------------------------------------------
 
 @register("f12_log1p", sql_with(["cust"], """SELECT CustomerID,
