@@ -159,7 +159,9 @@ class PcaFit:
 
 
 def pca_fit(df: DataFrame, cols: list[str], k: int | None = None) -> PcaFit:
-    """PCA on centred input (Spark's PCA does not centre)."""
+    """PCA on centred input (Spark's PCA does not centre), over the rows that have
+    every column."""
+    df = df.dropna(subset=cols)
     centre = standard_fit(df, cols)
     centre = ColumnAffine(centre.center, {c: 1.0 for c in cols})
     vec = VectorAssembler(inputCols=cols, outputCol="_features", handleInvalid="error") \
