@@ -350,15 +350,35 @@ def split_balance(df: DataFrame, split: str = "split", target: str = "Churn") ->
 
 
 #: Points whose kernels a task evaluates at a time.
-KDE_BLOCK = 128
+#: Largest exponent of a factor of a kernel.
+KDE_REACH = 300.0
+
+
+def kernel_sums(px: np.ndarray, py: np.ndarray, gx: np.ndarray, gy: np.ndarray, a: float, b: float, d: float) -> np.ndarray:
+    """Sums over the points of exp(-(a x^2 + 2 b x y + d y^2) / 2), x and y from the point,
+    at every place of the grid (rows: gy).
+
+    About a middle the kernel is a factor of the place, one of the place's x and the point,
+    and one of its y and the point, so the sums are a matrix product.  Points whose factors
+    would grow past e^KDE_REACH are parted (a point alone has none)."""
+    if not len(px):
+        return np.zeros((len(gy), len(gx)))
+    cx, cy = (px.min() + px.max()) / 2, (py.min() + py.max()) / 2
+    u, v, x, y = px - cx, py - cy, gx - cx, gy - cy
+    s, t = a * u + b * v, b * u + d * v
+    if len(px) > 1 and np.abs(x).max() * np.abs(s).max() + np.abs(y).max() * np.abs(t).max() > KDE_REACH:
+        order = np.argsort(px if a * np.ptp(px) ** 2 >= d * np.ptp(py) ** 2 else py, kind="stable")
+        return sum(kernel_sums(px[part], py[part], gx, gy, a, b, d) for part in np.array_split(order, 2))
+    quad = lambda e, f: np.exp(-0.5 * (a * e * e + 2 * b * e * f + d * f * f))
+    return quad(x[None, :], y[:, None]) * ((np.exp(y[:, None] * t) * quad(u, v)) @ np.exp(x[:, None] * s).T)
 
 
 def kde_grid(df: DataFrame, x: str, y: str, by: str, n: int = 80) -> DataFrame:
     """2-D Gaussian KDE (Scott bandwidth, full covariance) per class,
     evaluated on one n x n grid spanning all rows.
 
-    A task adds the kernels of its points into one dense n x n accumulator per
-    class and emits classes x n x n rows at its end, however many points it
+    A task adds the kernels of its points, by matrix products (``kernel_sums``),
+    into one dense n x n accumulator per class and emits classes x n x n rows at its end, however many points it
     has; those are added up by cell.  Points without a class or a coordinate
     do not count.  A class whose covariance is singular (or of one point) has
     null densities.  No point: no row."""
@@ -389,12 +409,8 @@ def kde_grid(df: DataFrame, x: str, y: str, by: str, n: int = 80) -> DataFrame:
                     continue
                 ia, ib, id_, _ = params[k]
                 sums = held.setdefault(k, np.zeros((n, n)))
-                own = np.flatnonzero(c == k)
-                for i in range(0, len(own), KDE_BLOCK):
-                    dx = gx[None, :] - px[own[i:i + KDE_BLOCK], None]
-                    dy = gy[None, :] - py[own[i:i + KDE_BLOCK], None]
-                    q = (ia * dx * dx)[:, None, :] + 2 * ib * dx[:, None, :] * dy[:, :, None] + (id_ * dy * dy)[:, :, None]
-                    sums += np.exp(-0.5 * q).sum(0)
+                own = c == k
+                sums += kernel_sums(px[own], py[own], gx, gy, ia, ib, id_)
         iy, ix = np.divmod(np.arange(n * n), n)
         for k, sums in held.items():
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n * n, k)), pa.array(ix), pa.array(iy), pa.array(sums.ravel())], names=["c", "ix", "iy", "s"])

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from custlens.operators import profile as A
@@ -111,3 +112,18 @@ def test_kde_grid_equals_the_sum_of_kernels(spark):
         assert np.allclose(own.density, want, rtol=1e-9)
     assert got[got.g >= 5].density.isna().all()
     assert A.kde_grid(df.where("false"), "x", "y", "g", 12).collect() == []
+
+
+@pytest.mark.parametrize("far", [1.0, 400.0])
+def test_kernel_sums_are_the_points_kernels(far):
+    r = np.random.default_rng(5)
+    p = r.normal(size=(300, 2)) * [1.0, 3.0]
+    p[0] *= far
+    p[1] = p[2]
+    gx, gy = np.linspace(p[:, 0].min(), p[:, 0].max(), 20), np.linspace(p[:, 1].min(), p[:, 1].max(), 20)
+    a, b, d = 60.0, -12.0, 8.0
+    x, y = gx[None, None, :] - p[:, 0, None, None], gy[None, :, None] - p[:, 1, None, None]
+    want = np.exp(-0.5 * (a * x * x + 2 * b * x * y + d * y * y)).sum(0)
+    got = A.kernel_sums(p[:, 0], p[:, 1], gx, gy, a, b, d)
+    assert np.allclose(got, want, rtol=1e-10, atol=1e-150)
+    assert (A.kernel_sums(p[:0, 0], p[:0, 1], gx, gy, a, b, d) == 0).all()
