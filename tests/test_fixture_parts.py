@@ -20,3 +20,8 @@ def test_join_of_lines_and_orders_follows_their_number(spark, tmp_path, monkeypa
     many = fixture.customer_fixture(spark, str(tmp_path))
     assert "RepartitionByExpression [l_orderkey" in many._jdf.queryExecution().optimizedPlan().toString()
     assert many.orderBy("CustomerID").collect() == want and len(want) == 10
+    # and so are the sums by customer and part, by both, so that no task holds more of them
+    monkeypatch.setattr(fixture, "PAIR_ROWS", 20)
+    many = fixture.customer_fixture(spark, str(tmp_path))
+    assert "RepartitionByExpression [k#" in (plan := many._jdf.queryExecution().optimizedPlan().toString()) and ", 11" in plan
+    assert many.orderBy("CustomerID").collect() == want
