@@ -89,3 +89,8 @@ def test_scoring_and_reload(run, ids):
     both = o1.merge(o4, on="CustomerID")
     assert (both.churn_proba_x == both.churn_proba_y).all() and set(o4.cluster_label) <= {"VIP", "Fidele", "Occasionnel", "A Risque"}
     assert (o4.risk == np.where(o4.churn_proba >= 0.5, "Élevé", "Faible")).all()
+
+
+def test_grid_forests_keep_the_rows_nodes(spark):
+    from custlens.operators import classify as B
+    assert B._forest("Churn", 42, 3, 30, 1).getCacheNodeIds()
