@@ -91,6 +91,26 @@ def test_scoring_and_reload(run, ids):
     assert (o4.risk == np.where(o4.churn_proba >= 0.5, "Élevé", "Faible")).all()
 
 
+def test_balanced_training_rows_are_made_once(spark, tmp_path, monkeypatch):
+    """The synthetic rows feed the class counts, the weights and the forest: they are not
+    found again for each."""
+    from custlens.operators import classify as B
+    rnd = np.random.default_rng(2)
+    df = spark.createDataFrame([(i, int(i % 4 == 0), float(a), float(b)) for i, (a, b) in enumerate(rnd.normal(size=(80, 2)))],
+                               "CustomerID long, Churn long, a double, b double")
+
+    def made(xs, *args, **kw):
+        def mark(batches):
+            (tmp_path / f"{np.random.default_rng().integers(1 << 60)}").touch()
+            yield from batches
+        return xs.coalesce(1).mapInArrow(mark, xs.schema)
+
+    monkeypatch.setattr(B, "smote", made)
+    model = B.train_churn(df, num_trees=3, max_depth=3, min_leaf=2)
+    assert len(list(tmp_path.iterdir())) == 1
+    assert model.forest.getNumTrees == 3 and model.forest.getCacheNodeIds()
+
+
 def test_grid_forests_keep_the_rows_nodes(spark):
     from custlens.operators import classify as B
     assert B._forest("Churn", 42, 3, 30, 1).getCacheNodeIds()
