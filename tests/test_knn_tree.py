@@ -42,3 +42,25 @@ def test_pca_leaves_out_rows_without_a_value(spark):
     got = [r[1] for r in M.pca_fit(df, ["a", "b"]).explained(spark).collect()]
     value = np.sort(np.linalg.eigvalsh(np.cov(x.T)))[::-1]
     assert np.allclose(got, value / value.sum())
+
+
+def test_knn_distance_of_a_pair_is_computed_once_for_all_missing_features(monkeypatch):
+    """Four features missing at once: their donors come from one list of pairs, and are those
+    of plain search, also for a feature that few donors have."""
+    import pandas as pd
+    rnd, met = np.random.default_rng(5), []
+    plain = knn_wide._pairs
+    monkeypatch.setattr(knn_wide, "_pairs", lambda Q, D, r, c: met.append(len(r)) or plain(Q, D, r, c))
+    q, d = rnd.normal(size=(40, 9)), rnd.normal(size=(300, 9))
+    q[:, :4] = np.nan
+    d[rnd.random(300) < 0.98, 3] = np.nan
+    fcols, wanted, k = [f"c{i}" for i in range(9)], [0, 1, 2, 3], 5
+    frame = lambda x, key: pd.DataFrame(x, columns=fcols).assign(**{key: np.arange(len(x))})
+    got = list(knn_wide._best(frame(q, "_qk"), frame(d, "_dk"), fcols, k, wanted, np.full((40, 4), np.inf), False))
+    assert len(met) == 1 and [g[2] for g in got] == wanted
+    dist = np.sqrt(((q[:, None, 4:] - d[None, :, 4:]) ** 2).sum(2))
+    for _, _, f, r, dk, _, v in got:
+        has = np.flatnonzero(~np.isnan(d[:, f]))
+        for i in range(40):
+            want = has[np.argsort(dist[i, has], kind="stable")[:k]]
+            assert dk[r == i].tolist() == want.tolist() and np.array_equal(v[r == i], d[want, f])
