@@ -46,6 +46,7 @@ PAIR_BLOCK_ROWS = 262_144      # rows of a block where all pairs are needed
 FAN_OUT = 64                   # cells per region
 MAX_CELLS = 8_192              # cells at most
 SAMPLE_ROWS = 16               # sampled donors a cell that the tree is fitted on
+OTHER_ROWS = 2_048             # of these, per feature, for receivers whose own leaf lacks it
 CURVE_FEATURES, CURVE_BITS = 4, 4
 SUB_BLOCK = 256                # receivers per numpy distance block inside a group
 DONOR_TILE = 4_096             # donor columns per in-cache distance tile
@@ -313,18 +314,20 @@ def _counts(df: DataFrame, col: str) -> dict[int, int]:
     return {r[col]: r["count"] for r in df.groupBy(col).count().collect()}    # one row per cell
 
 
-def _laid_out(d: DataFrame, fcols: list[str], rows: int, k: int) -> tuple[DataFrame, _Tree, dict[int, int]]:
-    """``d`` with its cell (_spot), written once, the tree, and the leaves' first cells."""
+def _laid_out(d: DataFrame, fcols: list[str], rows: int, k: int) -> tuple[DataFrame, _Tree, dict[int, int], np.ndarray]:
+    """``d`` with its cell (_spot), written once, the tree, the leaves' first cells, and the
+    sample that the tree was fitted on."""
     n = d.count()
     leaves = max(1, min(MAX_CELLS, math.ceil(n / rows)))
     rows, take = max(rows, math.ceil(n / leaves)), max(20_000, SAMPLE_ROWS * leaves)
     part = d if n <= take else d.where(F.pmod(F.xxhash64(*d.columns), F.lit(1 << 30)) < int((1 << 30) * take / n))
-    tree = _Tree(_features(part.select(*fcols).toArrow().to_pandas(), fcols), leaves)
+    sample = _features(part.select(*fcols).toArrow().to_pandas(), fcols)
+    tree = _Tree(sample, leaves)
     laid = materialise_table(_numbered(d, fcols, tree), "donor-leaves")
     over = {p for p, m in _counts(laid, "_leaf").items() if m > 4 * rows}
     start = {p: p for p in range(tree.leaves)}
     if not over:
-        return laid.withColumnRenamed("_leaf", "_spot"), tree, start
+        return laid.withColumnRenamed("_leaf", "_spot"), tree, start, sample
     # equal rows: with k of them, of k + 1 keys, no other is among anyone's k nearest
     full = F.col("_leaf").isin(sorted(over))
     w = Window.partitionBy("_leaf", *fcols)
@@ -338,7 +341,7 @@ def _laid_out(d: DataFrame, fcols: list[str], rows: int, k: int) -> tuple[DataFr
     table = d.sparkSession.createDataFrame([(p, start[p], parts.get(p, 1)) for p in range(tree.leaves)], "_leaf int, _at int, _m int")
     spot = (F.col("_at") + F.pmod(F.xxhash64("_dk", *fcols), F.col("_m"))).cast("int")
     every = laid.where(~full).unionByName(same).join(table, "_leaf").withColumn("_spot", spot).select("_spot", "_dk", *fcols)
-    return materialise_table(every, "donor-cells"), tree, start
+    return materialise_table(every, "donor-cells"), tree, start, sample
 
 
 def _donor_cells(d: DataFrame, fcols: list[str], rows: int) -> DataFrame:
@@ -408,23 +411,37 @@ class _Boxes:
 
 
 def _visits(q: DataFrame, cells: DataFrame, tree: _Tree, start: dict[int, int], boxes: _Boxes, fcols: list[str], k: int, wanted: list,
-            exclude_self: bool, per_group: int) -> DataFrame:
+            exclude_self: bool, per_group: int, sample: np.ndarray) -> DataFrame:
     """Receivers with the bounds that their own leaf's donors give (b0, b1, .. as ``wanted``,
-    squared, NaN: not wanted) and the cells to visit (_spots)."""
+    squared, NaN: not wanted) and the cells to visit (_spots).  Where too few of a leaf's
+    donors have a feature, the sampled donors that have it give the bound."""
     known = [f"b{j}" for j in range(len(wanted))]
     schema = "_qk long, " + "".join(f"{c} double, " for c in [*fcols, *known]) + "_spots array<int>"
 
+    sample = np.random.default_rng(0).permutation(sample)     # rows come in the table's order
+    some = [] if wanted == [None] else [np.flatnonzero(~np.isnan(sample[:, f]))[:OTHER_ROWS] for f in wanted]
+    others = pd.DataFrame(sample[np.unique(np.concatenate(some))], columns=fcols) if some else pd.DataFrame(columns=fcols)
+    others["_dk"] = np.arange(len(others))
+
+    def lower(limit: np.ndarray, qpdf: pd.DataFrame, dpdf: pd.DataFrame) -> None:
+        for r0, j, _, r, _, dist, _ in _best(qpdf, dpdf, fcols, k, wanted, limit.copy(), exclude_self):
+            got = np.bincount(r, minlength=len(limit))
+            last = np.flatnonzero(np.append(r[1:] != r[:-1], True)) if len(r) else np.empty(0, int)
+            last = last[got[r[last]] >= k]
+            limit[r[last], j] = dist[last] ** 2 * (1 + 1e-9)
+
     def bound(qpdf: pd.DataFrame, dpdf: pd.DataFrame) -> pd.DataFrame:
         x = _features(qpdf, fcols)
         limit = np.full((len(x), len(wanted)), np.inf)
         for j, f in enumerate(wanted):
             if f is not None:
                 limit[~np.isnan(x[:, f]), j] = np.nan
-        for r0, j, _, r, _, dist, _ in _best(qpdf, dpdf, fcols, k, wanted, limit, exclude_self):
-            got = np.bincount(r, minlength=len(x))
-            last = np.flatnonzero(np.append(r[1:] != r[:-1], True)) if len(r) else np.empty(0, int)
-            last = last[got[r[last]] >= k]
-            limit[r[last], j] = dist[last] ** 2 * (1 + 1e-9)
+        lower(limit, qpdf, dpdf)
+        far = np.flatnonzero(np.isinf(limit).any(1))
+        if len(far) and len(others):
+            rest = np.where(np.isinf(limit[far]), np.inf, np.nan)
+            lower(rest, qpdf.iloc[far], others)
+            limit[far] = np.fmin(limit[far], rest)
         out = qpdf[["_qk", *fcols]].reset_index(drop=True)
         out = pd.concat([out, pd.DataFrame(limit, columns=known)], axis=1)
         out["_spots"] = boxes.visits(x, limit, wanted)
@@ -497,11 +514,11 @@ def _index(queries: DataFrame, donors: DataFrame, qkey: str, dkey: str, cols: li
     wanted = [f for f, c in enumerate(fcols) if st[c] < st["n"]] if per_feature else [None]
     if not st["n"] or not wanted:
         return None
-    cells, tree, start = _laid_out(d, fcols, donor_rows or max(1, DONOR_BLOCK_ROWS // 4), k)
+    cells, tree, start, sample = _laid_out(d, fcols, donor_rows or max(1, DONOR_BLOCK_ROWS // 4), k)
     boxes = _Boxes(_cell_boxes(cells, fcols), fcols, sorted(tree.used))
     # receivers per group: enough groups for every core, but not below a sub-block
     rows = min(receiver_rows or RECEIVER_BLOCK_ROWS, max(SUB_BLOCK, st["n"] // (2 * q.sparkSession.sparkContext.defaultParallelism)))
-    return cells, _visits(q, cells, tree, start, boxes, fcols, k, wanted, exclude_self, rows), wanted, fcols, rows
+    return cells, _visits(q, cells, tree, start, boxes, fcols, k, wanted, exclude_self, rows, sample), wanted, fcols, rows
 
 
 def visit_share(queries: DataFrame, donors: DataFrame, qkey: str, dkey: str, cols: list[str], k: int,

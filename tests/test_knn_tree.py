@@ -64,3 +64,28 @@ def test_knn_distance_of_a_pair_is_computed_once_for_all_missing_features(monkey
         for i in range(40):
             want = has[np.argsort(dist[i, has], kind="stable")[:k]]
             assert dk[r == i].tolist() == want.tolist() and np.array_equal(v[r == i], d[want, f])
+
+
+def test_leaf_without_the_feature_is_bounded_by_sampled_donors(spark):
+    """Rows whose neighbours all lack a feature too visit few cells, with the same result."""
+    import numpy as np
+    import pandas as pd
+    from custlens.operators import knn_wide as K
+    rng = np.random.default_rng(5)
+    place = np.repeat(np.arange(60), 100)
+    age = np.where(place % 5 == 2, np.nan, rng.integers(18, 80, len(place)).astype(float))
+    pdf = pd.DataFrame({"id": np.arange(len(place)), "x": place * 1000.0 + rng.integers(0, 3, len(place)), "age": age})
+    df = spark.createDataFrame(pdf)
+    df = df.select("id", "x", K.F.nullif("age", K.F.lit(float("nan"))).alias("age"))
+    lost = df.where("age IS NULL")
+    cells, go, *_ = K._index(lost, df, "id", "id", ["x", "age"], 5, True, False, 64, 64)
+    most = go.selectExpr("max(size(_spots))").first()[0]
+    assert most <= cells.select("_spot").distinct().count() // 4
+    w = K.Window.partitionBy("_qk").orderBy("_dist", "_dk")
+    got = K.wide_candidates(lost, df, "id", "id", ["x", "age"], 5, True, receiver_block_rows=64, donor_block_rows=64)
+    got = got.withColumn("n", K.F.row_number().over(w)).where("n <= 5").toPandas()
+    have = pdf[~np.isnan(pdf.age)]
+    for q in pdf.id[np.isnan(pdf.age)][::97]:
+        d = np.sqrt((have.x - pdf.x[q]) ** 2 * 2 / 1)
+        want = have.id.to_numpy()[np.lexsort((have.id, d))[:5]]
+        assert got[got._qk == q].sort_values("n")._dk.tolist() == want.tolist()
