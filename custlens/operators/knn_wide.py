@@ -12,8 +12,9 @@ other can be among the k nearest, and is dealt to several cells.
 A receiver first meets the donors of its own leaf: the k-th real distance there bounds its
 k-th neighbour.  It then visits the cells whose box is not farther than that: chunks of
 receivers are held against regions of ``FAN_OUT`` cells in a row and then against cells.
-Receivers and donors are co-grouped by cell, the receivers of a crowded cell are split: no
-pair rows are materialised, and no group grows with the data.  Inside a group matrix
+Receivers and donors are co-grouped by ``GROUP_CELLS`` cells in a row, the receivers of a
+crowded group are split: a receiver is copied once per group and not per cell, as one value,
+no pair rows are materialised, and no group grows with the data.  Inside a group matrix
 products bound every distance on both sides, the few that can matter are computed exactly,
 and only each receiver's k best candidates in (distance, donor key) order (per missing
 feature for imputation) leave the task.  At most ``MAX_CELLS`` boxes pass through the
@@ -44,6 +45,7 @@ RECEIVER_BLOCK_ROWS = 4_096    # receivers per co-group (upper bound, hash-balan
 DONOR_BLOCK_ROWS = 4_096       # four cells of donors
 PAIR_BLOCK_ROWS = 262_144      # rows of a block where all pairs are needed
 FAN_OUT = 64                   # cells per region
+GROUP_CELLS = 16               # cells whose receivers and donors meet in one group
 MAX_CELLS = 8_192              # cells at most
 SAMPLE_ROWS = 16               # sampled donors a cell that the tree is fitted on
 OTHER_ROWS = 2_048             # of these, per feature, for receivers whose own leaf lacks it
@@ -90,34 +92,48 @@ def _dist_block(Q: np.ndarray, Qm: np.ndarray, D: np.ndarray, Dm: np.ndarray, n:
     return out
 
 
-def _squares(Q: np.ndarray, Qm: np.ndarray, D: np.ndarray, Dm: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Lower and upper bounds of the squared distances by matrix products (inf, inf: nothing
-    in common); the gap covers the products' rounding."""
-    qm, dm = Qm.astype(np.float64), Dm.astype(np.float64)
-    many = qm @ dm.T
-    mid = np.where(Dm, D, 0.0).sum(0) / np.maximum(Dm.sum(0), 1)
-    q, d = np.where(Qm, Q - mid, 0.0), np.where(Dm, D - mid, 0.0)
+def _squares(Q: np.ndarray, Qm: np.ndarray, D: np.ndarray, Dm: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Squared distances by a matrix product, how far off they may be by its rounding (a
+    number per receiver), and which pairs have a coordinate in common (None: all).  Only
+    the coordinates that some row lacks need products of their presence."""
+    full = Qm.all(0) & Dm.all(0)
+    part = np.flatnonzero(~full)
+    many = float(full.sum())
+    if len(part):
+        qm, dm = Qm[:, part].astype(np.float64), Dm[:, part].astype(np.float64)
+        many = many + qm @ dm.T
+    centre = np.where(Dm, D, 0.0).sum(0) / np.maximum(Dm.sum(0), 1)
+    q, d = np.where(Qm, Q - centre, 0.0), np.where(Dm, D - centre, 0.0)
+    free = None if np.min(many) > 0 else many > 0
     if max(np.abs(q).max(initial=0), np.abs(d).max(initial=0)) < 1e100:    # neither infinite nor overflowing
-        ss = np.hstack([q * q, qm, -2 * q]) @ np.hstack([dm, d * d, d]).T
-        off = ((q * q).sum(1)[:, None] + (d * d).sum(1)[None, :]) * (8 * (n + 8) * np.finfo(float).eps)
+        qq, dd = q * q, d * d
+        own, other = qq[:, full].sum(1)[:, None], dd[:, full].sum(1)[:, None]
+        left, right = [-2 * q, own, np.ones((len(q), 1))], [d, np.ones((len(d), 1)), other]
+        if len(part):
+            left, right = [*left, qq[:, part], qm], [*right, dm, dd[:, part]]
+        ss = np.hstack(left) @ np.hstack(right).T
+        off = (qq.sum(1) + dd.sum(1).max(initial=0.0)) * (8 * (n + 8) * np.finfo(float).eps)
     else:
         with np.errstate(invalid="ignore", over="ignore"):
             ss = _dist_block(Q, Qm, D, Dm, n) ** 2 * many / n
-        off = 1e-9 * np.where(np.isfinite(ss), ss, 0.0)
+        off = 1e-9 * np.where(np.isfinite(ss), ss, 0.0).max(1, initial=0.0)
     scale = n / np.maximum(many, 1)
-    return np.where(many > 0, (ss - off) * scale, np.inf), np.where(many > 0, (ss + off) * scale, np.inf)
+    ss *= scale
+    if free is not None:
+        ss[~free] = np.inf
+    return ss, off * np.max(scale, initial=0.0), free
 
 
-def _kth(high: np.ndarray, at: np.ndarray, near: np.ndarray, there: np.ndarray, k: int) -> np.ndarray:
-    """The k-th least of ``high`` among the donors ``there`` in the rows ``at``: read from the
+def _kth(square: np.ndarray, at: np.ndarray, near: np.ndarray, there: np.ndarray, k: int) -> np.ndarray:
+    """The k-th least of ``square`` among the donors ``there`` in the rows ``at``: read from the
     nearest donors ``near`` (ascending) where k of them are there, else from all."""
     count = np.cumsum(there[near[at]], axis=1)
     found = count[:, -1] >= k
     place = np.argmax(count >= k, axis=1)
-    out = high[at, near[at, place]]
+    out = square[at, near[at, place]]
     rest = at[~found]
     if len(rest):
-        own = high[rest][:, there]
+        own = square[rest][:, there]
         out[~found] = np.partition(own, k - 1, axis=1)[:, k - 1]
     return out
 
@@ -412,11 +428,11 @@ class _Boxes:
 
 def _visits(q: DataFrame, cells: DataFrame, tree: _Tree, start: dict[int, int], boxes: _Boxes, fcols: list[str], k: int, wanted: list,
             exclude_self: bool, per_group: int, sample: np.ndarray) -> DataFrame:
-    """Receivers with the bounds that their own leaf's donors give (b0, b1, .. as ``wanted``,
-    squared, NaN: not wanted) and the cells to visit (_spots).  Where too few of a leaf's
-    donors have a feature, the sampled donors that have it give the bound."""
-    known = [f"b{j}" for j in range(len(wanted))]
-    schema = "_qk long, " + "".join(f"{c} double, " for c in [*fcols, *known]) + "_spots array<int>"
+    """Receivers: the doubles of their features and of the bounds that their own leaf's
+    donors give (as ``wanted``, squared, NaN: not wanted) in _x, and the cells to visit
+    (_spots).  Where too few of a leaf's donors have a feature, the sampled donors that
+    have it give the bound."""
+    schema = "_qk long, _x binary, _spots array<int>"
 
     sample = np.random.default_rng(0).permutation(sample)     # rows come in the table's order
     some = [] if wanted == [None] else [np.flatnonzero(~np.isnan(sample[:, f]))[:OTHER_ROWS] for f in wanted]
@@ -442,10 +458,7 @@ def _visits(q: DataFrame, cells: DataFrame, tree: _Tree, start: dict[int, int],
             rest = np.where(np.isinf(limit[far]), np.inf, np.nan)
             lower(rest, qpdf.iloc[far], others)
             limit[far] = np.fmin(limit[far], rest)
-        out = qpdf[["_qk", *fcols]].reset_index(drop=True)
-        out = pd.concat([out, pd.DataFrame(limit, columns=known)], axis=1)
-        out["_spots"] = boxes.visits(x, limit, wanted)
-        return out
+        return pd.DataFrame({"_qk": qpdf["_qk"].to_numpy(), "_x": [row.tobytes() for row in np.hstack([x, limit])], "_spots": boxes.visits(x, limit, wanted)})
 
     parts = _parts(_counts(_numbered(q, fcols, tree).select("_leaf"), "_leaf"), per_group)
     table = q.sparkSession.createDataFrame([(start[p], m) for p, m in parts.items()], "_spot int, _m int")
@@ -456,46 +469,52 @@ def _visits(q: DataFrame, cells: DataFrame, tree: _Tree, start: dict[int, int],
     right = cells.join(table, "_spot").withColumn("_sub", F.explode(F.sequence(F.lit(0), F.col("_m") - 1))).drop("_m", "_leaf")
     groups = max(1, sum(parts.values()))
     met = left.repartition(groups, *key).groupBy(*key).cogroup(right.repartition(groups, *key).groupBy(*key)).applyInPandas(
-        lambda a, b: bound(a, b) if len(a) else _empty(schema), schema)
+        lambda a, b: bound(a, b) if len(a) else pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")}), schema)
     return materialise_table(met, "visits")
 
 
 def _best(qpdf: pd.DataFrame, dpdf: pd.DataFrame, fcols: list[str], k: int, wanted: list, limit: np.ndarray, exclude_self: bool):
+    """``_nearest`` of frames."""
+    return _nearest(qpdf["_qk"].to_numpy(np.int64), _features(qpdf, fcols), dpdf["_dk"].to_numpy(np.int64), _features(dpdf, fcols), k, wanted, limit, exclude_self)
+
+
+def _nearest(qk: np.ndarray, Q: np.ndarray, dk: np.ndarray, D: np.ndarray, k: int, wanted: list, limit: np.ndarray, exclude_self: bool):
     """Per block of receivers and wanted feature: (block, place in ``wanted``, feature,
     receivers, keys, distances, values) of the k best donors within the limits."""
-    if qpdf.empty or dpdf.empty:
+    if not len(qk) or not len(dk):
         return
-    n, qk, Q = len(fcols), qpdf["_qk"].to_numpy(np.int64), _features(qpdf, fcols)
+    n = Q.shape[1]
     # donors in key order: ties at the k-th distance go to the smaller key
-    dk = dpdf["_dk"].to_numpy(np.int64)
     order = np.argsort(dk, kind="stable")
-    dk, D = dk[order], _features(dpdf, fcols)[order]
+    dk, D = dk[order], D[order]
     Dm = ~np.isnan(D)
     for r0 in range(0, len(qk), SUB_BLOCK):
         Qs, qs, own = Q[r0:r0 + SUB_BLOCK], qk[r0:r0 + SUB_BLOCK], limit[r0:r0 + SUB_BLOCK].copy()
-        low, high = _squares(Qs, ~np.isnan(Qs), D, Dm, n)
-        free = (~np.isnan(Qs)).astype(np.float32) @ Dm.T.astype(np.float32) > 0
+        square, off, free = _squares(Qs, ~np.isnan(Qs), D, Dm, n)
         if exclude_self:
+            free = np.ones(square.shape, bool) if free is None else free
             free &= qs[:, None] != dk[None, :]
-            high[~free] = np.inf
+            square[~free] = np.inf
         if wanted != [None]:
             own[~np.isnan(Qs[:, wanted])] = np.nan
         there = [np.ones(len(dk), bool) if f is None else Dm[:, f] for f in wanted]
         if np.isinf(own).any() and len(dk) > k:
             # the k-th of a feature is mostly one of the few donors nearest as a whole
             take = min(len(dk), 8 * k + 24)
-            near = np.argpartition(high, take - 1, axis=1)[:, :take]
-            near = np.take_along_axis(near, np.argsort(np.take_along_axis(high, near, 1), axis=1), 1)
+            near = np.argpartition(square, take - 1, axis=1)[:, :take]
+            near = np.take_along_axis(near, np.argsort(np.take_along_axis(square, near, 1), axis=1), 1)
             for j in range(len(wanted)):
                 at = np.flatnonzero(np.isinf(own[:, j]))
                 if len(at) and there[j].sum() > k:
-                    own[at, j] = _kth(high, at, near, there[j], k)
-        r, c = np.nonzero(free & (low <= np.fmax.reduce(own, axis=1)[:, None]))
-        lo, use = low[r, c], np.zeros(len(r), bool)
+                    own[at, j] = _kth(square, at, near, there[j], k) + off[at]
+        own += off[:, None]                                # below it a distance may be within the limit
+        within = square <= np.fmax.reduce(own, axis=1)[:, None]
+        r, c = np.nonzero(within if free is None else within & free)
+        lo, use = square[r, c], np.zeros(len(r), bool)
         for j in range(len(wanted)):
             use |= there[j][c] & (lo <= own[r, j])
         r, c, dist = _pairs(Qs, D, r[use], c[use])
-        lo = low[r, c]
+        lo = square[r, c]
         for j, f in enumerate(wanted):
             ok = there[j][c] & (lo <= own[r, j])
             if ok.any():
@@ -549,23 +568,36 @@ def wide_candidates(queries: DataFrame, donors: DataFrame, qkey: str, dkey: str,
     found = _index(queries, donors, qkey, dkey, cols, k, per_feature, exclude_self, receiver_block_rows, donor_block_rows)
     if found is None:
         return queries.sparkSession.createDataFrame([], schema)
-    cells, go, wanted, fcols, rows = found
-    known, empty = [f"b{j}" for j in range(len(wanted))], _empty(schema)
+    cells, go, wanted, fcols, _ = found
+    empty, n = _empty(schema), len(fcols)
 
     def fn(qpdf: pd.DataFrame, dpdf: pd.DataFrame) -> pd.DataFrame:
-        limit = qpdf[known].to_numpy(np.float64, na_value=np.nan)
+        if qpdf.empty or dpdf.empty:
+            return empty
+        both = np.frombuffer(b"".join(qpdf["_x"]), np.float64).reshape(len(qpdf), -1)
+        qk, dk, x = qpdf["_qk"].to_numpy(np.int64), dpdf["_dk"].to_numpy(np.int64), _features(dpdf, fcols)
+        # receivers and donors by cell
+        who, spot = np.repeat(np.arange(len(qk)), qpdf["_spots"].map(len)), np.concatenate(list(qpdf["_spots"]))
+        at, of = np.argsort(spot, kind="stable"), dpdf["_spot"].to_numpy()
+        who, spot, rows = who[at], spot[at], np.argsort(of, kind="stable")
         out = []
-        for _, _, f, r, dk, dist, v in _best(qpdf, dpdf, fcols, k, wanted, limit, exclude_self):
-            got = {"_qk": qpdf["_qk"].to_numpy(np.int64)[r], "_dk": dk, "_dist": dist}
-            out.append(pd.DataFrame(got if f is None else {**got, "_f": np.full(len(r), f, np.int32), "_v": v}))
+        for cell in np.unique(of):
+            q, d = who[slice(*np.searchsorted(spot, [cell, cell + 1]))], rows[slice(*np.searchsorted(of[rows], [cell, cell + 1]))]
+            for _, _, f, r, near, dist, v in _nearest(qk[q], both[q, :n], dk[d], x[d], k, wanted, both[q, n:], exclude_self):
+                got = {"_qk": qk[q[r]], "_dk": near, "_dist": dist}
+                out.append(pd.DataFrame(got if f is None else {**got, "_f": np.full(len(r), f, np.int32), "_v": v}))
         return pd.concat(out, ignore_index=True)[list(empty.columns)] if out else empty
 
-    visits = go.select("_qk", *fcols, *known, F.explode("_spots").alias("_spot"))
-    parts = _parts(_counts(visits.select("_spot"), "_spot"), rows)
-    split = go.sparkSession.createDataFrame(list(parts.items()), "_spot int, _m int")
-    key, groups = ["_spot", "_sub"], max(1, sum(parts.values()))
-    left = visits.join(split, "_spot").withColumn("_sub", F.pmod(F.xxhash64("_qk", *fcols), F.col("_m")).cast("int")).drop("_m")
-    right = cells.join(split, "_spot").withColumn("_sub", F.explode(F.sequence(F.lit(0), F.col("_m") - 1))).drop("_m")
+    group = lambda c: (c / GROUP_CELLS).cast("int")
+    visits = go.select("_qk", "_x", "_spots", F.explode(F.array_distinct(F.transform("_spots", group))).alias("_group")) \
+        .withColumn("_spots", F.filter("_spots", lambda c: group(c) == F.col("_group")))
+    counts = _counts(visits.select("_group"), "_group")
+    many = receiver_block_rows or min(4 * RECEIVER_BLOCK_ROWS, max(SUB_BLOCK, sum(counts.values()) // (2 * go.sparkSession.sparkContext.defaultParallelism)))
+    parts = _parts(counts, many)
+    split = go.sparkSession.createDataFrame(list(parts.items()), "_group int, _m int")
+    key, groups = ["_group", "_sub"], max(1, sum(parts.values()))
+    left = visits.join(split, "_group").withColumn("_sub", F.pmod(F.xxhash64("_qk", "_x"), F.col("_m")).cast("int")).drop("_m")
+    right = cells.withColumn("_group", group(F.col("_spot"))).join(split, "_group").withColumn("_sub", F.explode(F.sequence(F.lit(0), F.col("_m") - 1))).drop("_m")
     return left.repartition(groups, *key).groupBy(*key).cogroup(right.repartition(groups, *key).groupBy(*key)).applyInPandas(fn, schema)
 
 

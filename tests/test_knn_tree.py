@@ -89,3 +89,37 @@ def test_leaf_without_the_feature_is_bounded_by_sampled_donors(spark):
         d = np.sqrt((have.x - pdf.x[q]) ** 2 * 2 / 1)
         want = have.id.to_numpy()[np.lexsort((have.id, d))[:5]]
         assert got[got._qk == q].sort_values("n")._dk.tolist() == want.tolist()
+
+
+def test_bounds_of_squares_hold_with_and_without_absent_coordinates():
+    """Only coordinates that some row lacks need their presence; none in common is infinite."""
+    rnd = np.random.default_rng(3)
+    for lacking in (0, 2, 5):
+        q, d = rnd.normal(5, 3, (40, 5)), rnd.normal(5, 3, (70, 5))
+        for x in (q, d):
+            x[:, :lacking][rnd.random((len(x), lacking)) < 0.5] = np.nan
+        square, off, free = knn_wide._squares(q, ~np.isnan(q), d, ~np.isnan(d), 5)
+        exact = knn_wide._dist_block(q, ~np.isnan(q), d, ~np.isnan(d), 5) ** 2
+        assert (free is None) == (lacking < 5) and (free is None or (free == ~np.isnan(exact)).all())
+        none = np.isnan(exact)
+        assert np.isinf(square[none]).all() and (np.abs(square - exact) <= off[:, None])[~none].all() and off.max() < 1e-9
+
+
+def test_receivers_are_copied_once_per_group_of_cells(spark, monkeypatch):
+    import pandas as pd
+    rnd = np.random.default_rng(4)
+    pdf = pd.DataFrame(rnd.normal(size=(600, 6)), columns=list("abcdef")).assign(k=np.arange(600))
+    df = spark.createDataFrame(pdf)
+
+    def found(cells):
+        monkeypatch.setattr(knn_wide, "GROUP_CELLS", cells)
+        met = knn_wide.wide_candidates(df, df, "k", "k", list("abcdef"), 3, False, True, donor_block_rows=20)
+        got = met.toPandas().sort_values(["_qk", "_dist", "_dk"]).groupby("_qk").head(3)
+        return got.reset_index(drop=True)
+
+    a, b = found(1), found(16)
+    assert a.equals(b) and len(a) == 1_800
+    x = pdf[list("abcdef")].to_numpy()
+    dist = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    np.fill_diagonal(dist, np.inf)
+    assert (a._dk.to_numpy().reshape(600, 3) == np.argsort(dist, axis=1)[:, :3]).all()
